@@ -39,6 +39,7 @@ class Settings:
     padding: int = 100
     rows_per_class: tuple[int, int] = (4500, 1500)
     longest_text: int = 200_000
+    calibration: float = 0.25
     epochs: int = 8
     least_steps: int = 600
     batch: int = 64
@@ -102,10 +103,29 @@ class Model:
 
 
 def fit(texts: list[str], toxic: np.ndarray, settings: Settings = Settings()) -> Model:
-    """Fits table and layer. With one class or none in the sample, the model is that class's frequency."""
-    buckets = 1 << settings.bits
+    """Fits table and layer on most of the sample; the rest sets the bias where F1 is best.
+
+    With one class or none in the sample, the model says that class, or 0, of every text.
+    """
     if len(set(toxic.tolist())) < 2:
-        return Model(settings, np.zeros(buckets, np.float32), 5.0 if len(toxic) and toxic[0] else -5.0)
+        return Model(settings, np.zeros(1 << settings.bits, np.float32), 5.0 if len(toxic) and toxic[0] else -5.0)
+    aside = np.random.default_rng(settings.seed).random(len(texts)) < settings.calibration
+    if min(np.bincount(toxic[aside], minlength=2)) < 5 or len(set(toxic[~aside].tolist())) < 2:
+        return _fitted(texts, toxic, settings)
+    model = _fitted([t for t, a in zip(texts, aside, strict=True) if not a], toxic[~aside], settings)
+    tests = [t for t, a in zip(texts, aside, strict=True) if a]
+    logits = np.concatenate([model.logits(*flat(pa.array(tests[i : i + 100], pa.string()))) for i in range(0, len(tests), 100)])
+    order = np.argsort(-logits, kind="stable")
+    hits = np.cumsum(toxic[aside][order])
+    f1 = 2 * hits / (np.arange(1, len(order) + 1) + hits[-1])
+    best = int(f1.argmax())
+    below = logits[order[min(best + 1, len(order) - 1)]]
+    model.bias -= float((logits[order[best]] + below) / 2)
+    return model
+
+
+def _fitted(texts: list[str], toxic: np.ndarray, settings: Settings) -> Model:
+    buckets = 1 << settings.bits
     bags, shares, at = [], [], [0]
     for text in texts:
         raw = np.frombuffer((text or "").encode(), np.uint8)
