@@ -218,17 +218,32 @@ def verify_token(token: str, stored: str) -> bool:
     return hash_token(token, bytes.fromhex(salt), int(rounds)) == stored
 
 
-@F.pandas_udf("array<struct<mode: string, name: string, oid: string>>")
-def tree_entries_udf(payload: pd.Series) -> pd.Series:
-    return payload.map(lambda p: None if p is None else [{"mode": m, "name": n, "oid": o} for m, n, o in tree_entries(bytes(p))])
+def tree_entries_of(payload: Column) -> Column:
+    """array(struct(mode, name, oid)) of a tree's payload."""
 
+    @F.pandas_udf("array<struct<mode: string, name: string, oid: string>>")
+    def entries(p: pd.Series) -> pd.Series:
+        return p.map(lambda x: None if x is None else [{"mode": m, "name": n, "oid": o} for m, n, o in tree_entries(bytes(x))])
 
-@F.pandas_udf("struct<type: string, payload: binary>")
-def decode_object_udf(stored: pd.Series) -> pd.DataFrame:
-    found = [decode_object(bytes(s)) if s is not None else None for s in stored]
-    return pd.DataFrame({"type": [f and f[0] for f in found], "payload": [f and f[1] for f in found]})
+    return entries(payload)
 
 
-@F.pandas_udf("array<struct<kind: string, payload: binary>>")
-def pkt_lines_udf(stream: pd.Series) -> pd.Series:
-    return stream.map(lambda s: None if s is None else [{"kind": k, "payload": p} for k, p in parse_pkt_lines(bytes(s))])
+def stored_object(stored: Column) -> Column:
+    """struct(type, payload) of a deflated object; nulls for anything else."""
+
+    @F.pandas_udf("struct<type: string, payload: binary>")
+    def decode(s: pd.Series) -> pd.DataFrame:
+        found = [decode_object(bytes(x)) if x is not None else None for x in s]
+        return pd.DataFrame({"type": [f and f[0] for f in found], "payload": [f and f[1] for f in found]})
+
+    return decode(stored)
+
+
+def pkt_lines(stream: Column) -> Column:
+    """array(struct(kind, payload)) of a stream of pkt-lines."""
+
+    @F.pandas_udf("array<struct<kind: string, payload: binary>>")
+    def parse(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else [{"kind": k, "payload": p} for k, p in parse_pkt_lines(bytes(x))])
+
+    return parse(stream)

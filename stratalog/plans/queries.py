@@ -572,7 +572,7 @@ def sideband_frames(spark, sf_dir):
 def pktline_roundtrip(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("text is not null")
     payload = F.col("text").cast("binary")
-    rows = c.select("conv_id", "turn", payload.alias("p"), codec.pkt_lines_udf(F.concat(codec.pkt_line(payload), F.lit(b"0000"))).alias("l"))
+    rows = c.select("conv_id", "turn", payload.alias("p"), codec.pkt_lines(F.concat(codec.pkt_line(payload), F.lit(b"0000"))).alias("l"))
     same = (F.size("l") == 2) & (F.col("l")[0]["payload"] == F.col("p")) & (F.col("l")[1]["kind"] == "flush")
     return rows.select("conv_id", "turn", F.octet_length("p").cast("long").alias("length"), same.alias("same"))
 
