@@ -36,7 +36,8 @@ BLOCK, LANES = 4096, 768
 SHARD_BYTES = 8 << 20
 END_ID = 2
 #: Fixed values of the format.
-MAGIC, HEAD = b"SLTB", struct.Struct("<4sIII")
+MAGIC, HEAD = b"SLTB", "<4sIII"
+HEAD_BYTES = struct.calcsize(HEAD)
 RENEW = (64, 256, 1024)
 ONE_BITS, TWO_BITS = 10, 11
 STEP, MOST = 24, 8000
@@ -198,22 +199,22 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     out = []
     for i in range(lanes):
         raw = ids[i, : lengths[i]].astype("<u4").tobytes()
-        out.append(HEAD.pack(MAGIC, int(lengths[i]), int(used[i]), zlib.crc32(raw)) + words[i, : used[i]].astype("<u2").tobytes())
+        out.append(struct.pack(HEAD, MAGIC, int(lengths[i]), int(used[i]), zlib.crc32(raw)) + words[i, : used[i]].astype("<u2").tobytes())
     return out
 
 
 def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; a block that is damaged raises ValueError."""
-    heads = [HEAD.unpack_from(b) for b in blocks]
+    heads = [struct.unpack_from(HEAD, b) for b in blocks]
     for b, (magic, _, used, _) in zip(blocks, heads, strict=True):
-        if magic != MAGIC or len(b) != HEAD.size + 2 * used:
+        if magic != MAGIC or len(b) != HEAD_BYTES + 2 * used:
             raise ValueError("not a block of this format")
     order = sorted(range(len(blocks)), key=lambda i: -heads[i][1])
     lengths = np.array([heads[i][1] for i in order], np.int64)
     lanes, steps = len(order), int(lengths.max(initial=0))
     words = np.zeros((lanes, max((heads[i][2] for i in order), default=0) + 4), U64)
     for k, i in enumerate(order):
-        words[k, : heads[i][2]] = np.frombuffer(blocks[i], "<u2", heads[i][2], HEAD.size)
+        words[k, : heads[i][2]] = np.frombuffer(blocks[i], "<u2", heads[i][2], HEAD_BYTES)
     coder, models = Coder(lanes), Models(lanes)
     code, used = np.zeros(lanes, U64), np.full(lanes, 4)
     for k in range(4):
@@ -379,7 +380,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         if index:
             yield from told(True)
             raw = np.concatenate(index).tobytes()
-            yield rows_of(shard, -1, [HEAD.pack(MAGIC, len(raw) // INDEX_ROW.itemsize, 0, zlib.crc32(raw)) + raw])
+            yield rows_of(shard, -1, [struct.pack(HEAD, MAGIC, len(raw) // INDEX_ROW.itemsize, 0, zlib.crc32(raw)) + raw])
 
     ordered.mapInArrow(emit, "shard int, block int, data binary").write.parquet(path)
 
@@ -427,10 +428,10 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                     groups = []
                 now = shard
                 if block == -1:
-                    magic, _, _, crc = HEAD.unpack_from(data)
-                    if magic != MAGIC or zlib.crc32(data[HEAD.size :]) != crc:
+                    magic, _, _, crc = struct.unpack_from(HEAD, data)
+                    if magic != MAGIC or zlib.crc32(data[HEAD_BYTES :]) != crc:
                         raise ValueError("a shard's index is damaged")
-                    index = np.frombuffer(data, INDEX_ROW, offset=HEAD.size)
+                    index = np.frombuffer(data, INDEX_ROW, offset=HEAD_BYTES)
                 else:
                     groups.append(data)
         if now is not None:
