@@ -64,4 +64,21 @@ e AS (SELECT *, (floor(rate) + floor((rate - floor(rate)) * k + u) - floor((rate
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM e
 """
 
-ORACLES = {"op2_decontamination": OP2, "op4_url_filter": OP4, "op6_exact_dedup": OP6, "op10_mixing": OP10}
+#: CRC-32 by its table, derived from the reversed polynomial; slow, but whole.
+OP8 = """
+WITH tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM range(256) r(i))
+), d AS (
+  SELECT doc_id, coalesce(text, '') AS txt, strlen(coalesce(text, ''))::BIGINT + 8 AS size, hex(encode(coalesce(text, ''))) AS x FROM documents
+), b AS (
+  SELECT doc_id, size, md5(txt) AS h, list_transform(range(0, length(x), 2), lambda i: ('0x' || substr(x, i + 1, 2))::BIGINT) AS b FROM d
+), c AS (
+  SELECT doc_id, size, h, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS text_crc32 FROM b, tab
+), p AS (
+  SELECT *, (sum(size) OVER (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING))::BIGINT AS e, (sum(size) OVER ())::BIGINT AS total FROM c
+), s AS (SELECT *, least((2 * e - size) * 24 // (2 * total), 23)::INTEGER AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s
+"""
+
+ORACLES = {"op2_decontamination": OP2, "op4_url_filter": OP4, "op6_exact_dedup": OP6, "op8_sharding": OP8, "op10_mixing": OP10}

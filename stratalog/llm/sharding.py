@@ -108,7 +108,7 @@ def with_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_
         rows = _with_range(rows, keys, ids).join(offsets, "_range")
         rows = rows.withColumn("_end", F.col("_bytes_before") + F.sum("_size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
         rows = rows.withColumn("_at", F.col("_rows_before") + F.row_number().over(line) - 1)
-        shard = F.floor((2 * F.col("_end") - F.col("_size")) * shards / (2 * max(1, total)))
+        shard = F.expr(f"(2 * _end - _size) * {shards} div {2 * max(1, total)}")
         return rows.withColumn("_shard", F.least(shard, F.lit(shards - 1)).cast("int"))
 
     starts = F.broadcast(placed(slim).groupBy("_shard").agg(F.min("_at").alias("_start")))  # one row for each shard
