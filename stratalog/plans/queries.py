@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalog.functions import codec, text
-from stratalog.operators import graph, packs, refs
+from stratalog.functions import codec, http, text
+from stratalog.operators import graph, maintain, packs, refs
 from stratalog.plans.prelude import BRANCHES, COMMITS, EDGES, HEADS, LAYOUT, MEMBERS, PACKS, TAGS, sql
 from stratalog.sources import tables
 from stratalog.sources.tables import table
@@ -633,3 +633,131 @@ def maintenance_due(spark, sf_dir):
     due = a.select("user_id", F.greatest(F.col("last_s") + 1800, now).alias("idle_at"), F.coalesce(F.greatest(F.col("maint_s") + 86400, now), now).alias("maint_at"))
     due = due.withColumn("maint_at", F.when(F.col("maint_at").isNull(), now).otherwise(F.col("maint_at")))
     return due.select("*", F.least("idle_at", "maint_at").alias("next_at"), F.when(F.col("maint_at") <= F.col("idle_at"), "maintenance").otherwise("idle").alias("next_task"))
+
+
+# Stored sets and requests.
+
+KEY = "CASE WHEN oid % 2 = 0 THEN 'do/1/objects/pack/' ELSE '' END || 'pack-hydr-e' || pack || '-' || oid % 3 || '.pack'"
+
+
+@query(sql(MEMBERS, f"k AS (SELECT {KEY} AS key, oid // 2 AS oid FROM members)", "SELECT DISTINCT regexp_replace(key, '^.*/', '') AS key, oid, regexp_extract(key, 'pack-hydr-(e[0-9A-Za-z]+)-', 1) AS epoch FROM k"))
+def pack_keys_normalised(spark, sf_dir):
+    rows = tables.pack_objects(spark, sf_dir).select(F.expr(KEY).alias("key"), F.floor(F.col("oid") / 2).alias("oid"))
+    return maintain.normalized(rows, "key", ["oid"]).select("key", "oid", maintain.epoch_of(F.col("key")).alias("epoch"))
+
+
+@query(sql(MEMBERS, "SELECT pack, oid FROM members WHERE oid % 2 = 0 UNION SELECT pack, oid + 1 FROM members"))
+def membership_insert_ignore(spark, sf_dir):
+    members = tables.pack_objects(spark, sf_dir).select("pack", "oid")
+    return maintain.insert_ignore(members.where("oid % 2 = 0"), members.select("pack", F.col("oid") + 1).toDF("pack", "oid"), ["pack", "oid"])
+
+
+@query(sql(MEMBERS, "SELECT pack, oid FROM members WHERE pack % 100 <> 6"))
+def membership_delete(spark, sf_dir):
+    members = tables.pack_objects(spark, sf_dir).select("pack", "oid")
+    return maintain.delete(members, members.where("pack % 100 = 6").select("pack").distinct(), ["pack"])
+
+
+@query(
+    sql(
+        MEMBERS, PACKS,
+        """l AS (SELECT epoch AS repo, pack, ord FROM packs WHERE epoch IS NOT NULL UNION ALL SELECT DISTINCT epoch, epoch * 100 + 13, -1 FROM packs WHERE epoch IS NOT NULL),
+        r AS (SELECT repo, pack, row_number() OVER (PARTITION BY repo ORDER BY ord, pack DESC) - 1 AS ord FROM l)
+        SELECT repo, pack, ord FROM r WHERE ord < 3""",
+    )
+)
+def pack_list_push(spark, sf_dir):
+    listed = tables.pack_list(tables.pack_objects(spark, sf_dir)).where("epoch is not null").withColumn("repo", F.col("epoch"))
+    new = listed.select("repo", (F.col("repo") * 100 + 13).alias("pack")).distinct()
+    return maintain.pushed_front(listed, new, most=3)
+
+
+@query(sql("SELECT c_nationkey::BIGINT AS owner, c_custkey AS repo, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'added' ELSE 'removed' END AS action FROM customer"))
+def registry_sync(spark, sf_dir):
+    asked = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("owner"), F.col("c_custkey").alias("repo"))
+    alive = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo")).distinct().join(asked, "repo")
+    return maintain.registry_sync(asked, alive)
+
+
+@query(
+    sql(
+        MEMBERS, PACKS,
+        """SELECT p_partkey AS oid, p_partkey IN (SELECT oid FROM members JOIN packs USING (pack) WHERE is_latest) AS latest,
+          p_partkey IN (SELECT oid FROM members JOIN packs USING (pack) WHERE is_hydration) AS hydration, p_partkey IN (SELECT oid FROM members) AS packed FROM part""",
+    )
+)
+def oid_presence(spark, sf_dir):
+    members = tables.pack_objects(spark, sf_dir)
+    listed = members.join(tables.pack_list(members).select("pack", "is_latest", "is_hydration"), "pack")
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("oid"))
+    return maintain.presence(asked, {"latest": listed.where("is_latest"), "hydration": listed.where("is_hydration"), "packed": listed})
+
+
+@query(
+    sql(
+        """SELECT b.item_id AS oid, coalesce(l.quality::VARCHAR, d.source) AS payload, CASE WHEN l.doc_id IS NOT NULL THEN 0 WHEN d.doc_id IS NOT NULL THEN 1 END::BIGINT AS tier
+        FROM benchmark b LEFT JOIN labels l ON l.doc_id = b.item_id LEFT JOIN documents d ON d.doc_id = b.item_id"""
+    )
+)
+def object_first_tier(spark, sf_dir):
+    loose = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("oid"), F.col("quality").cast("string").alias("payload"))
+    packed = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("oid"), F.col("source").alias("payload"))
+    return maintain.first_found(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("oid")), [loose, packed])
+
+
+@query(
+    sql(
+        COMMITS, BRANCHES,
+        "b AS (SELECT repo, count(*) AS branches FROM branches GROUP BY repo)",
+        "SELECT repo, count(*) AS commits, count(p2) AS merges, count_if(p1 IS NULL) AS roots, max(when_s) AS last_s, any_value(branches) AS branches FROM commits JOIN b USING (repo) GROUP BY repo",
+    )
+)
+def repo_rollup(spark, sf_dir):
+    rows = tables.commits(spark, sf_dir)
+    branches = tables.branch_heads(rows).groupBy("repo").agg(F.count(F.lit(1)).alias("branches"))
+    stats = rows.groupBy("repo").agg(F.count(F.lit(1)).alias("commits"), F.count("p2").alias("merges"), F.count_if(F.col("p1").isNull()).alias("roots"), F.max("when_s").alias("last_s"))
+    return stats.join(branches, "repo")
+
+
+@query(
+    sql(
+        """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name END AS "user", CASE c_custkey % 3 WHEN 0 THEN 'p:' || c_custkey END AS password, CASE c_custkey % 3 WHEN 1 THEN 't' || c_custkey END AS token FROM customer"""
+    )
+)
+def auth_headers(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    basic = F.concat(F.lit("Basic "), F.base64(F.concat_ws(":", "c_name", F.lit("p"), "c_custkey").cast("binary")))
+    header = F.when(F.col("c_custkey") % 3 == 0, basic).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("Bearer t"), "c_custkey")).otherwise("Digest x")
+    rows = c.select("c_custkey", header.alias("h")).select("c_custkey", http.basic_credentials(F.col("h")).alias("b"), http.bearer_token(F.col("h")).alias("token"))
+    return rows.select("c_custkey", "b.user", "b.password", "token")
+
+
+FILE = "CASE page_id % 5 WHEN 0 THEN 'a.PNG' WHEN 1 THEN 'b.html' WHEN 2 THEN 'LICENSE' WHEN 3 THEN 'c.tar.gz' ELSE 'd.svg' END"
+
+
+@query(sql(f"SELECT page_id, {FILE} AS name, CASE page_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/html' WHEN 4 THEN 'image/svg+xml' ELSE 'application/octet-stream' END AS media FROM pages"))
+def media_types(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(FILE).alias("name")).select("page_id", "name", http.media_type(F.col("name")).alias("media"))
+
+
+@query(
+    sql(
+        """l AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'want ' ELSE 'have ' END AS k, rpad((turn // 2)::VARCHAR, 40, '0') AS oid FROM conversations)
+        SELECT conv_id, count(DISTINCT CASE WHEN k = 'want ' THEN oid END) AS wants, count_if(k = 'have ') AS haves, count(*) % 2 = 0 AS done FROM l GROUP BY conv_id"""
+    )
+)
+def fetch_args(spark, sf_dir):
+    line = F.concat(F.when(F.col("role") == "user", "want ").otherwise("have "), F.rpad(F.floor(F.col("turn") / 2).cast("string"), 40, "0"), F.lit(" extra"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"])
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(lines.alias("l"))
+    rows = rows.withColumn("l", F.when(F.size("l") % 2 == 0, F.array_append("l", F.lit("done"))).otherwise(F.col("l")))
+    got = rows.select("conv_id", http.fetch_request(F.col("l")).alias("r"))
+    return got.select("conv_id", F.size("r.wants").cast("long").alias("wants"), F.size("r.haves").cast("long").alias("haves"), "r.done")
+
+
+@query(sql(MEMBERS, PACKS, "SELECT pack, oid FROM members SEMI JOIN (SELECT pack FROM packs WHERE ord = 5) USING (pack) ORDER BY oid LIMIT 20 OFFSET 10"))
+def pack_oids_page(spark, sf_dir):
+    """A page of one pack's oids: the limit is the feature."""
+    members = tables.pack_objects(spark, sf_dir)
+    one = tables.pack_list(members).where("ord = 5").select("pack")
+    return members.join(one, "pack", "left_semi").select("pack", "oid").orderBy("oid").offset(10).limit(20)
