@@ -43,7 +43,7 @@ BLOCK_BYTES = 8 << 20
 #: Candidates whose documents are picked by a broadcast of their ids; beyond, by a shuffled join.
 BROADCAST_CANDIDATES = 500_000
 POSTING = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("size", "<u4"), ("place", "<u4")])
-RUN_BYTES = 1 << 20
+SKETCH_BITS = 1024
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,12 +103,32 @@ def _once(node: np.ndarray, sizes: np.ndarray, owner: np.ndarray, known: set) ->
     return (first & (sizes > 0))[owner]
 
 
+def sketches(value: np.ndarray, owner: np.ndarray, documents: int) -> np.ndarray:
+    """A bitmap for each set: SKETCH_BITS bits, one set by each shingle."""
+    out = np.zeros((documents, SKETCH_BITS), bool)
+    out[owner, (value >> U64(20)).astype(np.int64) % SKETCH_BITS] = True
+    return np.packbits(out, axis=1)
+
+
 def _profiles(rows: DataFrame, kind: str) -> DataFrame:
     def profile(batches):
-        for part, _, _, sizes, a, b in _batches_of_sets(batches):
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(sizes), pa.array(a), pa.array(b)], ["_id", "_n", "_node", "_check"])
+        for part, value, owner, sizes, a, _ in _batches_of_sets(batches):
+            bits = sketches(value, owner, len(sizes))
+            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(sizes), pa.array(a), pa.array([x.tobytes() for x in bits], pa.binary())], ["_id", "_n", "_node", "_sketch"])
+
+    return rows.mapInArrow(profile, f"_id {kind}, _n long, _node long, _sketch binary")
 
-    return rows.mapInArrow(profile, f"_id {kind}, _n long, _node long, _check long")
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that may link by their sketches: a bit that only one set has stands for a shingle that the other lacks."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (flat(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("_sketch_u", "_sketch_v"))
+        nx, ny = batch.column("_n_u").to_numpy(), batch.column("_n_v").to_numpy()
+        most = np.minimum(nx - np.bitwise_count(x & ~y).sum(1), ny - np.bitwise_count(y & ~x).sum(1))
+        keep = pa.array((SHARED + NEEDED) * most >= NEEDED * (nx + ny))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("u", "v")], ["u", "v"])
 
 
 def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -303,16 +323,19 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs of nodes that link, with the overlap counted on their whole sets."""
+    """The pairs of nodes that link, with the overlap counted on their whole sets, for pairs that their sketches allow."""
+    side = lambda e: classes.select(F.col("_node").alias(e), F.col("_n").alias(f"_n_{e}"), F.col("_sketch").alias(f"_sketch_{e}"))
+    pairs = written(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_likely, "u long, v long"), f"{name}-likely")
     nodes = pairs.select(F.col("u").alias("_node")).union(pairs.select(F.col("v").alias("_node"))).distinct()
     wanted = written(classes.join(nodes, "_node").select("_node", F.col("_rep").alias("_id")), f"{name}-wanted")
     ids = wanted.select("_id").distinct()
     small = wanted.count() <= BROADCAST_CANDIDATES
     found = rows.join(F.broadcast(ids) if small else ids, "_id", "left_semi")
-    sets = written(_sets(found).dropDuplicates(["_node"]), f"{name}-sets")
+    sets = written(_sets(found), f"{name}-sets")
     u = sets.select(F.col("_node").alias("u"), F.col("_set").alias("_set_u"))
     v = sets.select(F.col("_node").alias("v"), F.col("_set").alias("_set_v"))
-    return written(pairs.join(u, "u").join(v, "v").select("u", "v", "_set_u", "_set_v").mapInArrow(_verified, "u long, v long, overlap long"), f"{name}-links")
+    linked = pairs.join(u, "u").join(v, "v").select("u", "v", "_set_u", "_set_v").mapInArrow(_verified, "u long, v long, overlap long")
+    return written(linked.distinct(), f"{name}-links")  # a repeated row brings its set twice
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,7 +355,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     profiles = written(_profiles(rows, kind), "jaccard-profiles")
-    classes = written(profiles.where("_n > 0 and _id is not null").groupBy("_node").agg(F.min("_id").alias("_rep")), "jaccard-classes")
+    classes = written(profiles.where("_n > 0 and _id is not null").groupBy("_node").agg(F.min("_id").alias("_rep"), F.max("_n").alias("_n"), F.first("_sketch").alias("_sketch")), "jaccard-classes")
     shingles = profiles.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     blocks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(shingles * 0.27 * POSTING.itemsize) // BLOCK_BYTES)
 
@@ -354,7 +377,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = components(links.select("u", "v"))
 
     ends = links.select(F.col("u").alias("_node")).union(links.select(F.col("v").alias("_node"))).groupBy("_node").agg(F.count(F.lit(1)).alias("_links"))
-    named = classes.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node"))
+    named = classes.select("_node", "_rep").join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node"))
     named = written(named.join(ends, "_node", "left").select("_node", "_rep", "_root", "_links"), "jaccard-named")
     lowest = written(named.groupBy("_root").agg(F.min("_rep").alias("_component")), "jaccard-components")
     named = written(named.join(lowest, "_root").select("_node", "_component", "_links"), "jaccard-labels")
