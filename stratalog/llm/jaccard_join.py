@@ -13,9 +13,11 @@ reach the threshold are computed:
   what the threshold needs.
 
 The overlaps of the pairs left are counted in full on their sets. A column with many
-rows is multiplied in two steps: first only neighbours in the order of size are paired,
-verified and joined into components; then only pairs of different components are.
-So a large group of near copies costs a few pairs for each member, not all pairs.
+rows is multiplied in steps: first only neighbours in the order of size are paired,
+verified and joined into components; then pairs of different components, the
+likeliest by their bounds first, until all that the bounds allow have been verified or
+lie in one component. So a large group of near copies costs a few pairs for each
+member, not all pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ BLOCK_BYTES = 8 << 20
 BROADCAST_CANDIDATES = 500_000
 POSTING = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("size", "<u4"), ("place", "<u4")])
 SKETCH_BITS = 1024
+#: Partners of a row in other components, round by round; the last round takes all that are left.
+CAPS = (2, 8, 64, None)
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,37 +265,52 @@ def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], ["kind", "u", "v", "size", "place"])
 
 
-def _second_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of columns that hold several components (rows sorted by column): the pairs across them, a stripe at a time."""
-    held: list[pa.RecordBatch] = []
+def _second_step(cap: int | None):
+    """Of columns that hold several components (rows sorted by column): pairs across them that may link by places and sketches.
 
-    def product(table: pa.Table):
+    Every row outside the column's largest component gets its ``cap`` likeliest partners in
+    other components (None: all). A column where more were left adds a row with ``more`` set.
+    """
+
+    def product(table: pa.Table) -> Iterator[pa.RecordBatch]:
         root, node = table["root"].to_numpy(), table["v"].to_numpy()
         size, place = table["size"].to_numpy(), table["place"].to_numpy()
-        order = np.argsort(size, kind="stable")
-        root, node, size, place = root[order], node[order], size[order], place[order]
-        last = np.searchsorted(size, size * SHARED // NEEDED, "right")
-        for i in range(len(node) - 1):
-            j = np.arange(i + 1, last[i])
-            j = j[(root[j] != root[i]) & _possible(size[i], size[j], place[i], place[j])]
-            if len(j):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["u", "v"])
-
-    def flush():
-        yield from product(pa.Table.from_batches(held))
-
-    now = None
-    for batch in batches:
-        column = batch.column("u").to_numpy()
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(column)) + 1, [len(column)])) if len(column) else [0]
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            if column[i] != now and held:
-                yield from flush()
-                held.clear()
-            now = column[i]
-            held.append(batch.slice(i, j - i))
-    if held:
-        yield from flush()
+        bits = flat(table["_sketch"])[0].reshape(len(node), -1).view(U64)
+        kinds, group = np.unique(root, return_inverse=True)
+        minor = np.flatnonzero(group != np.bincount(group).argmax())
+        is_minor = np.zeros(len(node), bool)
+        is_minor[minor] = True
+        found, more = [], False
+        for i in minor.tolist():
+            j = np.flatnonzero((group != group[i]) & (~is_minor | (np.arange(len(node)) > i)))
+            j = j[_possible(size[i], size[j], place[i], place[j])]
+            most = np.minimum(size[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1), size[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1))
+            slack = (SHARED + NEEDED) * most - NEEDED * (size[i] + size[j])
+            j, slack = j[slack >= 0], slack[slack >= 0]
+            if cap is not None and len(j) > cap:
+                j, more = j[np.lexsort((node[j], -slack))[:cap]], True
+            found.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), 1))
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
+        if more:
+            pairs = np.concatenate((pairs, [[0, 0]]))
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array((pairs == 0).all(1))], ["u", "v", "more"])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            column = batch.column("u").to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(column)) + 1, [len(column)])) if len(column) else [0]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if column[i] != now and held:
+                    yield from product(pa.Table.from_batches(held))
+                    held = []
+                now = column[i]
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield from product(pa.Table.from_batches(held))
+
+    return step
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -366,15 +385,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     roots = components(links.select("u", "v"))
     columns = step.where("kind = 1").groupBy("u", "v").agg(F.max("size").alias("size"), F.min("place").alias("place"))
-    columns = written(columns, "jaccard-wide").join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
-    columns = written(columns.select("u", "v", "size", "place", "root"), "jaccard-rooted")
-    several = columns.groupBy("u").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("u")
-    mixed_columns = columns.join(several, "u").repartition("u").sortWithinPartitions("u")
-    across = mixed_columns.mapInArrow(_second_step, "u long, v long").distinct()
-    across = written(across.join(pairs, ["u", "v"], "left_anti"), "jaccard-across")
-    if not across.isEmpty():
-        links = links.unionByName(_links(rows, classes, across, "jaccard-across"))
-        roots = components(links.select("u", "v"))
+    columns = written(columns, "jaccard-wide")
+    sketch = classes.select(F.col("_node").alias("v"), "_sketch")
+    for cap in CAPS:
+        rooted = columns.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+        rooted = written(rooted.select("u", "v", "size", "place", "root"), "jaccard-rooted")
+        several = rooted.groupBy("u").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("u")
+        rooted = written(rooted.join(written(several, "jaccard-several"), "u"), "jaccard-rooted")
+        columns = rooted.drop("root")  # columns of one component stay so
+        across = rooted.join(sketch, "v").repartition("u").sortWithinPartitions("u").mapInArrow(_second_step(cap), "u long, v long, more boolean")
+        across = written(across.distinct(), "jaccard-across")
+        fresh = written(across.where("not more").select("u", "v").join(pairs, ["u", "v"], "left_anti"), "jaccard-fresh")
+        if not fresh.isEmpty():
+            pairs = pairs.unionByName(fresh)
+            links = links.unionByName(_links(rows, classes, fresh, "jaccard-across"))
+            roots = components(links.select("u", "v"))
+        if across.where("more").isEmpty():
+            break
 
     ends = links.select(F.col("u").alias("_node")).union(links.select(F.col("v").alias("_node"))).groupBy("_node").agg(F.count(F.lit(1)).alias("_links"))
     named = classes.select("_node", "_rep").join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node"))
