@@ -269,7 +269,7 @@ def _second_step(cap: int | None):
     """Of columns that hold several components (rows sorted by column): pairs across them that may link by places and sketches.
 
     Every row outside the column's largest component gets its ``cap`` likeliest partners in
-    other components (None: all). A column where more were left adds a row with ``more`` set.
+    other components (None: all). A column where more were left adds a row with its key and ``more`` set.
     """
 
     def product(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -291,10 +291,11 @@ def _second_step(cap: int | None):
                 j, more = j[np.lexsort((node[j], -slack))[:cap]], True
             found.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), 1))
         pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
+        left = np.zeros(len(pairs), bool)
         if more:
-            pairs = np.concatenate((pairs, [[0, 0]]))
+            pairs, left = np.concatenate((pairs, [[table["u"][0].as_py(), 0]])), np.append(left, True)
         if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array((pairs == 0).all(1))], ["u", "v", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(left)], ["u", "v", "more"])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -341,10 +342,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("u").filter(pa.array(linked)), part.column("v").filter(pa.array(linked)), pa.array(both[linked])], ["u", "v", "overlap"])
 
 
-def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs of nodes that link, with the overlap counted on their whole sets, for pairs that their sketches allow."""
+def _allowed(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that may link by their sketches."""
     side = lambda e: classes.select(F.col("_node").alias(e), F.col("_n").alias(f"_n_{e}"), F.col("_sketch").alias(f"_sketch_{e}"))
-    pairs = written(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_likely, "u long, v long"), f"{name}-likely")
+    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_likely, "u long, v long")
+
+
+def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs of nodes that link, with the overlap counted on their whole sets."""
     nodes = pairs.select(F.col("u").alias("_node")).union(pairs.select(F.col("v").alias("_node"))).distinct()
     wanted = written(classes.join(nodes, "_node").select("_node", F.col("_rep").alias("_id")), f"{name}-wanted")
     ids = wanted.select("_id").distinct()
@@ -381,7 +386,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     packed = _blocks(rows, _frequent(rows), blocks).repartition(blocks, "block").sortWithinPartitions("block")
     step = written(packed.mapInArrow(_first_step, "kind int, u long, v long, size long, place long"), "jaccard-columns")
     pairs = written(step.where("kind = 0").select("u", "v").distinct(), "jaccard-near")
-    links = _links(rows, classes, pairs, "jaccard-near")
+    links = _links(rows, classes, written(_allowed(classes, pairs), "jaccard-likely"), "jaccard-near")
 
     roots = components(links.select("u", "v"))
     columns = step.where("kind = 1").groupBy("u", "v").agg(F.max("size").alias("size"), F.min("place").alias("place"))
@@ -392,7 +397,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rooted = written(rooted.select("u", "v", "size", "place", "root"), "jaccard-rooted")
         several = rooted.groupBy("u").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("u")
         rooted = written(rooted.join(written(several, "jaccard-several"), "u"), "jaccard-rooted")
-        columns = rooted.drop("root")  # columns of one component stay so
         across = rooted.join(sketch, "v").repartition("u").sortWithinPartitions("u").mapInArrow(_second_step(cap), "u long, v long, more boolean")
         across = written(across.distinct(), "jaccard-across")
         fresh = written(across.where("not more").select("u", "v").join(pairs, ["u", "v"], "left_anti"), "jaccard-fresh")
@@ -400,8 +404,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.unionByName(fresh)
             links = links.unionByName(_links(rows, classes, fresh, "jaccard-across"))
             roots = components(links.select("u", "v"))
-        if across.where("more").isEmpty():
+        left = across.where("more").select("u")
+        if left.isEmpty():
             break
+        columns = rooted.drop("root").join(left, "u", "left_semi")  # of other columns, all pairs are verified
 
     ends = links.select(F.col("u").alias("_node")).union(links.select(F.col("v").alias("_node"))).groupBy("_node").agg(F.count(F.lit(1)).alias("_links"))
     named = classes.select("_node", "_rep").join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node"))
