@@ -4,10 +4,11 @@
    smallest hash, of equals the leftmost. Equal windows choose equal anchors, so a window
    repeats only if its anchor does. Neighbouring windows of one anchor form a segment.
 2. Anchors are counted over all documents; those that occur twice or more set a bit
-   of a filter of fixed size. A collision there costs time, never a result.
+   of a filter of fixed size, and a second one if their segments differ. A collision
+   there costs time, never a result.
 3. Segments of repeated anchors go to the shard of their anchor, equal segments
-   of a task as one. There equal segments are counted; segments that share an anchor but
-   differ are merged: every suffix row carries the name of the STEP bytes before it (its
+   of a task as one, with their bytes if the second bit is set. There equal segments are
+   counted; segments that share an anchor but differ are merged: every suffix row carries the name of the STEP bytes before it (its
    Burrows-Wheeler symbol, STEP bytes wide), and the interleave of all rows is refined by
    stable passes over these symbols. A pass extends the common prefixes by STEP bytes,
    block boundaries mark where they end, and rows still in one block after 400 bytes
@@ -25,16 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.scratch import small_batches
+from stratalog.llm.scratch import small_batches, written
 from stratalog.llm.textkit import BASE, GOLD, MIX_B, UNBASE, flat, mixed, pieces, powers, spans_of
 
 U64 = np.uint64
-LENGTH, ANCHOR, STEP = 400, 256, 50
+LENGTH, ANCHOR, STEP = 400, 128, 50
 FILTER_BITS, CHUNK_BITS = 27, 16
 FLUSH_SEGMENTS = 1 << 16
 SHARD_BYTES = 8 << 20
 MERGE_BYTES = 2 << 20
-SEGMENT = LENGTH + 2 * LENGTH // 11  # usual bytes of a segment, for the number of shards
+SEGMENT = LENGTH + (LENGTH - ANCHOR) // 2  # usual bytes of a segment, for the number of shards
+#: Documents with repeated strings whose spans are joined by a broadcast (some 100 bytes each); beyond, by a shuffle.
+BROADCAST_DOCUMENTS = 300_000
 
 
 def _prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,18 +92,31 @@ def segments(raw: np.ndarray, offsets: np.ndarray):
     return grams[at], at, first, last, (total, inverse)
 
 
+def _digests(sums, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A digest of each segment: its bytes, where its anchor lies, and its windows."""
+    h = _range_hashes(*sums, first, last + LENGTH)
+    return mixed(h + (at - first).astype(U64) * MIX_B + (last - first).astype(U64))
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchor hashes with their counts, added up over a bounded number of segments."""
+    """Anchor hashes with their counts and extreme digests, for a bounded number of segments at a time."""
     kept, held = [], 0
 
     def told():
-        kinds, count = np.unique(np.concatenate(kept), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(count)], ["anchor", "n"])
+        anchor, digest = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.lexsort((digest, anchor))
+        anchor, digest = anchor[order].view(np.int64), digest[order].view(np.int64)
+        start = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))) if len(anchor) else np.zeros(0, np.int64)
+        end = np.append(start[1:], len(anchor))
+        columns = (anchor[start], end - start, np.minimum.reduceat(digest, start), np.maximum.reduceat(digest, start)) if len(start) else (anchor,) * 4
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "n", "low", "high"])
 
     for batch in batches:
         for part in pieces(batch, "_text", 1 << 20):
-            kept.append(segments(*flat(part.column("_text")))[0])
-            held += len(kept[-1])
+            gram, at, first, last, sums = segments(*flat(part.column("_text")))
+            if len(gram):
+                kept.append((gram, _digests(sums, at, first, last)))
+                held += len(gram)
             if held > FLUSH_SEGMENTS * 4:
                 yield told()
                 kept, held = [], 0
@@ -114,6 +130,7 @@ def _filter_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         if "anchor" in batch.schema.names:
             bit = (batch.column("anchor").to_numpy().view(U64) >> U64(64 - FILTER_BITS)).astype(np.int64)
+            bit = np.concatenate((bit, bit[batch.column("differ").to_numpy(zero_copy_only=False)] + (1 << FILTER_BITS)))
             order = np.argsort(bit, kind="stable")
             bit = bit[order]
             chunk = bit >> CHUNK_BITS
@@ -128,21 +145,26 @@ def _filter_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64()), pa.array([np.packbits(b).tobytes() for b in bits.values()], pa.binary())], ["chunk", "bits"])
 
 
-def _repeated_filter(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """The bit filter of repeated anchors (FILTER_BITS bits, whatever the input), and how many bits it has set."""
-    counted = rows.select("_text").mapInArrow(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    parts = counted.select("anchor").mapInArrow(_filter_chunks, "chunk long, bits binary")
+def _repeated_filters(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """Bit filters of the repeated anchors and of those whose segments differ (FILTER_BITS bits each, whatever the input), and the bits set in the second."""
+    counted = rows.select("_text").mapInArrow(_anchors, "anchor long, n long, low long, high long")
+    counted = counted.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).where("n > 1")
+    parts = counted.select("anchor", F.expr("low <> high").alias("differ")).mapInArrow(_filter_chunks, "chunk long, bits binary")
     chunks = parts.repartition("chunk").mapInArrow(_filter_chunks, "chunk long, bits binary")
-    found = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    found = np.zeros(2 << (FILTER_BITS - 3), np.uint8)
     total = 0
     for chunk, bits in chunks.collect():
-        found[chunk << (CHUNK_BITS - 3) : (chunk + 1) << (CHUNK_BITS - 3)] = np.frombuffer(bits, np.uint8)
-        total += int(np.unpackbits(np.frombuffer(bits, np.uint8)).sum())
+        own = np.frombuffer(bits, np.uint8)
+        found[chunk << (CHUNK_BITS - 3) : (chunk + 1) << (CHUNK_BITS - 3)] = own
+        total += int(np.bitwise_count(own).sum()) if chunk >> (FILTER_BITS - CHUNK_BITS) else 0
     return found, total
 
 
 def _candidates(shared, kind):
-    """Segments of repeated anchors; equal ones of a task are one row with the list of their places."""
+    """Segments of repeated anchors; equal ones of a task are one row with the list of their places.
+
+    Their bytes come along only where segments of the anchor differ.
+    """
 
     def emit(batches):
         wanted = shared.value
@@ -174,14 +196,15 @@ def _candidates(shared, kind):
                 if not len(hit):
                     continue
                 gram, at, first, last = gram[hit], at[hit], first[hit], last[hit]
-                digest = _range_hashes(*sums, first, last + LENGTH)
-                digest = mixed(digest + (at - first).astype(U64) * MIX_B + (last - first).astype(U64))
+                digest = _digests(sums, at, first, last)
+                bit = bit[hit] + (1 << FILTER_BITS)
+                differ = ((wanted[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).tolist()
                 doc = np.searchsorted(offsets, first, "right") - 1
                 ids, hashes = part.column("_id").take(pa.array(doc)).to_pylist(), part.column("_hash").to_numpy()[doc].tolist()
                 data = raw.tobytes()
                 for i, key in enumerate(zip(gram.tolist(), digest.tolist(), (last - first + 1).tolist(), strict=True)):
                     if key not in held:
-                        held[key] = (data[first[i] : last[i] + LENGTH], [])
+                        held[key] = (data[first[i] : last[i] + LENGTH] if differ[i] else None, [])
                     held[key][1].append((ids[i], hashes[i], int(first[i] - offsets[doc[i]])))
                 if len(held) > FLUSH_SEGMENTS // 4:
                     yield told()
@@ -292,25 +315,29 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
             now = column[i]
             held.append(batch.slice(i, j - i))
-            size += int(batch.column("windows").slice(i, j - i).to_numpy().sum()) + (j - i) * LENGTH
+            size += int(batch.column("windows").slice(i, j - i).to_numpy().sum()) // 4 + (j - i) * LENGTH // 4
     if held:
         yield from judged(held)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _hash, _spans): for each text with repeated strings the (begin, end) of them, not yet merged."""
+    """(_id, _hash, _spans): for each text with repeated strings the maximal (begin, end) runs of them."""
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
-    wanted, total = _repeated_filter(rows)
-    shared = spark.sparkContext.broadcast(wanted)  # 2**FILTER_BITS bits
+    wanted, total = _repeated_filters(rows)
+    shared = spark.sparkContext.broadcast(wanted)  # twice 2**FILTER_BITS bits
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     found = rows.mapInArrow(_candidates(shared, arrow), f"anchor long, digest long, windows long, bytes binary, ids array<{kind}>, hashes array<long>, starts array<long>")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * total * SEGMENT // SHARD_BYTES)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * total * SEGMENT // SHARD_BYTES)
     found = found.repartition(int(shards), "anchor").sortWithinPartitions("anchor")
     spans = found.mapInArrow(_repeats, f"_id {kind}, _hash long, begin long, end long")
-    return spans.groupBy("_id", "_hash").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
+    runs = """aggregate(array_sort(collect_list(struct(begin, end))), cast(array() as array<struct<begin: bigint, end: bigint>>), (a, s) ->
+        CASE WHEN size(a) > 0 AND s.begin <= element_at(a, -1).end
+             THEN concat(slice(a, 1, size(a) - 1), array(named_struct('begin', element_at(a, -1).begin, 'end', greatest(element_at(a, -1).end, s.end))))
+             ELSE concat(a, array(s)) END)"""
+    return spans.groupBy("_id", "_hash").agg(F.expr(runs).alias("_spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +373,9 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A row that repeats another (same id or not) repeats all of its strings. ``spans`` are the
     maximal removed runs. Other columns are not read; an empty table gives no rows.
     """
-    spans = repeated_spans(docs, id_col, text_col).withColumnsRenamed({"_id": "_span_id", "_hash": "_span_hash"})
+    spans = written(repeated_spans(docs, id_col, text_col), "repeated-spans").withColumnsRenamed({"_id": "_span_id", "_hash": "_span_hash"})
+    if spans.count() <= BROADCAST_DOCUMENTS:
+        spans = F.broadcast(spans)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
     rows = rows.join(spans, rows["_id"].eqNullSafe(spans["_span_id"]) & (rows["_hash"] == spans["_span_hash"]), "left")
     kind = docs.schema[id_col].dataType.simpleString()
