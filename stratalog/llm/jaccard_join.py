@@ -18,6 +18,10 @@ verified and joined into components; then pairs of different components, the
 likeliest by their bounds first, until all that the bounds allow have been verified or
 lie in one component. So a large group of near copies costs a few pairs for each
 member, not all pairs, and no link between components is lost.
+
+The number of links of each set is counted when the components are known, as linked
+sets share a component: the overlaps of all sets of a component are products of its
+matrix, a block of two chunks of sets in each task, and only the counts leave it.
 """
 
 from __future__ import annotations
@@ -48,6 +52,10 @@ POSTING = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("size", "<u4"), ("plac
 SKETCH_BITS = 1024
 #: Partners of a row in other components, round by round; the last round takes all that are left.
 CAPS = (2, 8, 64, None)
+#: A chunk of a component's sets, whose links to another chunk are counted in one task: about so many shingles and sets.
+CHUNK_SHINGLES, CHUNK_SETS = 1 << 19, 2048
+#: Columns that more than a DENSE-th of the sets hold are multiplied as dense matrices, so many at a time.
+DENSE, DENSE_COLUMNS = 16, 1024
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -362,15 +370,135 @@ def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) ->
     return written(linked.distinct(), f"{name}-links")  # a repeated row brings its set twice
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _dealt(rows: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(root, low, high, node, own, _set): each set of ``members`` (node, root, own, parts) once for every pair of chunks that its own is in."""
+    wanted = written(members.join(classes.select(F.col("_node").alias("node"), F.col("_rep").alias("_id")), "node"), "jaccard-members")
+    small = wanted.count() <= BROADCAST_CANDIDATES
+    found = rows.join(F.broadcast(wanted) if small else wanted, "_id")
+
+    def emit(batches):
+        for part, value, _, sizes, a, _ in _batches_of_sets(batches):
+            at = np.concatenate(([0], np.cumsum(sizes)))
+            node, root, own, parts = (part.column(c).to_numpy() for c in ("node", "root", "own", "parts"))
+            mine = np.flatnonzero(a == node)  # another row of the same id may hold another set
+            for i in mine.tolist():
+                data, n = value[at[i] : at[i + 1]].tobytes(), int(parts[i])
+                for k in range(0, n, 64):
+                    other = np.arange(k, min(n, k + 64))
+                    same = [np.full(len(other), x[i]) for x in (root, node, own)]
+                    yield same[0], np.minimum(own[i], other), np.maximum(own[i], other), same[1], same[2], [data] * len(other)
+
+    def batched(batches):
+        held, size = [], 0
+        for columns in emit(batches):
+            held.append(columns)
+            size += sum(map(len, columns[5]))
+            if size > BLOCK_BYTES or len(held) >= 1000:
+                yield _packed(held)
+                held, size = [], 0
+        if held:
+            yield _packed(held)
+
+    return found.mapInArrow(batched, "root long, low long, high long, node long, own long, _set binary")
+
+
+def _packed(held: list) -> pa.RecordBatch:
+    longs = [pa.array(np.concatenate([h[k] for h in held])) for k in range(5)]
+    return pa.RecordBatch.from_arrays([*longs, pa.array([d for h in held for d in h[5]], pa.binary())], ["root", "low", "high", "node", "own", "_set"])
+
+
+def link_counts(x: list[np.ndarray], y: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """How many sets of ``y`` each set of ``x`` links with, and the reverse; without ``y``, how many others of ``x``."""
+    alone = y is None
+    y = x if alone else y
+    nx, ny = (np.array([len(s) for s in side], np.int64) for side in (x, y))
+    row, other = np.repeat(np.arange(len(x)), nx), np.repeat(np.arange(len(y)), ny)
+    kinds, column = np.unique(np.concatenate([*x] if alone else [*x, *y]), return_inverse=True)
+    column, partner = (column, column) if alone else (column[: len(row)], column[len(row) :])
+    width = np.bincount(partner, minlength=len(kinds))
+    used = width > 1 if alone else (width > 0) & (np.bincount(column, minlength=len(kinds)) > 0)
+    dense = used & (width * DENSE > len(y))
+    both = np.zeros((len(x), len(y)))
+    place = np.cumsum(dense) - 1
+    here, there = np.flatnonzero(dense[column]), np.flatnonzero(dense[partner])
+    for low in range(0, int(dense.sum()), DENSE_COLUMNS):
+        a, b = np.zeros((len(x), DENSE_COLUMNS), np.float32), np.zeros((len(y), DENSE_COLUMNS), np.float32)
+        for into, who, what, at in ((a, row, column, here), (b, other, partner, there)):
+            at = at[(place[what[at]] >= low) & (place[what[at]] < low + DENSE_COLUMNS)]
+            into[who[at], place[what[at]] - low] = 1
+        both += a @ b.T
+    rare = used & ~dense
+    if rare.any():
+        at = np.flatnonzero(rare[partner])
+        order = at[np.argsort(partner[at], kind="stable")]
+        holders, width = other[order], np.where(rare, width, 0)
+        start = np.cumsum(width) - width
+        cut = np.concatenate(([0], np.cumsum(nx)))
+        for i in range(len(x)):
+            mine = column[cut[i] : cut[i + 1]]
+            mine = mine[rare[mine]]
+            w = width[mine]
+            places = np.repeat(start[mine] - (np.cumsum(w) - w), w) + np.arange(w.sum())
+            both[i] += np.bincount(holders[places], minlength=len(y))
+    linked = SHARED * both >= NEEDED * (nx[:, None] + ny[None, :] - both)
+    if alone:
+        np.fill_diagonal(linked, False)
+    return linked.sum(1), linked.sum(0)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sets sorted by (root, low, high): the links of each set between the two chunks."""
+
+    def counts(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        _, low, high = held[0][0]
+        sets = {node: (own, np.frombuffer(data, U64)) for _, node, own, data in held}  # rows of one id may bring a set twice
+        if low == high:
+            return np.array(list(sets), np.int64), link_counts([s for _, s in sets.values()])[0]
+        sides = [[(node, s) for node, (own, s) in sets.items() if own == side] for side in (low, high)]
+        if not all(sides):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = link_counts(*([s for _, s in side] for side in sides))
+        return np.array([node for side in sides for node, _ in side], np.int64), np.concatenate(found)
+
+    def told(held):
+        nodes, links = counts(held)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links.astype(np.int64))], ["_node", "_links"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high")), strict=True)
+        rest = (batch.column(c).to_pylist() for c in ("node", "own", "_set"))
+        for key, node, own, data in zip(keys, *rest, strict=True):
+            if held and held[0][0] != key:
+                yield told(held)
+                held = []
+            held.append((key, node, own, data))
+    if held:
+        yield told(held)
+
+
+def _all_links(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(_node, _links): with how many other sets each set links."""
+    members = roots.join(classes.select(F.col("_node").alias("node"), "_n"), "node")
+    parts = F.greatest(F.ceil(F.sum("_n") / CHUNK_SHINGLES), F.ceil(F.count(F.lit(1)) / CHUNK_SETS)).cast("long")
+    shares = written(members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), parts.alias("parts")), "jaccard-shares")
+    members = written(members.join(shares, "root").withColumn("own", F.pmod(F.xxhash64("node"), "parts")), "jaccard-shared")
+    two = members.where("sets = 2").select(F.col("node").alias("_node"), F.lit(1).cast("long").alias("_links"))  # a component of two sets is a link
+    dealt = _dealt(rows, classes, members.where("sets > 2").select("node", "root", "own", "parts"))
+    sorted_ = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    counted = sorted_.mapInArrow(_counted, "_node long, _links long").groupBy("_node").agg(F.sum("_links").alias("_links"))
+    return two.unionByName(counted)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """One row for each document: id, n_shingles, component_id, n_links.
 
     Words are runs of non-blanks after lower-casing A-Z. A document's set holds its
     distinct 5-word shingles, or its whole word sequence if that is shorter; null and
     blank texts have an empty set and link with nothing. Two documents link if
     100 * intersection >= 75 * union. component_id is the smallest id reachable by
-    links, the own one included. n_links counts the verified links between
-    different sets that the join needed, not those to copies. Rows that repeat an id are
+    links, the own one included. n_links counts the different sets that the document's
+    set links with; copies of one set count once, own copies not; without ``count_links`` it is null. Rows that repeat an id are
     judged one by one; a null id takes the component of its set but never names one.
     Sets are identified by 64-bit hashes. An empty table gives no rows; other columns are not read.
     """
@@ -409,7 +537,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         columns = rooted.drop("root").join(left, "u", "left_semi")  # of other columns, all pairs are verified
 
-    ends = links.select(F.col("u").alias("_node")).union(links.select(F.col("v").alias("_node"))).groupBy("_node").agg(F.count(F.lit(1)).alias("_links"))
+    ends = _all_links(rows, classes, roots) if count_links else classes.select("_node", F.lit(None).cast("long").alias("_links")).limit(0)
     named = classes.select("_node", "_rep").join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node"))
     named = written(named.join(ends, "_node", "left").select("_node", "_rep", "_root", "_links"), "jaccard-named")
     lowest = written(named.groupBy("_root").agg(F.min("_rep").alias("_component")), "jaccard-components")
@@ -420,11 +548,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("_id").alias(id_col),
         F.col("_n").alias("n_shingles"),
         F.col("_component").alias("component_id"),
-        F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
+        (F.coalesce("_links", F.lit(0)) if count_links else F.lit(None)).cast("long").alias("n_links"),
     )
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id names its component; rows without an id stay."""
-    gone = near_duplicates(docs, id_col, text_col).where(f"component_id <> `{id_col}`").select(F.col(id_col).alias("_gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, count_links=False).where(f"component_id <> `{id_col}`").select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -57,6 +57,34 @@ def test_a_large_group_of_near_copies_needs_few_pairs(spark, monkeypatch):
     assert sum(pairs) < 300 * 20
 
 
+@pytest.mark.parametrize("limits", [{}, {"CHUNK_SHINGLES": 700, "CHUNK_SETS": 4}])
+def test_n_links_counts_every_link(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*base[:50], f"own{k}", *base[50:]]) for k in range(12)]
+    texts += [" ".join([*base[k:], *(f"end{i}" for i in range(k))]) for k in range(2, 40, 4)]  # a chain: not all of a component link
+    texts += [texts[0], texts[3], "two words", "a pair of five words only once", "a pair of five words only once more", None]
+    docs = [*enumerate(texts), (0, texts[20]), (0, texts[0])]  # an id of two sets, one of them twice
+    sets = [_shingles(t) for _, t in docs]
+    kinds = {frozenset(s) for s in sets if s}
+    want = Counter((i, len(s), sum(s != t and 100 * len(s & t) >= 75 * len(s | t) for t in kinds) if s else 0) for (i, _), s in zip(docs, sets, strict=True))
+    got = jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("dense", [1, 3, 1000])
+def test_link_counts(monkeypatch, dense):
+    monkeypatch.setattr(jaccard_join, "DENSE", dense)
+    monkeypatch.setattr(jaccard_join, "DENSE_COLUMNS", 16)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(60, 50 - k % 7, replace=False)).astype(np.uint64) for k in range(30)]
+    linked = np.array([[100 * len(np.intersect1d(s, t)) >= 75 * len(np.union1d(s, t)) for t in sets] for s in sets])
+    assert (jaccard_join.link_counts(sets)[0] == linked.sum(1) - 1).all()
+    low, high = jaccard_join.link_counts(sets[:10], sets[10:])
+    assert (low == linked[:10, 10:].sum(1)).all() and (high == linked[:10, 10:].sum(0)).all()
+
+
 def test_one_of_each_group(tricky, rows):
     kept = jaccard_join.one_of_each_group(tricky)
     assert kept.columns == tricky.columns
