@@ -26,14 +26,18 @@ U64 = np.uint64
 ORDER = 5
 GAP = 32
 UNDETERMINED = "und"
+#: Log probabilities that a task holds: with many languages it keeps fewer n-grams.
+CACHED = 1 << 25
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``bytes_per_language`` (expected) and ``longest_text`` bound the labelled sample that the driver fits; nothing else is sampled."""
+    """``bytes_per_language`` (expected) and ``longest_text`` bound the labelled sample that the driver fits; nothing else is sampled.
+
+    Beyond eight languages they share eight times ``bytes_per_language``; each has one text at least, if any is within ``longest_text``.
+    """
 
     bytes_per_language: int = 1_500_000
-    most_languages: int = 64
     longest_text: int = 50_000
     calibration: float = 0.1
     reject_quantile: float = 0.995
@@ -175,7 +179,8 @@ class Identifier:
 
     def entropies(self, raw: np.ndarray, offsets: np.ndarray, held: dict) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) cross-entropies per symbol, and the number of letters. ``held`` keeps n-grams already looked up."""
-        texts, bits = len(offsets) - 1, self.settings.cache_bits
+        texts = len(offsets) - 1
+        bits = min(self.settings.cache_bits, max(10, CACHED.bit_length() - len(self.models).bit_length()))
         sym, owner, real = symbols(raw, offsets)
         letters = np.bincount(owner[real & (sym != GAP)], minlength=texts)
         hashes, places = gram_hashes(sym), np.flatnonzero(real)
@@ -194,11 +199,12 @@ class Identifier:
             at = lost[first]
             own = [h[places[at]] for h in hashes]
             before = [own[0], own[0], *(h[places[at] - 1] for h in hashes[1:ORDER])]
-            logp = np.stack([m.log_probability(own, before) for m in self.models])
-            for k in range(len(self.models)):
-                sums[:, k] += np.bincount(owner[lost], logp[k, group], texts)
             into, chosen = np.unique(slot[at], return_index=True)
-            held["keys"][into], held["logp"][:, into] = kinds[chosen], logp[:, chosen]
+            held["keys"][into] = kinds[chosen]
+            for k, model in enumerate(self.models):
+                logp = model.log_probability(own, before)
+                sums[:, k] += np.bincount(owner[lost], logp[group], texts)
+                held["logp"][k, into] = logp[chosen]
         return -sums / np.maximum(np.bincount(owner, minlength=texts), 1)[:, None], letters
 
     def calibrate(self, raw: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> None:
@@ -240,14 +246,20 @@ def in_fold(id_col: str, parts: int, rest: int) -> Column:
 
 
 def fit(docs: DataFrame, fold: Column, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
-    """Learns from a sample, bounded for each language, of the rows in ``fold`` that have text and language."""
+    """Learns every language of the rows in ``fold`` that have text and language, from a sample bounded for each."""
     size = F.octet_length(text_col).cast("long")
     rows = docs.where(fold & F.col(lang_col).isNotNull() & (size > 0) & (size <= settings.longest_text))
-    sizes = rows.groupBy(lang_col).agg(F.sum(size).alias("b")).orderBy(F.desc("b"), lang_col).limit(settings.most_languages).collect()
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(settings.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sizes = rows.groupBy(lang_col).agg(F.sum(size).alias("b")).collect()
     each = min(settings.bytes_per_language, 8 * settings.bytes_per_language // max(1, len(sizes)))
-    take = F.coalesce(*(F.when(F.col(lang_col) == r[0], F.lit(each / r[1])) for r in sizes), F.lit(0.0))
-    found = sorted(rows.where(draw < take).select(id_col, lang_col, text_col).collect(), key=lambda r: (str(r[0]), r[1], r[2]))
+    shares = docs.sparkSession.createDataFrame([(r[0], each / r[1]) for r in sizes], "_lang string, _take double")
+    of = lambda some: rows.join(F.broadcast(some), F.col(lang_col) == F.col("_lang"))
+    found = of(shares).where(draw < F.col("_take")).select(id_col, lang_col, text_col).collect()
+    met = {r[1] for r in found}
+    if missed := [(r[0],) for r in sizes if r[0] not in met]:  # small shares: one text of each language left out
+        one = F.min(F.struct(draw.alias("draw"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))).alias("one")
+        found += of(docs.sparkSession.createDataFrame(missed, "_lang string")).groupBy(lang_col).agg(one).select("one.id", lang_col, "one.text").collect()
+    found.sort(key=lambda r: (str(r[0]), r[1], r[2]))
     languages = sorted({r[1] for r in found})
     held = np.random.default_rng(settings.seed).random(len(found)) < settings.calibration
     models = []

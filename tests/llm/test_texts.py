@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from stratalog.llm import decontaminate, language_id, token_file, toxicity, url_filter
 from stratalog.llm.textkit import flat
@@ -119,6 +120,19 @@ def test_languages(spark):
     assert by[5]["held_out"] == (zlib.crc32(b"5") % 4 == 2)
 
 
+def test_more_languages_than_64(spark):
+    rng = np.random.default_rng(6)
+    docs = []
+    for k in range(70):
+        letters = [chr(0x4E00 + 20 * k + i) for i in range(20)]
+        docs += [(len(docs) + i, " ".join("".join(rng.choice(letters, 3)) for _ in range(30 if k else 3)), f"l{k}") for i in range(6)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    few = language_id.fit(table, F.lit(True), language_id.Settings(bytes_per_language=10))
+    assert few.languages == sorted({lang for *_, lang in docs})  # a share below one text still learns the language
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.languages(table).collect()}
+    assert got == {i: lang for i, _, lang in docs}
+
+
 def test_languages_without_labels(spark, nothing):
     assert language_id.languages(nothing).count() == 0
     one = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
