@@ -102,9 +102,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(raw, offsets), -50, 50)))
 
 
-def fit(texts: list[str], toxic: np.ndarray, settings: Settings = Settings()) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, settings: Settings = Settings(), weight: np.ndarray | None = None) -> Model:
     """Fits table and layer on most of the sample; the rest sets the bias where F1 is best.
 
+    There each row counts ``weight`` times: as many labelled rows as it stands for.
     With one class or none in the sample, the model says that class, or 0, of every text.
     """
     if len(set(toxic.tolist())) < 2:
@@ -116,8 +117,9 @@ def fit(texts: list[str], toxic: np.ndarray, settings: Settings = Settings()) ->
     tests = [t for t, a in zip(texts, aside, strict=True) if a]
     logits = np.concatenate([model.logits(*flat(pa.array(tests[i : i + 100], pa.string()))) for i in range(0, len(tests), 100)])
     order = np.argsort(-logits, kind="stable")
-    hits = np.cumsum(toxic[aside][order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + hits[-1])
+    worth = (np.ones(len(toxic)) if weight is None else weight)[aside][order]
+    hits = np.cumsum(toxic[aside][order] * worth)
+    f1 = 2 * hits / (np.cumsum(worth) + hits[-1])
     best = int(f1.argmax())
     below = logits[order[min(best + 1, len(order) - 1)]]
     model.bias -= float((logits[order[best]] + below) / 2)
@@ -168,8 +170,11 @@ def _fitted(texts: list[str], toxic: np.ndarray, settings: Settings) -> Model:
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, fold: Column, settings: Settings, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of the training fold, about ``rows_per_class`` of each class, drawn by a hash of the identifier."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, fold: Column, settings: Settings, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts, labels and weights of the training fold, about ``rows_per_class`` of each class, drawn by a hash of the identifier.
+
+    The weight is the inverse of the rate at which the class was drawn.
+    """
     named = labels.select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("_label"))
     named = named.where(F.col("_label").isin(0, 1) & F.col("_label_id").isNotNull())
     counts = dict(named.groupBy("_label").count().collect())
@@ -178,7 +183,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fold: Column, settings:
     few = F.broadcast(named.where(draw < take))  # rows_per_class of either class
     found = docs.where(fold & (F.octet_length(text_col) <= settings.longest_text)).join(few, docs[id_col] == few["_label_id"])
     rows = sorted(found.select(id_col, text_col, "_label").collect(), key=lambda r: (r[0], r[1], r[2]))
-    return [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
+    weight = {k: max(1.0, n / settings.rows_per_class[k]) for k, n in counts.items()}
+    return [r[1] for r in rows], np.array([r[2] for r in rows], np.int64), np.array([weight[r[2]] for r in rows])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,5 +217,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     labels every text is predicted 0. Other columns are not read.
     """
     held = in_fold(id_col, 5, 0)
-    model = fit(*labelled_sample(docs, labels, ~held, settings, id_col, text_col, label_col), settings)
+    texts, toxic, weight = labelled_sample(docs, labels, ~held, settings, id_col, text_col, label_col)
+    model = fit(texts, toxic, settings, weight)
     return scored(docs, model, id_col, text_col).select(id_col, held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))

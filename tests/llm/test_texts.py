@@ -107,6 +107,26 @@ def test_kneser_ney_sums_to_one():
         assert total == pytest.approx(1.0, abs=1e-5)
 
 
+def test_toxicity_cut_counts_rows_by_their_draw_rate(spark):
+    rng = np.random.default_rng(7)
+    docs = [(i, f"{i} " + " ".join(rng.choice(["mild", "plain", "vile", "sour"], 12, p=[0.3, 0.3, 0.2, 0.2] if i % 2 else [0.2, 0.2, 0.3, 0.3])), int(i % 2 == 0 and i % 5 > 0)) for i in range(600)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    settings = toxicity.Settings(bits=12, rows_per_class=(90, 200), calibration=0.5)
+    texts, toxic, weight = toxicity.labelled_sample(table.drop("toxic"), table, F.lit(True), settings, "doc_id", "text", "toxic")
+    clean = sum(1 - t for *_, t in docs)
+    assert set(weight[toxic == 0]) == {clean / 90} and set(weight[toxic == 1]) == {(600 - clean) / 200}
+    model, unweighted = toxicity.fit(texts, toxic, settings, weight), toxicity.fit(texts, toxic, settings)
+    aside = np.random.default_rng(settings.seed).random(len(texts)) < settings.calibration
+    logits = model.logits(*flat(pa.array([t for t, a in zip(texts, aside, strict=True) if a], pa.string())))
+    toxic, weight = toxic[aside], weight[aside]
+
+    def f1(flagged):
+        return 2 * weight[flagged & (toxic == 1)].sum() / (weight[flagged].sum() + weight[toxic == 1].sum())
+
+    assert f1(logits >= 0) >= max(f1(logits >= x) for x in logits) - 1e-9
+    assert model.bias < unweighted.bias
+
+
 def test_languages(spark):
     rng = np.random.default_rng(3)
     words = {"aa": ["lorem", "ipsum", "dolor", "amet"], "bb": ["été", "qué", "zaña", "wu"], "cc": ["中文", "水", "山川"]}
