@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalog.sources.staging import written
+
 HEADER_BYTES = 12
 GAP, SPAN = 8 * 1024, 512 * 1024
 SEGMENT_OBJECTS, SEGMENT_BYTES = 2000, 8 << 20
@@ -68,18 +70,25 @@ def greedy_groups(ranges: DataFrame, gap: int = GAP, span: int = SPAN) -> DataFr
     return rows.select("pack", F.col("group").cast("long"), "g.begin", "g.end", "g.n")
 
 
-def delta_chains(entries: DataFrame, most: int = 60) -> DataFrame:
-    """pack, oid, depth, base: for entries (pack, oid, base) the steps to the first one without a base here."""
-    spark = entries.sparkSession
-    entries.select("pack", "oid", "base").createOrReplaceTempView("_delta_entries")
-    return spark.sql(
-        f"""WITH RECURSIVE chain(pack, oid, at, depth) MAX RECURSION LEVEL {most + 2} AS (
-              SELECT pack, oid, oid, CAST(0 AS BIGINT) FROM _delta_entries
-              UNION ALL
-              SELECT c.pack, c.oid, e.base, c.depth + 1 FROM chain c JOIN _delta_entries e ON c.pack = e.pack AND c.at = e.oid
-              WHERE e.base IS NOT NULL AND c.depth < {most})
-            SELECT pack, oid, max(depth) AS depth, max_by(at, depth) AS base FROM chain GROUP BY pack, oid"""
-    )
+def delta_chains(entries: DataFrame) -> DataFrame:
+    """pack, oid, depth, base: for entries (pack, oid, base) the steps to the first one without a base here.
+
+    Every round doubles the steps that a row has gone, so a chain of any length costs the
+    logarithm of its length. A chain that runs into a cycle has no such entry: its depth and base are null.
+    """
+    has = F.col("base").isNotNull()
+    at = written(entries.select("pack", "oid", F.coalesce("base", "oid").alias("base"), has.cast("long").alias("depth")).distinct(), "delta-steps")
+    longest = at.groupBy("pack").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    moving = True
+    while moving:
+        far = at.select("pack", F.col("oid").alias("base"), F.col("base").alias("_far"), F.col("depth").alias("_more"))
+        more = F.coalesce("_more", F.lit(0))
+        gone = at.join(far, ["pack", "base"], "left").select("pack", "oid", F.coalesce("_far", "base").alias("base"), (F.col("depth") + more).alias("depth"), (more > 0).alias("_moved"))
+        at = written(gone, "delta-steps")
+        moving = not at.where("_moved").where(F.col("depth") <= longest).isEmpty()  # more steps than entries: a cycle
+        at = at.drop("_moved")
+    ends = F.col("depth") <= longest
+    return at.select("pack", "oid", F.when(ends, F.col("depth")).alias("depth"), F.when(ends, F.col("base")).alias("base"))
 
 
 def uncovered(candidates: DataFrame, cover: DataFrame) -> DataFrame:

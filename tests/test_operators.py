@@ -52,6 +52,14 @@ def test_keep_set_by_epochs(spark):
     assert {r["pack"] for r in kept.where("kept").collect()} == {"last", "e200-0", "e200-1", "e200-2"}
 
 
+def test_delta_chains_of_any_length(spark):
+    entries = [(1, i, i - 1 if i else None) for i in range(200)] + [(2, 7, 6), (2, 8, 7)]  # 6 is not in pack 2
+    entries += [(3, 1, 2), (3, 2, 1), (3, 3, 1), (3, 4, 4), (3, 5, None)]
+    got = {(r["pack"], r["oid"]): (r["depth"], r["base"]) for r in packs.delta_chains(spark.createDataFrame(entries, "pack long, oid long, base long")).collect()}
+    want = {(1, i): (i, 0) for i in range(200)} | {(2, 7): (1, 6), (2, 8): (2, 6), (3, 5): (0, 5)} | {(3, i): (None, None) for i in (1, 2, 3, 4)}
+    assert got == want
+
+
 def test_segments_against_a_model(spark):
     rng = random.Random(3)
     rows = [(w, o, rng.choice([10, 500, 3000, 20000])) for w in range(3) for o in range(60)]
