@@ -272,6 +272,7 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
 #: ASCII, and first bytes of non-ASCII characters that cannot be white space.
 _SAFE = np.zeros(256, bool)
 _SAFE[33:127] = True
+_SAFE[60] = False  # "<" may begin a special token, before which white space is one piece
 _SAFE[[*range(0xC3, 0xE0), *range(0xE4, 0xEF), *range(0xF0, 0xF5)]] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -289,7 +290,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known, self.slot = np.zeros(0, U64), np.zeros(0, np.int64)
         self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
 

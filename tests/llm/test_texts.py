@@ -230,5 +230,13 @@ def test_stretches_tokenize_as_the_whole(text):
         assert part.tolist() == [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2]
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a<|endoftext|>b", "a <|endoftext|> b", "a  <|endoftext|>  b", "a\n<|endoftext|>\nb", "a \n <|endoftext|><|endoftext|> b", "a  <b", "a\n<b"])
+def test_special_tokens_as_the_unmodified_tokenizer(text):
+    public, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    ids, _ = token_file.Encoder(path).encode(*flat(pa.array([text])))
+    assert ids.tolist() == [*tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_item_digest():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
