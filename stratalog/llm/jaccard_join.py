@@ -49,7 +49,8 @@ BLOCK_BYTES = 8 << 20
 #: Candidates whose documents are picked by a broadcast of their ids; beyond, by a shuffled join.
 BROADCAST_CANDIDATES = 500_000
 POSTING = np.dtype([("shingle", "<u8"), ("node", "<i8"), ("size", "<u4"), ("place", "<u4")])
-SKETCH_BITS = 1024
+LEAST_SKETCH = 64
+MOST_TWINS = 100_000
 #: Partners of a row in other components, round by round; the last round takes all that are left.
 CAPS = (2, 8, 64, None)
 #: A chunk of a component's sets, whose links to another chunk are counted in one task: about so many shingles and sets.
@@ -96,12 +97,18 @@ def signatures(value: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return a.view(np.int64), b.view(np.int64)
 
 
-def _batches_of_sets(batches: Iterator[pa.RecordBatch]):
-    """(part, value, owner, sizes, signature, second signature) of bounded pieces."""
+def _batches_of_sets(batches: Iterator[pa.RecordBatch], twins: np.ndarray):
+    """(part, value, owner, sizes, node, second signature) of bounded pieces.
+
+    The node of a set is its first signature, or, if its second one is among ``twins``, a mix of both.
+    """
     for batch in batches:
         for part in pieces(batch, "_text", 1 << 20):
             value, owner, sizes = shingle_sets(*flat(part.column("_text")))
-            yield part, value, owner, sizes, *signatures(value, sizes)
+            a, b = signatures(value, sizes)
+            if len(twins):
+                a = np.where(np.isin(b, twins) & (sizes > 0), mixed(a.view(U64) + b.view(U64) * MIX_B).view(np.int64), a)
+            yield part, value, owner, sizes, a, b
 
 
 def _once(node: np.ndarray, sizes: np.ndarray, owner: np.ndarray, known: set) -> np.ndarray:
@@ -115,35 +122,75 @@ def _once(node: np.ndarray, sizes: np.ndarray, owner: np.ndarray, known: set) ->
     return (first & (sizes > 0))[owner]
 
 
-def sketches(value: np.ndarray, owner: np.ndarray, documents: int) -> np.ndarray:
-    """A bitmap for each set: SKETCH_BITS bits, one set by each shingle."""
-    out = np.zeros((documents, SKETCH_BITS), bool)
-    out[owner, (value >> U64(20)).astype(np.int64) % SKETCH_BITS] = True
-    return np.packbits(out, axis=1)
+def sketches(value: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """A bitmap for each set, of a power of two of bits, twice its size at least; each shingle sets one bit."""
+    width = np.maximum(LEAST_SKETCH, 1 << np.ceil(np.log2(2 * np.maximum(sizes, 1))).astype(np.int64))
+    ends = np.cumsum(width)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+    out[(ends - width)[owner] + (value >> U64(20)).astype(np.int64) % width[owner]] = True
+    packed = np.packbits(out, bitorder="little").tobytes()
+    return [packed[(e - w) // 8 : e // 8] for e, w in zip(ends.tolist(), width.tolist(), strict=True)]
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) as they would be with ``width`` bytes."""
+    while bits.shape[-1] > width:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
+def most_overlap(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Bounds of the overlaps by bitmaps: a bit that only one set has stands for a shingle that the other lacks."""
+    width = min(x.shape[-1], y.shape[-1])
+    x, y = (folded(v, width).view(U64) for v in (x, y))
+    return np.minimum(nx - np.bitwise_count(x & ~y).sum(-1, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(-1, dtype=np.int64))
 
 
-def _profiles(rows: DataFrame, kind: str) -> DataFrame:
+def _profiles(rows: DataFrame, kind: str, twins: np.ndarray) -> DataFrame:
     def profile(batches):
-        for part, value, owner, sizes, a, _ in _batches_of_sets(batches):
-            bits = sketches(value, owner, len(sizes))
-            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(sizes), pa.array(a), pa.array([x.tobytes() for x in bits], pa.binary())], ["_id", "_n", "_node", "_sketch"])
+        for part, value, owner, sizes, a, b in _batches_of_sets(batches, twins):
+            yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(sizes), pa.array(a), pa.array(b), pa.array(sketches(value, owner, sizes), pa.binary())], ["_id", "_n", "_node", "_sign", "_sketch"])
 
-    return rows.mapInArrow(profile, f"_id {kind}, _n long, _node long, _sketch binary")
+    return rows.mapInArrow(profile, f"_id {kind}, _n long, _node long, _sign long, _sketch binary")
+
+
+def _classes(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Profiles, the classes of equal sets, and the second signatures of sets that share their first with another.
+
+    Such twins are a few in billions of sets; they are told apart by a node of their own.
+    """
+    twins = np.zeros(0, np.int64)
+    while True:
+        profiles = written(_profiles(rows, kind, twins), "jaccard-profiles")
+        best = F.min("_id").alias("_rep"), F.max("_n").alias("_n"), F.first("_sketch").alias("_sketch"), F.min("_sign").alias("_low"), F.max("_sign").alias("_high")
+        classes = written(profiles.where("_n > 0 and _id is not null").groupBy("_node").agg(*best), "jaccard-classes")
+        met = classes.where("_low <> _high").select("_node")
+        if met.isEmpty():
+            return profiles, classes.drop("_low", "_high"), twins
+        found = profiles.where("_n > 0").join(met, "_node").select("_sign").distinct().limit(MOST_TWINS + 1).collect()
+        if len(found) > MOST_TWINS:
+            raise ValueError("the signatures of too many sets collide")
+        twins = np.union1d(twins, [r[0] for r in found]).astype(np.int64)
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that may link by their sketches: a bit that only one set has stands for a shingle that the other lacks."""
+    """Pairs that may link by their sketches."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (flat(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("_sketch_u", "_sketch_v"))
         nx, ny = batch.column("_n_u").to_numpy(), batch.column("_n_v").to_numpy()
-        most = np.minimum(nx - np.bitwise_count(x & ~y).sum(1), ny - np.bitwise_count(y & ~x).sum(1))
-        keep = pa.array((SHARED + NEEDED) * most >= NEEDED * (nx + ny))
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("u", "v")], ["u", "v"])
-
-
-def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x, y = flat(batch.column("_sketch_u")), flat(batch.column("_sketch_v"))
+        wide = np.stack((np.diff(x[1]), np.diff(y[1])), 1)
+        keep = np.zeros(batch.num_rows, bool)
+        for a, b in np.unique(wide, axis=0):
+            at = np.flatnonzero((wide == (a, b)).all(1))
+            for k in range(0, len(at), max(1, BLOCK_BYTES // int(a + b))):
+                some = at[k : k + max(1, BLOCK_BYTES // int(a + b))]
+                bits = (raw[begin[some][:, None] + np.arange(w)] for (raw, begin), w in ((x, a), (y, b)))
+                keep[some] = (SHARED + NEEDED) * most_overlap(*bits, nx[some], ny[some]) >= NEEDED * (nx[some] + ny[some])
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("u", "v")], ["u", "v"])
+
+
+def _frequent(rows: DataFrame, twins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles and their ranks, by the counts of those that a task meets twice or more."""
 
     def counts(batches):
@@ -154,7 +201,7 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             twice = count > 1
             return pa.RecordBatch.from_arrays([pa.array(kinds[twice].view(np.int64)), pa.array(count[twice])], ["s", "c"])
 
-        for _, value, owner, sizes, a, _ in _batches_of_sets(batches):
+        for _, value, owner, sizes, a, _ in _batches_of_sets(batches, twins):
             kept.append(value[_once(a, sizes, owner, known)])
             held += len(kept[-1])
             if held > FLUSH:
@@ -171,7 +218,7 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rank[order]
 
 
-def _blocks(rows: DataFrame, frequent, blocks: int) -> DataFrame:
+def _blocks(rows: DataFrame, frequent, blocks: int, twins: np.ndarray) -> DataFrame:
     """(block, data): the prefix columns' entries, packed, for each block of columns."""
     keys, ranks = frequent
     shared = rows.sparkSession.sparkContext.broadcast((keys, ranks))
@@ -188,7 +235,7 @@ def _blocks(rows: DataFrame, frequent, blocks: int) -> DataFrame:
             at = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
             return pa.RecordBatch.from_arrays([pa.array(block[at[:-1]]), pa.array([data[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["block", "data"])
 
-        for _, value, owner, sizes, a, _ in _batches_of_sets(batches):
+        for _, value, owner, sizes, a, _ in _batches_of_sets(batches, twins):
             mine = _once(a, sizes, owner, known)
             value, owner = value[mine], owner[mine]
             if not len(value):
@@ -283,7 +330,13 @@ def _second_step(cap: int | None):
     def product(table: pa.Table) -> Iterator[pa.RecordBatch]:
         root, node = table["root"].to_numpy(), table["v"].to_numpy()
         size, place = table["size"].to_numpy(), table["place"].to_numpy()
-        bits = flat(table["_sketch"])[0].reshape(len(node), -1).view(U64)
+        raw, begin = flat(table["_sketch"])
+        width = np.diff(begin)
+        rows_of = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
+        bits = {w: raw[begin[at][:, None] + np.arange(w)] for w, at in rows_of.items()}
+        slot = np.empty(len(node), np.int64)
+        for at in rows_of.values():
+            slot[at] = np.arange(len(at))
         kinds, group = np.unique(root, return_inverse=True)
         minor = np.flatnonzero(group != np.bincount(group).argmax())
         is_minor = np.zeros(len(node), bool)
@@ -292,7 +345,10 @@ def _second_step(cap: int | None):
         for i in minor.tolist():
             j = np.flatnonzero((group != group[i]) & (~is_minor | (np.arange(len(node)) > i)))
             j = j[_possible(size[i], size[j], place[i], place[j])]
-            most = np.minimum(size[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1), size[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1))
+            own, most = bits[int(width[i])][slot[i]], np.zeros(len(j), np.int64)
+            for w in np.unique(width[j]):
+                at = np.flatnonzero(width[j] == w)
+                most[at] = most_overlap(own, bits[int(w)][slot[j[at]]], size[i], size[j[at]])
             slack = (SHARED + NEEDED) * most - NEEDED * (size[i] + size[j])
             j, slack = j[slack >= 0], slack[slack >= 0]
             if cap is not None and len(j) > cap:
@@ -322,11 +378,11 @@ def _second_step(cap: int | None):
     return step
 
 
-def _sets(rows: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame, twins: np.ndarray) -> DataFrame:
     """(_node, _set): the packed shingles of each document."""
 
     def emit(batches):
-        for _, value, _, sizes, a, _ in _batches_of_sets(batches):
+        for _, value, _, sizes, a, _ in _batches_of_sets(batches, twins):
             at = np.concatenate(([0], np.cumsum(sizes)))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array([value[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["_node", "_set"])
 
@@ -356,28 +412,28 @@ def _allowed(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_likely, "u long, v long")
 
 
-def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def _links(rows: DataFrame, classes: DataFrame, twins: np.ndarray, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs of nodes that link, with the overlap counted on their whole sets."""
     nodes = pairs.select(F.col("u").alias("_node")).union(pairs.select(F.col("v").alias("_node"))).distinct()
     wanted = written(classes.join(nodes, "_node").select("_node", F.col("_rep").alias("_id")), f"{name}-wanted")
     ids = wanted.select("_id").distinct()
     small = wanted.count() <= BROADCAST_CANDIDATES
     found = rows.join(F.broadcast(ids) if small else ids, "_id", "left_semi")
-    sets = written(_sets(found), f"{name}-sets")
+    sets = written(_sets(found, twins), f"{name}-sets")
     u = sets.select(F.col("_node").alias("u"), F.col("_set").alias("_set_u"))
     v = sets.select(F.col("_node").alias("v"), F.col("_set").alias("_set_v"))
     linked = pairs.join(u, "u").join(v, "v").select("u", "v", "_set_u", "_set_v").mapInArrow(_verified, "u long, v long, overlap long")
     return written(linked.distinct(), f"{name}-links")  # a repeated row brings its set twice
 
 
-def _dealt(rows: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, classes: DataFrame, twins: np.ndarray, members: DataFrame) -> DataFrame:
     """(root, low, high, node, own, _set): each set of ``members`` (node, root, own, parts) once for every pair of chunks that its own is in."""
     wanted = written(members.join(classes.select(F.col("_node").alias("node"), F.col("_rep").alias("_id")), "node"), "jaccard-members")
     small = wanted.count() <= BROADCAST_CANDIDATES
     found = rows.join(F.broadcast(wanted) if small else wanted, "_id")
 
     def emit(batches):
-        for part, value, _, sizes, a, _ in _batches_of_sets(batches):
+        for part, value, _, sizes, a, _ in _batches_of_sets(batches, twins):
             at = np.concatenate(([0], np.cumsum(sizes)))
             node, root, own, parts = (part.column(c).to_numpy() for c in ("node", "root", "own", "parts"))
             mine = np.flatnonzero(a == node)  # another row of the same id may hold another set
@@ -477,14 +533,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(held)
 
 
-def _all_links(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+def _all_links(rows: DataFrame, classes: DataFrame, twins: np.ndarray, roots: DataFrame) -> DataFrame:
     """(_node, _links): with how many other sets each set links."""
     members = roots.join(classes.select(F.col("_node").alias("node"), "_n"), "node")
     parts = F.greatest(F.ceil(F.sum("_n") / CHUNK_SHINGLES), F.ceil(F.count(F.lit(1)) / CHUNK_SETS)).cast("long")
     shares = written(members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), parts.alias("parts")), "jaccard-shares")
     members = written(members.join(shares, "root").withColumn("own", F.pmod(F.xxhash64("node"), "parts")), "jaccard-shared")
     two = members.where("sets = 2").select(F.col("node").alias("_node"), F.lit(1).cast("long").alias("_links"))  # a component of two sets is a link
-    dealt = _dealt(rows, classes, members.where("sets > 2").select("node", "root", "own", "parts"))
+    dealt = _dealt(rows, classes, twins, members.where("sets > 2").select("node", "root", "own", "parts"))
     sorted_ = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
     counted = sorted_.mapInArrow(_counted, "_node long, _links long").groupBy("_node").agg(F.sum("_links").alias("_links"))
     return two.unionByName(counted)
@@ -500,21 +556,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, the own one included. n_links counts the different sets that the document's
     set links with; copies of one set count once, own copies not; without ``count_links`` it is null. Rows that repeat an id are
     judged one by one; a null id takes the component of its set but never names one.
-    Sets are identified by 64-bit hashes. An empty table gives no rows; other columns are not read.
+    Words are told apart by 64 bits of a BLAKE2b, sets by two 64-bit signatures. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    profiles = written(_profiles(rows, kind), "jaccard-profiles")
-    classes = written(profiles.where("_n > 0 and _id is not null").groupBy("_node").agg(F.min("_id").alias("_rep"), F.max("_n").alias("_n"), F.first("_sketch").alias("_sketch")), "jaccard-classes")
+    profiles, classes, twins = _classes(rows, kind)
     shingles = profiles.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     blocks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(shingles * 0.27 * POSTING.itemsize) // BLOCK_BYTES)
 
-    packed = _blocks(rows, _frequent(rows), blocks).repartition(blocks, "block").sortWithinPartitions("block")
+    packed = _blocks(rows, _frequent(rows, twins), blocks, twins).repartition(blocks, "block").sortWithinPartitions("block")
     step = written(packed.mapInArrow(_first_step, "kind int, u long, v long, size long, place long"), "jaccard-columns")
     pairs = written(step.where("kind = 0").select("u", "v").distinct(), "jaccard-near")
-    links = _links(rows, classes, written(_allowed(classes, pairs), "jaccard-likely"), "jaccard-near")
+    links = _links(rows, classes, twins, written(_allowed(classes, pairs), "jaccard-likely"), "jaccard-near")
 
     roots = components(links.select("u", "v"))
     columns = step.where("kind = 1").groupBy("u", "v").agg(F.max("size").alias("size"), F.min("place").alias("place"))
@@ -530,14 +585,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fresh = written(across.where("not more").select("u", "v").join(pairs, ["u", "v"], "left_anti"), "jaccard-fresh")
         if not fresh.isEmpty():
             pairs = pairs.unionByName(fresh)
-            links = links.unionByName(_links(rows, classes, fresh, "jaccard-across"))
+            links = links.unionByName(_links(rows, classes, twins, fresh, "jaccard-across"))
             roots = components(links.select("u", "v"))
         left = across.where("more").select("u")
         if left.isEmpty():
             break
         columns = rooted.drop("root").join(left, "u", "left_semi")  # of other columns, all pairs are verified
 
-    ends = _all_links(rows, classes, roots) if count_links else classes.select("_node", F.lit(None).cast("long").alias("_links")).limit(0)
+    ends = _all_links(rows, classes, twins, roots) if count_links else classes.select("_node", F.lit(None).cast("long").alias("_links")).limit(0)
     named = classes.select("_node", "_rep").join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node"))
     named = written(named.join(ends, "_node", "left").select("_node", "_rep", "_root", "_links"), "jaccard-named")
     lowest = written(named.groupBy("_root").agg(F.min("_rep").alias("_component")), "jaccard-components")

@@ -7,6 +7,7 @@ bounded piece at a time; nothing here loops over characters or words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,21 @@ BLANK_IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 ALNUM_IS_WORD = ALNUM_WORDS > 0
 
 
+#: Hashes of words met by this process; forgotten when there are many.
+_HASHES: dict[bytes, int] = {}
+MOST_HASHES = 300_000
+
+
+def word_hashes(kinds: list[bytes]) -> np.ndarray:
+    """64 bits of the BLAKE2b of each word: nobody can write two words of one hash but by trying billions."""
+    if len(_HASHES) > MOST_HASHES:
+        _HASHES.clear()
+    for k in kinds:
+        if k not in _HASHES:
+            _HASHES[k] = int.from_bytes(blake2b(k, digest_size=8).digest(), "little")
+    return np.fromiter(map(_HASHES.__getitem__, kinds), U64, len(kinds))
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, document) of each word; words never cross documents."""
     n = len(raw)
@@ -97,16 +113,10 @@ def words(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: np.n
     last[:-1] &= ~inside[1:]
     last[cut[cut > 0] - 1] = inside[cut[cut > 0] - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    value = lower[raw].astype(U64)
-    value += U64(1)
-    value *= GOLD
-    value ^= value >> U64(32)
-    value *= powers(BASE, n)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(value, out=total[1:])
-    h = total[end] - total[start]
-    h *= powers(UNBASE, n)[start]
-    h = mixed(h + (end - start).astype(U64) * MIX_B)
+    bounds = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=bounds[1:])
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(lower[raw[inside]])]).dictionary_encode()
+    h = word_hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(start) else np.zeros(0, U64)
     return h, start, end, np.searchsorted(offsets, start, "right") - 1
 
 
