@@ -7,7 +7,7 @@
    of a filter of fixed size, and a second one if their segments differ. A collision
    there costs time, never a result.
 3. Segments of repeated anchors go to the shard of their anchor, equal segments
-   of a task as one, with their bytes if the second bit is set. There equal segments are
+   (by 128 bits of a BLAKE2b) of a task as one, with their bytes if the second bit is set. There equal segments are
    counted; segments that share an anchor but differ are merged: every suffix row carries the name of the STEP bytes before it (its
    Burrows-Wheeler symbol, STEP bytes wide), and the interleave of all rows is refined by
    stable passes over these symbols. A pass extends the common prefixes by STEP bytes,
@@ -20,14 +20,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from stratalog.llm.scratch import small_batches, written
-from stratalog.llm.textkit import BASE, GOLD, MIX_B, UNBASE, flat, mixed, pieces, powers, spans_of
+from stratalog.llm.textkit import BASE, GOLD, UNBASE, flat, mixed, pieces, powers, spans_of
 
 U64 = np.uint64
 LENGTH, ANCHOR, STEP = 400, 128, 50
@@ -67,11 +69,11 @@ def _window_min(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray):
-    """(anchor hash, anchor, first window, last window) of all segments, and what hashes byte ranges."""
+    """(anchor hash, first window, last window) of all segments."""
     n = len(raw)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return np.zeros(0, U64), none, none, none, None
+        return np.zeros(0, U64), none, none
     total, inverse = _prefix_sums(raw)
     grams = np.subtract(total[ANCHOR:], total[:-ANCHOR])
     grams *= inverse[: len(grams)]
@@ -83,19 +85,18 @@ def segments(raw: np.ndarray, offsets: np.ndarray):
     ends = np.repeat(offsets[1:], np.diff(offsets))[: len(anchor)]
     inside = np.flatnonzero(ends - np.arange(len(anchor)) >= LENGTH)
     if not len(inside):
-        return np.zeros(0, U64), none, none, none, None
+        return np.zeros(0, U64), none, none
     own = anchor[inside]
     new = np.concatenate(([True], (own[1:] != own[:-1]) | (np.diff(inside) > 1)))
     first = inside[new]
     last = inside[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(inside) - 1]))]
-    at = own[new]
-    return grams[at], at, first, last, (total, inverse)
+    return grams[own[new]], first, last
 
 
-def _digests(sums, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A digest of each segment: its bytes, where its anchor lies, and its windows."""
-    h = _range_hashes(*sums, first, last + LENGTH)
-    return mixed(h + (at - first).astype(U64) * MIX_B + (last - first).astype(U64))
+def _digests(data: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """128 bits of the BLAKE2b of each segment's bytes, as two numbers; the bytes fix its windows and its anchor's place."""
+    found = b"".join(blake2b(data[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True))
+    return np.frombuffer(found, U64).reshape(-1, 2)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +114,10 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for part in pieces(batch, "_text", 1 << 20):
-            gram, at, first, last, sums = segments(*flat(part.column("_text")))
+            raw, offsets = flat(part.column("_text"))
+            gram, first, last = segments(raw, offsets)
             if len(gram):
-                kept.append((gram, _digests(sums, at, first, last)))
+                kept.append((gram, _digests(raw.tobytes(), first, last)[:, 0]))
                 held += len(gram)
             if held > FLUSH_SEGMENTS * 4:
                 yield told()
@@ -180,29 +182,30 @@ def _candidates(shared, kind):
                 [
                     pa.array(np.array([k[0] for k in keys], U64).view(np.int64)),
                     pa.array(np.array([k[1] for k in keys], U64).view(np.int64)),
-                    pa.array([k[2] for k in keys], pa.int64()),
+                    pa.array(np.array([k[2] for k in keys], U64).view(np.int64)),
+                    pa.array([k[3] for k in keys], pa.int64()),
                     pa.array([item[0] for item in items], pa.binary()),
                     *lists,
                 ],
-                ["anchor", "digest", "windows", "bytes", "ids", "hashes", "starts"],
+                ["anchor", "digest", "digest2", "windows", "bytes", "ids", "hashes", "starts"],
             )
 
         for batch in batches:
             for part in pieces(batch, "_text", 1 << 20):
                 raw, offsets = flat(part.column("_text"))
-                gram, at, first, last, sums = segments(raw, offsets)
+                gram, first, last = segments(raw, offsets)
                 bit = (gram >> U64(64 - FILTER_BITS)).astype(np.int64)
                 hit = np.flatnonzero((wanted[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
                 if not len(hit):
                     continue
-                gram, at, first, last = gram[hit], at[hit], first[hit], last[hit]
-                digest = _digests(sums, at, first, last)
+                gram, first, last = gram[hit], first[hit], last[hit]
+                data = raw.tobytes()
+                digest = _digests(data, first, last)
                 bit = bit[hit] + (1 << FILTER_BITS)
                 differ = ((wanted[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).tolist()
                 doc = np.searchsorted(offsets, first, "right") - 1
                 ids, hashes = part.column("_id").take(pa.array(doc)).to_pylist(), part.column("_hash").to_numpy()[doc].tolist()
-                data = raw.tobytes()
-                for i, key in enumerate(zip(gram.tolist(), digest.tolist(), (last - first + 1).tolist(), strict=True)):
+                for i, key in enumerate(zip(gram.tolist(), digest[:, 0].tolist(), digest[:, 1].tolist(), (last - first + 1).tolist(), strict=True)):
                     if key not in held:
                         held[key] = (data[first[i] : last[i] + LENGTH] if differ[i] else None, [])
                     held[key][1].append((ids[i], hashes[i], int(first[i] - offsets[doc[i]])))
@@ -257,11 +260,11 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def judged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
-        anchor, digest = table["anchor"].to_numpy(), table["digest"].to_numpy()
+        anchor, digest, digest2 = (table[c].to_numpy() for c in ("anchor", "digest", "digest2"))
         windows = table["windows"].to_numpy()
         lists = table["starts"].combine_chunks()
         count = np.diff(lists.offsets.to_numpy())
-        group = np.unique(np.stack((anchor, digest, windows), 1), axis=0, return_inverse=True)[1].reshape(-1)
+        group = np.unique(np.stack((anchor, digest, digest2), 1), axis=0, return_inverse=True)[1].reshape(-1)
         copies = np.bincount(group, count)[group]
         first = np.zeros(len(anchor), bool)
         first[np.unique(group, return_index=True)[1]] = True
@@ -328,8 +331,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
     wanted, total = _repeated_filters(rows)
     shared = spark.sparkContext.broadcast(wanted)  # twice 2**FILTER_BITS bits
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    found = rows.mapInArrow(_candidates(shared, arrow), f"anchor long, digest long, windows long, bytes binary, ids array<{kind}>, hashes array<long>, starts array<long>")
+    found = rows.mapInArrow(_candidates(shared, to_arrow_type(docs.schema[id_col].dataType)), f"anchor long, digest long, digest2 long, windows long, bytes binary, ids array<{kind}>, hashes array<long>, starts array<long>")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * total * SEGMENT // SHARD_BYTES)
     found = found.repartition(int(shards), "anchor").sortWithinPartitions("anchor")
     spans = found.mapInArrow(_repeats, f"_id {kind}, _hash long, begin long, end long")

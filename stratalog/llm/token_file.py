@@ -1,269 +1,324 @@
 """Token ids in a file of independent blocks, packed by an adaptive context-mixing range coder.
 
-Ids are predicted by three models. Order 2 and order 1 each remember, for the last two
-ids or the last one, the id that followed, and how often it was right; the two
-confidences choose a mixing context, whose adaptive counts give the chances that
-order 2 is right, that order 1 is, or neither. Order 0 then codes the id by the counts of
-the block so far, with an escape for ids not met yet; its counts are renewed at the
-places RENEW. All this drives one range coder with 64-bit ranges and 16-bit output.
+Three orders predict the next id and are mixed. Order 0 counts the block's ids so far. Order 1 and
+order 2 remember, for the last id and the last two, the id that followed, and how sure it
+is. Their confidences choose a mixing context, whose adaptive weights add up the three distributions and the
+chance of an id that is new in the block; a new id is then coded by itself. The sum drives one
+range coder with 64-bit ranges and 32-bit output.
 
 Every block starts with empty models, and holds its number of ids and their CRC-32. So
 blocks are coded side by side, one numpy lane each, and any of them can be read alone.
 
-File format: rows (shard, block, data) in Parquet. Block -1 of a shard is its index, with
-the id and number of tokens of each document; the others hold the ids.
+File format: rows (shard, block, data) in Parquet, read in the order of block. An index record names
+documents (id and number of tokens) and stands before the blocks that hold their ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalog.llm.scratch import new_path, small_batches, written
-from stratalog.llm.suffix_dedup import _prefix_sums, _range_hashes
 from stratalog.llm.textkit import flat, pieces
 
 U64 = np.uint64
-BLOCK, LANES = 4096, 768
-SHARD_BYTES = 8 << 20
+BLOCK, LANES = 1024, 5120
+SHARD_BYTES, MOST_SHARDS, SPAN = 14 << 20, 100_000, 1000
 END_ID = 2
+#: Ids from here on are refused.
+ID_LIMIT = 1 << 24
 #: Fixed values of the format.
-MAGIC, HEAD = b"SLTB", "<4sIII"
+BLOCK_MAGIC, INDEX_MAGIC, HEAD = b"SLTB", b"SLTI", "<4sIIII"
 HEAD_BYTES = struct.calcsize(HEAD)
-RENEW = (64, 256, 1024)
-ONE_BITS, TWO_BITS = 10, 11
-STEP, MOST = 24, 8000
-TOP, LEAST = U64(1) << U64(48), U64(1) << U64(32)
-
-
-class Coder:
-    """Range coder state of many lanes."""
-
-    def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, U64), np.full(lanes, np.iinfo(np.uint64).max, U64)
-
-    def narrow(self, n, total, start, width) -> None:
-        r = self.range[:n] // total
-        self.low[:n] += r * start
-        self.range[:n] = r * width
-
-    def narrow_some(self, at, total, start, width) -> None:
-        r = self.range[at] // total
-        self.low[at] += r * start
-        self.range[at] = r * width
-
-    def settle(self, at) -> Iterator[np.ndarray]:
-        """Shifts 16 bits out of the lanes of ``at`` until each range is wide enough; yields the lanes shifted."""
-        while len(at):
-            low, width = self.low[at], self.range[at]
-            same = (low ^ (low + width)) < TOP
-            cut = ~same & (width < LEAST)
-            width = np.where(cut, (U64(0) - low) & (LEAST - U64(1)), width)
-            go = same | cut
-            at = at[go]
-            if not len(at):
-                return
-            self.range[at] = width[go]
-            yield at
-            self.low[at] <<= U64(16)
-            self.range[at] <<= U64(16)
+RENEW = (16, 32, 64, 128, 256, 384, 512, 768, 1024, 1536, 2048, 3072)
+TWO_BITS, CONTEXTS = 11, 128
+PAIR_OLD, PAIR_NEW = np.uint32(60493), np.uint32(40503)
+WIDTH_BITS = 13
+LONGEST = 4096  # ids of a block at most: widths and numbers have so many bits
+#: Mixing counts lie packed in 16-bit fields: order 2, order 1, order 0, new id.
+FIRST_COUNTS = 8 | 4 << 16 | 12 << 32 | 12 << 48
+CREDIT = 24
+MOST_COUNTS = 1900
+CREDITS = np.array([CREDIT << (16 * k) for k in range(4)], np.int64)
+HALF, ONES = 0x7FFF7FFF7FFF7FFF, 0x0001000100010001
+LEAST = U64(1 << 32)
 
 
 class Models:
-    """Order-1 and order-2 memories and the mixing counts of many lanes."""
-
-    def __init__(self, lanes: int):
-        self.one, self.one_sure = np.zeros(lanes << ONE_BITS, np.int32), np.zeros(lanes << ONE_BITS, np.int8)
-        self.two, self.two_sure = np.zeros(lanes << TWO_BITS, np.int32), np.zeros(lanes << TWO_BITS, np.int8)
-        self.mix = np.zeros((lanes << 7, 3), np.int32)
-        self.mix[:] = (8, 4, 12)
-        self.lane = np.arange(lanes)
-
-    def look(self, n: int, last: np.ndarray, before: np.ndarray) -> None:
-        lane = self.lane[:n]
-        self.at1 = (lane << ONE_BITS) + ((last * 40503) >> 3 & ((1 << ONE_BITS) - 1))
-        self.at2 = (lane << TWO_BITS) + ((last * 40503 + before * 60493) >> 4 & ((1 << TWO_BITS) - 1))
-        self.id1, self.id2 = self.one[self.at1], self.two[self.at2]
-        self.sure1, self.sure2 = self.one_sure[self.at1], self.two_sure[self.at2]
-        self.context = (lane << 7) + ((self.sure2.astype(np.int64) << 4) | (self.sure1 << 1) | (self.id1 == self.id2))
-        self.counts = self.mix[self.context]
-
-    def learn(self, ids: np.ndarray, event: np.ndarray) -> None:
-        self.mix[self.context, event] += STEP
-        full = self.counts.sum(1) > MOST
-        if full.any():
-            c = self.context[full]
-            self.mix[c] = (self.mix[c] + 1) >> 1
-        for at, guess, sure, table, sures in ((self.at1, self.id1, self.sure1, self.one, self.one_sure), (self.at2, self.id2, self.sure2, self.two, self.two_sure)):
-            right = guess == ids
-            sure = np.where(right, np.minimum(sure + 1, 7), sure >> 1)
-            table[at] = np.where(right | (sure > 0), guess, ids)
-            sures[at] = sure
-
-
-class Counts:
-    """Order 0: the counts of each lane's ids up to a place."""
-
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, upto: int):
-        lanes = len(lengths)
-        self.total = np.ones(lanes, np.int64)
-        self.seen = np.zeros(lanes, np.int64)
-        self.keys = np.zeros(0, np.int64)
-        if upto:
-            inside = np.arange(upto) < np.minimum(lengths, upto)[:, None]
-            lane = np.broadcast_to(np.arange(lanes)[:, None], inside.shape)
-            self.keys, count = np.unique((lane[inside] << 17) | ids[:, :upto][inside], return_counts=True)
-            self.end = np.cumsum(count)
-            owner = self.keys >> 17
-            self.seen = np.bincount(owner, count, lanes).astype(np.int64)
-            self.base = np.cumsum(self.seen) - self.seen
-            self.total = self.seen + np.maximum(np.bincount(owner, minlength=lanes), 1)
-
-    def interval(self, lane: np.ndarray, ids: np.ndarray):
-        """(start, width, escaped) of ids."""
-        start, width, out = self.seen[lane], (self.total - self.seen)[lane], np.ones(len(lane), bool)
-        if len(self.keys):
-            key = (lane << 17) | ids
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[at] == key
-            before = np.concatenate(([0], self.end[:-1]))[at] - self.base[lane]
-            start, width, out = np.where(known, before, start), np.where(known, self.end[at] - self.base[lane] - before, width), ~known
-        return start, width, out
-
-    def find(self, lane: np.ndarray, value: np.ndarray):
-        """(id, start, width, escaped) of the interval that holds ``value``."""
-        out = value >= self.seen[lane]
-        ids, start, width = np.zeros(len(lane), np.int64), self.seen[lane].copy(), (self.total - self.seen)[lane]
-        known = np.flatnonzero(~out)
-        if len(known):
-            at = np.searchsorted(self.end, self.base[lane[known]] + value[known], "right")
-            ids[known] = self.keys[at] & 0x1FFFF
-            start[known] = np.where(at > 0, self.end[at - 1], 0) - self.base[lane[known]]
-            width[known] = self.end[at] - self.base[lane[known]] - start[known]
-        return ids, start, width, out
+    """Order-0 to order-2 predictions of many lanes and the weights that mix them.
+
+    Ids have numbers in each block, by first occurrence. Order 0 is a line of T places
+    on which a number holds as many as it had occurrences at the last renewal, and one if
+    it is newer. Order 1 and order 2 each predict one number, with a confidence of 0 to 7. The
+    four weights of a mixing context, learned from what came true in it, give
+    P(number) = (w0 * places / T + w1 * [order 1 says so] + w2 * [order 2 says so]) / all weights,
+    and the rest to an id that is new in the block.
+    """
+
+    def __init__(self, lanes: int, steps: int, invert: bool):
+        self.cap = steps + 1
+        self.cum = np.zeros(lanes * self.cap, np.int32)  # start << WIDTH_BITS | width, on the line
+        self.inverse = np.zeros(lanes * self.cap, np.uint16) if invert else None
+        self.one = np.zeros(lanes * self.cap, np.uint16)
+        self.two = np.zeros(lanes << TWO_BITS, np.uint16)
+        self.mix = np.full(lanes * CONTEXTS, FIRST_COUNTS, np.int64)
+        lane = np.arange(lanes)
+        self.base, self.base2, self.base_mix = lane * self.cap, lane << TWO_BITS, lane * CONTEXTS
+        self.line, self.met = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.counts = np.zeros((lanes, self.cap), np.uint16)
+        self.counted = 0
+
+    def renew(self, numbers: np.ndarray, n: int, t: int) -> None:
+        """Order 0 of the first ``n`` lanes from their first ``t`` numbers (a row for each place)."""
+        top = int(self.met[:n].max()) + 1
+        for i in range(0, n, 64):
+            j = min(n, i + 64)
+            since = numbers[self.counted : t, i:j] + np.arange(j - i) * top
+            counts = self.counts[i:j, :top]
+            counts += np.bincount(since.ravel(), minlength=(j - i) * top).reshape(j - i, top).astype(np.uint16)
+            whole = counts.astype(np.int32)
+            ends = np.cumsum(whole, 1, dtype=np.int32)
+            self.cum.reshape(-1, self.cap)[i:j, :top] = (ends - whole) << WIDTH_BITS | whole
+            if self.inverse is not None:
+                places = np.repeat(np.broadcast_to(np.arange(top, dtype=np.uint16), whole.shape).ravel(), whole.ravel())
+                self.inverse.reshape(-1, self.cap)[i:j, :t] = places.reshape(j - i, t)
+        self.counted = t
+        self.line[:n] = t
+
+    def look(self, n: int, last: np.ndarray, pair: np.ndarray) -> None:
+        """What the contexts of ``n`` lanes say: ``last`` is the last number, ``pair`` a hash of the last two."""
+        self.at1 = self.base[:n] + last
+        self.at2 = self.base2[:n] + (pair >> 6 & ((1 << TWO_BITS) - 1))
+        self.said1, self.said2 = self.one.take(self.at1), self.two.take(self.at2)
+        self.id1, self.id2 = self.said1 >> 3, self.said2 >> 3
+        self.sure1, self.sure2 = self.said1 & 7, self.said2 & 7
+        self.same = self.id1 == self.id2
+        self.at_mix = self.base_mix[:n] + ((self.sure2 << 4) + (self.sure1 << 1) + self.same)
+        self.packed = self.mix.take(self.at_mix)
+        self.w2, self.w1, self.w0, self.w_new = (self.packed.view(np.uint16)[k::4].astype(np.int32) for k in range(4))
+        self.t = self.line[:n]
+        self.all_met = (self.w0 + self.w1 + self.w2) * self.t
+        self.w_new *= self.t
+        self.total = self.all_met + self.w_new
+
+    def interval(self, x: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, width) of each lane's number among ``total``."""
+        held = self.cum.take(self.base[: len(x)] + x)
+        self.is1, self.is2 = self.id1 == x, self.id2 == x
+        start = self.w0 * (held >> WIDTH_BITS) + self.t * (self.w2 * (self.id2 < x) + self.w1 * (self.id1 < x))
+        width = self.w0 * (held & ((1 << WIDTH_BITS) - 1)) + self.t * (self.w2 * self.is2 + self.w1 * self.is1)
+        np.copyto(start, self.all_met, where=new)
+        np.copyto(width, self.w_new, where=new)
+        return start, width
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, whether the id is new) of the interval that holds ``value``."""
+        n, bits = len(value), (1 << WIDTH_BITS) - 1
+        swap = self.id1 < self.id2
+        m1, m2 = self.w1 * self.t, self.w2 * self.t
+        m2 += m1 * self.same
+        m1 *= ~self.same
+        low, high = np.minimum(self.id1, self.id2), np.maximum(self.id1, self.id2)
+        m_low, m_high = np.where(swap, m1, m2), np.where(swap, m2, m1)
+        held_low, held_high = self.cum.take(self.base[:n] + low), self.cum.take(self.base[:n] + high)
+        start_low = self.w0 * (held_low >> WIDTH_BITS)
+        end_low = start_low + self.w0 * (held_low & bits) + m_low
+        start_high = self.w0 * (held_high >> WIDTH_BITS) + m_low
+        end_high = start_high + self.w0 * (held_high & bits) + m_high
+        new = value >= self.all_met
+        rest = value - m_low * (value >= end_low) - m_high * (value >= end_high)
+        place = (rest / self.w0).astype(np.int64)
+        place *= ~new
+        x = self.inverse.take(self.base[:n] + np.clip(place, 0, self.cap - 1, out=place))
+        np.copyto(x, high, where=(value >= start_high) & (value < end_high))
+        np.copyto(x, low, where=(value >= start_low) & (value < end_low))
+        np.copyto(x, self.met[:n].astype(np.uint16), where=new)
+        return x, new
+
+    def learn(self, x: np.ndarray, new: np.ndarray) -> None:
+        event = np.where(self.is2, np.uint8(0), np.where(self.is1, np.uint8(1), 2 + new.view(np.uint8)))
+        packed = self.packed
+        packed += CREDITS.take(event)
+        full = np.flatnonzero(self.total > MOST_COUNTS * self.t)
+        packed[full] = (packed[full] >> 1 & HALF) + ONES
+        self.mix[self.at_mix] = packed
+        fresh = (x << 3) + np.uint16(1)
+        for table, at, said, sure, right in ((self.one, self.at1, self.said1, self.sure1, self.is1), (self.two, self.at2, self.said2, self.sure2, self.is2)):
+            now = np.where(sure < 2, fresh, said - sure + (sure >> 1))
+            np.copyto(now, said + (sure < 7), where=right)
+            table[at] = now
+
+    def meet(self, lane: np.ndarray) -> None:
+        """Each of these lanes has met a new id."""
+        line, met = self.line[lane], self.met[lane]
+        self.cum[self.base[lane] + met] = (line << WIDTH_BITS) + 1
+        if self.inverse is not None:
+            self.inverse[self.base[lane] + line] = met
+        self.line[lane] += 1
+        self.met[lane] += 1
+
+
+def numbered(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers by first occurrence in the row, whether a place is a first occurrence), by place and row."""
+    lanes, steps = ids.shape
+    numbers, new = np.zeros((steps, lanes), np.uint16), np.zeros((steps, lanes), bool)
+    place_of = np.empty(int(ids.max(initial=0)) + 1, np.int32)  # only places just written are read
+    places = np.arange(steps, dtype=np.int32)
+    for i, length in enumerate(lengths):
+        own = ids[i, :length]
+        place_of[own[::-1]] = places[:length][::-1]
+        first = place_of[own]
+        is_first = first == places[:length]
+        numbers[:length, i] = (np.cumsum(is_first, dtype=np.uint16) - np.uint16(1))[first]
+        new[:length, i] = is_first
+    return numbers, new
+
+
+def _active(lengths: np.ndarray, steps: int) -> list[int]:
+    """How many lanes (longest first) have an id at each step."""
+    return (len(lengths) - np.cumsum(np.bincount(lengths, minlength=steps + 1)))[:steps].tolist()
 
 
 def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """The coded form of each row of ids (lanes x BLOCK, longest first)."""
+    """The coded form of each row of ids (longest first).
+
+    The coder's low end is exact: a carry is added to the words written before.
+    """
+    if ids.size and int(ids.max()) >= ID_LIMIT:
+        raise ValueError(f"ids of {ID_LIMIT} and more have no code in this format")
+    if ids.shape[1] > LONGEST:
+        raise ValueError(f"a block holds {LONGEST} ids at most")
     lanes, steps = len(lengths), int(lengths.max(initial=0))
-    coder, models = Coder(lanes), Models(lanes)
-    words, used = np.zeros((lanes, 4 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
-    ids = ids.astype(np.int64)
-
-    def put(lane):
-        words[lane, used[lane]] = (coder.low[lane] >> U64(48)).astype(np.uint16)
-        used[lane] += 1
-
-    marks = [0, *RENEW, steps]
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    for begin, stop in zip(marks[:-1], marks[1:], strict=True):
-        if begin >= steps:
-            break
-        stop = min(stop, steps)
-        zero = Counts(ids, lengths, begin)
-        lane = np.repeat(np.arange(lanes), stop - begin)
-        start0, width0, out0 = (x.reshape(lanes, -1) for x in zero.interval(lane, ids[:, begin:stop].ravel()))
-        for t in range(begin, stop):
-            n = int(np.searchsorted(-lengths, -t, "left"))
-            x = ids[:n, t]
-            models.look(n, last[:n], before[:n])
-            hit2 = models.id2 == x
-            hit1 = ~hit2 & (models.id1 == x)
-            event = np.where(hit2, 0, np.where(hit1, 1, 2))
-            c = models.counts.astype(U64)
-            coder.narrow(n, c.sum(1), np.where(hit2, U64(0), np.where(hit1, c[:, 0], c[:, 0] + c[:, 1])), c[models.lane[:n], event])
-            miss = np.flatnonzero(event == 2)
-            k = t - begin
-            coder.narrow_some(miss, zero.total[miss].astype(U64), start0[miss, k].astype(U64), width0[miss, k].astype(U64))
-            for shifted in coder.settle(models.lane[:n]):
-                put(shifted)
-            far = miss[out0[miss, k]]
-            if len(far):
-                coder.narrow_some(far, U64(1 << 16), x[far].astype(U64), U64(1))
-                for shifted in coder.settle(far):
-                    put(shifted)
-            models.learn(x, event)
-            before[:n], last[:n] = last[:n], x
-    every = models.lane
-    for _ in range(4):
-        put(every)
-        coder.low <<= U64(16)
+    numbers, new = numbered(ids, lengths)
+    top = (ids.max(1, initial=0) + 1).astype(U64) if lanes else np.zeros(0, U64)
+    models = Models(lanes, steps, False)
+    low, wide = np.zeros(lanes, U64), np.full(lanes, np.iinfo(np.uint64).max, U64)
+    room = 2 * steps + 4
+    words, used = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
+
+    def put(lane, total, start, width):
+        r = wide[lane] // total
+        add = r * start
+        now = low[lane] + add
+        carried = np.flatnonzero(now < add)
+        if len(carried):
+            at = used[lane][carried] - 1
+            while len(at):  # a full word passes the carry on
+                words[at] += np.uint32(1)
+                at = at[words[at] == 0] - 1
+        narrowed = r * width
+        low[lane], wide[lane] = now, narrowed
+        out = np.flatnonzero(narrowed < LEAST)
+        if len(out):
+            some = np.arange(lanes)[lane][out]
+            words[used[some]] = now[out] >> U64(32)
+            used[some] += 1
+            low[some] = now[out] << U64(32)
+            wide[some] = narrowed[out] << U64(32)
+
+    def put_new(lane, t):
+        put(lane, top[lane], ids[lane, t].astype(U64), U64(1))
+        models.meet(lane)
+
+    last, pair, active = np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint32), _active(lengths, steps)
+    put_new(np.arange(int((lengths > 0).sum())), 0)
+    for t in range(1, steps):
+        n = active[t]
+        if t in RENEW:
+            models.renew(numbers, n, t)
+        x, is_new = numbers[t, :n], new[t, :n]
+        models.look(n, last[:n], pair[:n])
+        start, width = models.interval(x, is_new)
+        put(slice(0, n), models.total.astype(U64), start.astype(U64), width.astype(U64))
+        models.learn(x, is_new)
+        some = np.flatnonzero(is_new)
+        if len(some):
+            put_new(some, t)
+        last, pair = x, last[:n] * PAIR_OLD + x * PAIR_NEW
+    for _ in range(2):
+        words[used] = low >> U64(32)
+        used += 1
+        low <<= U64(32)
+    words, counts = words.reshape(lanes, room).astype("<u4", copy=False), used - np.arange(lanes) * room
     out = []
     for i in range(lanes):
         raw = ids[i, : lengths[i]].astype("<u4").tobytes()
-        out.append(struct.pack(HEAD, MAGIC, int(lengths[i]), int(used[i]), zlib.crc32(raw)) + words[i, : used[i]].astype("<u2").tobytes())
+        out.append(struct.pack(HEAD, BLOCK_MAGIC, int(lengths[i]), int(counts[i]), int(top[i]), zlib.crc32(raw)) + words[i, : counts[i]].tobytes())
     return out
 
 
 def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; a block that is damaged raises ValueError."""
-    heads = [struct.unpack_from(HEAD, b) for b in blocks]
-    for b, (magic, _, used, _) in zip(blocks, heads, strict=True):
-        if magic != MAGIC or len(b) != HEAD_BYTES + 2 * used:
+    heads = [struct.unpack_from(HEAD, b) if len(b) >= HEAD_BYTES else (b"", 0, 0, 0, 0) for b in blocks]
+    for b, (magic, length, used, top, _) in zip(blocks, heads, strict=True):
+        if magic != BLOCK_MAGIC or len(b) != HEAD_BYTES + 4 * used or length > LONGEST or not 0 < top <= ID_LIMIT:
             raise ValueError("not a block of this format")
     order = sorted(range(len(blocks)), key=lambda i: -heads[i][1])
     lengths = np.array([heads[i][1] for i in order], np.int64)
+    top = np.array([heads[i][3] for i in order], U64)
     lanes, steps = len(order), int(lengths.max(initial=0))
-    words = np.zeros((lanes, max((heads[i][2] for i in order), default=0) + 4), U64)
+    room = max((heads[i][2] for i in order), default=0) + 3
+    words = np.zeros(lanes * room, np.uint32)
     for k, i in enumerate(order):
-        words[k, : heads[i][2]] = np.frombuffer(blocks[i], "<u2", heads[i][2], HEAD_BYTES)
-    coder, models = Coder(lanes), Models(lanes)
-    code, used = np.zeros(lanes, U64), np.full(lanes, 4)
-    for k in range(4):
-        code = (code << U64(16)) | words[:, k]
-
-    def take(lane):
-        code[lane] = (code[lane] << U64(16)) | words[lane, used[lane]]
-        used[lane] += 1
-
-    ids = np.zeros((lanes, max(steps, 1)), np.int64)
-    marks = [0, *RENEW, steps]
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    for begin, stop in zip(marks[:-1], marks[1:], strict=True):
-        if begin >= steps:
-            break
-        stop = min(stop, steps)
-        zero = Counts(ids, lengths, begin)
-        for t in range(begin, stop):
-            n = int(np.searchsorted(-lengths, -t, "left"))
-            models.look(n, last[:n], before[:n])
-            c = models.counts.astype(U64)
-            total = c.sum(1)
-            value = np.minimum((code[:n] - coder.low[:n]) // (coder.range[:n] // total), total - U64(1))
-            both = c[:, 0] + c[:, 1]
-            event = (value >= c[:, 0]).astype(np.int64) + (value >= both)
-            coder.narrow(n, total, np.where(event == 0, U64(0), np.where(event == 1, c[:, 0], both)), c[models.lane[:n], event])
-            x = np.where(event == 0, models.id2, models.id1).astype(np.int64)
-            miss = np.flatnonzero(event == 2)
-            some = zero.total[miss].astype(U64)
-            value = np.minimum((code[miss] - coder.low[miss]) // (coder.range[miss] // some), some - U64(1)).astype(np.int64)
-            found, start, width, out = zero.find(miss, value)
-            x[miss] = found
-            coder.narrow_some(miss, some, start.astype(U64), width.astype(U64))
-            for shifted in coder.settle(models.lane[:n]):
-                take(shifted)
-            far = miss[out]
-            if len(far):
-                r = coder.range[far] >> U64(16)
-                x[far] = np.minimum((code[far] - coder.low[far]) // r, U64(65535)).astype(np.int64)
-                coder.narrow_some(far, U64(1 << 16), x[far].astype(U64), U64(1))
-                for shifted in coder.settle(far):
-                    take(shifted)
-            models.learn(x, event)
-            before[:n], last[:n] = last[:n], x
-            ids[:n, t] = x
+        words[k * room : k * room + heads[i][2]] = np.frombuffer(blocks[i], "<u4", heads[i][2], HEAD_BYTES)
+    end = np.arange(1, lanes + 1) * room - 1  # a damaged block may ask for more than it has
+    models = Models(lanes, steps, True)
+    used = np.arange(lanes) * room + 2
+    code = words[used - 2].astype(U64) << U64(32) | words[used - 1]
+    wide = np.full(lanes, np.iinfo(np.uint64).max, U64)
+    numbers, known = np.zeros((steps, lanes), np.uint16), np.zeros((lanes, steps + 1), np.uint32)
+
+    def take(lane, r, start, width):
+        now, narrowed = code[lane] - r * start, r * width
+        code[lane], wide[lane] = now, narrowed
+        out = np.flatnonzero(narrowed < LEAST)
+        if len(out):
+            some = np.arange(lanes)[lane][out]
+            at = used[some]
+            code[some] = now[out] << U64(32) | words[at]
+            used[some] = np.minimum(at + 1, end[some])
+            wide[some] = narrowed[out] << U64(32)
+
+    def take_new(lane):
+        r = np.maximum(wide[lane] // top[lane], U64(1))
+        ids = np.minimum(code[lane] // r, top[lane] - U64(1))
+        known[lane, models.met[lane]] = ids
+        take(lane, r, ids, U64(1))
+        models.meet(lane)
+
+    last, pair, active = np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint32), _active(lengths, steps)
+    take_new(np.arange(int((lengths > 0).sum())))
+    for t in range(1, steps):
+        n = active[t]
+        if t in RENEW:
+            models.renew(numbers, n, t)
+        models.look(n, last[:n], pair[:n])
+        r = np.maximum(wide[:n] // models.total.astype(U64), U64(1))
+        value = np.minimum(code[:n] // r, (models.total - 1).astype(U64)).astype(np.int32)
+        x, is_new = models.find(value)
+        start, width = models.interval(x, is_new)
+        take(slice(0, n), r, start.astype(U64), width.astype(U64))
+        models.learn(x, is_new)
+        numbers[t, :n] = x
+        some = np.flatnonzero(is_new)
+        if len(some):
+            take_new(some)
+        last, pair = x, last[:n] * PAIR_OLD + x * PAIR_NEW
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
     for k, i in enumerate(order):
-        out[i] = ids[k, : lengths[k]].astype("<u4")
-        if zlib.crc32(out[i].tobytes()) != heads[i][3]:
+        out[i] = known[k][numbers[: lengths[k], k]].astype("<u4")
+        if zlib.crc32(out[i].tobytes()) != heads[i][4]:
             raise ValueError("a block does not match its checksum")
     return out
 
@@ -272,17 +327,25 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
 #: ASCII, and first bytes of non-ASCII characters that cannot be white space.
 _SAFE = np.zeros(256, bool)
 _SAFE[33:127] = True
-_SAFE[60] = False  # "<" may begin a special token, before which white space is one piece
 _SAFE[[*range(0xC3, 0xE0), *range(0xE4, 0xEF), *range(0xF0, 0xF5)]] = True
+_SAFE_BYTES = frozenset(np.flatnonzero(_SAFE).tolist())
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Punctuation that never shares a piece with a letter before it; the apostrophe may begin one with letters after it.
+_POINT = np.zeros(256, bool)
+_POINT[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+JOINED = 256
+MOST_KNOWN = 500_000
 
 
 class Encoder:
     """The tokenizer over distinct stretches of text.
 
-    Its pre-tokenizer never joins a word with what stands before a single space or
-    newline, so texts are cut there, and each distinct stretch is encoded once.
+    A byte-level pre-tokenizer never joins a word with what stands before a single space or
+    newline, nor with the punctuation after it, so texts are cut there, and each distinct stretch is encoded
+    once. Texts that hold an added token, and all texts if the tokenizer splits otherwise, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -290,83 +353,142 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known, self.slot = np.zeros(0, U64), np.zeros(0, np.int64)
+        parts = json.loads(self.tokenizer.to_str())
+        pre = parts["pre_tokenizer"] or {}
+        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and parts["normalizer"] is None and parts["model"]["type"] == "BPE"
+        self.added = [t["content"].encode() for t in parts["added_tokens"]]
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # a byte-level token has one character for each byte
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[bytes, int] = {}
         self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.marked = False  # whether an added token was met
+
+    def _starts(self, raw: np.ndarray, offsets: np.ndarray, data: bytes) -> np.ndarray:
+        """Where the stretches begin: every text's start, and the cuts inside of texts without added tokens."""
+        n = len(raw)
+        cut = np.zeros(n, bool)
+        if self.cuts and n > 2:
+            safe = _SAFE[raw]
+            cut[1:-1] = (raw[1:-1] == 32) & safe[2:]
+            cut[1:-1] |= (raw[1:-1] == 10) & ~_BLANK[raw[:-2]] & (raw[:-2] < 128) & safe[2:]
+            cut[1:] |= _LETTER[raw[:-1]] & _POINT[raw[1:]]
+            for token in self.added:
+                at = data.find(token) if token else -1
+                self.marked |= at >= 0
+                while at >= 0:
+                    text = int(np.searchsorted(offsets, at, "right"))
+                    cut[offsets[text - 1] : offsets[text]] = False
+                    at = data.find(token, max(at + 1, int(offsets[text]) - len(token) + 1))
+        cut[offsets[:-1][offsets[:-1] < n]] = True
+        return np.flatnonzero(cut)
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Encodes stretches not met before; those that begin with a single space, many in one call."""
+        first, rest = [], []
+        for s in fresh:
+            alone = s[0] != 32 or len(s) < 2 or s[1] not in _SAFE_BYTES or self.marked and any(t in s for t in self.added)
+            (rest if alone or not self.cuts else first).append(s)
+        calls = [b"".join(first[i : i + JOINED]) for i in range(0, len(first), JOINED)]
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in (*calls, *rest)], add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(coded[: len(calls)]), np.int32)
+        sizes = np.array([len(s) for s in first], np.int64)
+        upto = np.cumsum(self.bytes_of[ids])
+        ends = np.searchsorted(upto, np.cumsum(sizes), "right")
+        if len(ids) and upto[-1] != sizes.sum():
+            raise ValueError("the tokens of a text do not add up to its bytes")
+        more = coded[len(calls) :]
+        ends = np.concatenate((ends, len(ids) + np.cumsum([len(c) for c in more], dtype=np.int64)))
+        for k, s in enumerate((*first, *rest), len(self.slots)):
+            self.slots[s] = k
+        self.begin = np.concatenate((self.begin, len(self.ids) + ends))
+        self.ids = np.concatenate((self.ids, ids, np.fromiter(chain.from_iterable(more), np.int32)))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, END_ID after each, and the number of ids of each."""
         texts, n = len(offsets) - 1, len(raw)
-        cut = np.zeros(n, bool)
-        if n:
-            cut[1:-1] = (raw[1:-1] == 32) & _SAFE[raw[2:]]
-            cut[1:-1] |= (raw[1:-1] == 10) & ~_BLANK[raw[:-2]] & (raw[:-2] < 128) & _SAFE[raw[2:]]
-            cut[offsets[:-1][offsets[:-1] < n]] = True
-        start = np.flatnonzero(cut)
-        end = np.append(start[1:], n)
-        end = np.minimum(end, offsets[np.searchsorted(offsets, start, "right")]) if len(start) else end[:0]
-        h = _range_hashes(*_prefix_sums(raw), start, end) + (end - start).astype(U64)
-        kinds, first, group = np.unique(h, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, kinds), max(len(self.known) - 1, 0))
-        new = self.known[at] != kinds if len(self.known) else np.ones(len(kinds), bool)
-        if new.any():
-            data = raw.tobytes()
-            fresh = first[new]
-            strings = [data[start[i] : end[i]].decode("utf-8", "replace") for i in fresh]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-            sizes = np.array([len(c) for c in coded], np.int64)
-            self.ids = np.concatenate((self.ids, np.array([i for c in coded for i in c], np.int32)))
-            begin = self.begin[-1] + np.cumsum(sizes)
-            slots = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(sizes))
-            self.begin = np.concatenate((self.begin, begin))
-            known, slot = np.concatenate((self.known, kinds[new])), np.concatenate((self.slot, slots))
-            order = np.argsort(known, kind="stable")
-            self.known, self.slot = known[order], slot[order]
-        slot = self.slot[np.searchsorted(self.known, kinds)][group] if len(kinds) else np.zeros(0, np.int64)
+        data = raw.tobytes()
+        start = self._starts(raw, offsets, data)
+        bounds = np.append(start, n).astype(np.int64)
+        stretches = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        coded = stretches.dictionary_encode()  # exact: equal bytes, equal index
+        kinds = coded.dictionary.to_pylist()
+        if len(self.slots) > MOST_KNOWN:
+            self._forget()
+        if fresh := [k for k in kinds if k not in self.slots]:
+            self._learn(fresh)
+        slots = np.fromiter(map(self.slots.__getitem__, kinds), np.int64, len(kinds))
+        slot = slots[coded.indices.to_numpy()]
         sizes = self.begin[slot + 1] - self.begin[slot]
         doc = np.searchsorted(offsets, start, "right") - 1
         per = np.bincount(doc, sizes, texts).astype(np.int64) + 1
-        out = np.full(int(per.sum()), END_ID, np.int32)
-        into = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        take = np.repeat(self.begin[slot], sizes) - into + np.arange(int(sizes.sum()))
-        out[np.arange(len(take)) + np.repeat(doc, sizes)] = self.ids[take]
+        take = np.repeat(self.begin[slot] - (np.cumsum(sizes) - sizes), sizes)
+        take += np.arange(len(take))
+        inside = np.ones(int(per.sum()), bool)
+        inside[np.cumsum(per) - 1] = False
+        out = np.full(len(inside), END_ID, np.int32)
+        out[inside] = self.ids.take(take)
         return out, per
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One for each worker process, so that its tasks share what they have met."""
+    return Encoder(path)
+
+
 INDEX_ROW = np.dtype([("id", "<i8"), ("null", "<u1"), ("tokens", "<u8")])
+FILE_SCHEMA = "shard int, block int, data binary"
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
-    """Writes the ids of all documents, in ascending order of ``id_col`` (an integer; null first), to ``path``."""
+    """Writes the ids of all documents, in ascending order of ``id_col`` (an integer; null first), to ``path``.
+
+    A shard is a range of documents; it is coded as it streams by, LANES blocks at a time.
+    """
     spark = docs.sparkSession
     small_batches(spark, 500)
+    if dict(docs.dtypes)[id_col] not in INTEGERS:
+        raise ValueError(f"{id_col} must be an integer")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     if shards is None:
         size = rows.agg(F.coalesce(F.sum(F.octet_length("_text").cast("long")), F.lit(0))).first()[0]
-        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
-    ordered = rows.repartitionByRange(int(shards), F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), F.xxhash64("_text"))
+        shards = max(spark.sparkContext.defaultParallelism, min(size // SHARD_BYTES, MOST_SHARDS))
+    order = (F.col("_id").asc_nulls_first(), F.xxhash64("_text"))  # the hash parts rows that repeat an id
+    ordered = rows.repartitionByRange(int(shards), *order).sortWithinPartitions(*order)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, number = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, number = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         index, kept, held = [], [], 0
 
         def told(final: bool):
-            nonlocal kept, held, number
+            nonlocal kept, held, number, index
+            if index:
+                raw = np.concatenate(index).tobytes()
+                yield rows_of(shard, number, [struct.pack(HEAD, INDEX_MAGIC, len(raw) // INDEX_ROW.itemsize, 0, 0, zlib.crc32(raw)) + raw])
+                index, number = [], number + 1
             ids = np.concatenate(kept) if kept else np.zeros(0, np.int32)
             whole = len(ids) if final else len(ids) // (BLOCK * LANES) * BLOCK * LANES
-            for at in range(0, whole, BLOCK * LANES):
-                part = ids[at : min(whole, at + BLOCK * LANES)]
+            groups = max(1, -(-whole // (BLOCK * LANES)))
+            step = -(-whole // (BLOCK * groups)) * BLOCK  # groups of like numbers of lanes
+            for at in range(0, whole, step or 1):
+                part = ids[at : min(whole, at + step)]
                 lanes = -(-len(part) // BLOCK)
-                block = np.zeros(lanes * BLOCK, np.int64)
+                block = np.zeros(lanes * BLOCK, np.int32)
                 block[: len(part)] = part
                 lengths = np.full(lanes, BLOCK)
                 lengths[-1] = len(part) - (lanes - 1) * BLOCK
-                data = encode_blocks(block.reshape(lanes, BLOCK), lengths)
-                yield rows_of(shard, number, data)
+                yield rows_of(shard, number, encode_blocks(block.reshape(lanes, BLOCK), lengths))
                 number += lanes
             kept, held = [ids[whole:]], len(ids) - whole
 
         for batch in batches:
-            for part in pieces(batch, "_text", 1 << 20):
+            for part in pieces(batch, "_text", 4 << 20):
                 ids, per = encoder.encode(*flat(part.column("_text")))
                 row = np.zeros(part.num_rows, INDEX_ROW)
                 row["id"] = part.column("_id").fill_null(0).to_numpy()
@@ -377,12 +499,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                 held += len(ids)
                 if held >= BLOCK * LANES:
                     yield from told(False)
-        if index:
-            yield from told(True)
-            raw = np.concatenate(index).tobytes()
-            yield rows_of(shard, -1, [struct.pack(HEAD, MAGIC, len(raw) // INDEX_ROW.itemsize, 0, zlib.crc32(raw)) + raw])
+        yield from told(True)
 
-    ordered.mapInArrow(emit, "shard int, block int, data binary").write.parquet(path)
+    ordered.mapInArrow(emit, FILE_SCHEMA).write.parquet(path)
 
 
 def rows_of(shard: int, number: int, data: list[bytes]) -> pa.RecordBatch:
@@ -390,71 +509,96 @@ def rows_of(shard: int, number: int, data: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(range(number, number + n), pa.int32()), pa.array(data, pa.binary())], ["shard", "block", "data"])
 
 
+class _Reader:
+    """Documents of one shard, from its records in order."""
+
+    def __init__(self, shard: int, with_ids: bool):
+        self.shard, self.with_ids = shard, with_ids
+        self.blocks: list[bytes] = []
+        self.index, self.tail = np.zeros(0, INDEX_ROW), np.zeros(0, np.uint32)
+        self.position = self.start = 0
+
+    def add(self, data: bytes) -> Iterator[pa.RecordBatch]:
+        if data[:4] != INDEX_MAGIC:
+            self.blocks.append(data)
+            if len(self.blocks) >= LANES:
+                yield from self.told()
+            return
+        if len(data) < HEAD_BYTES or zlib.crc32(data[HEAD_BYTES:]) != struct.unpack_from(HEAD, data)[4]:
+            raise ValueError("a shard's index is damaged")
+        self.index = np.concatenate((self.index, np.frombuffer(data, INDEX_ROW, offset=HEAD_BYTES)))
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        """The documents that are complete by now."""
+        ids = np.concatenate((self.tail, *decode_blocks(self.blocks))).astype("<u4", copy=False)
+        self.blocks = []
+        ends = np.cumsum(self.index["tokens"].astype(np.int64))
+        done = int(np.searchsorted(ends, len(ids), "right"))
+        raw = memoryview(ids.tobytes())
+        for i in range(0, done, 1000):
+            own, stop = self.index[i : min(i + 1000, done)], ends[i : min(i + 1000, done)]
+            begin = stop - own["tokens"].astype(np.int64)
+            bounds = pa.array(np.append(begin, stop[-1]) - begin[0], pa.int32())
+            lists = pa.ListArray.from_arrays(bounds, pa.array(ids[begin[0] : stop[-1]].astype(np.int32))) if self.with_ids else pa.nulls(len(own), pa.list_(pa.int32()))
+            columns = [
+                pa.array(np.full(len(own), self.shard, np.int32)),
+                pa.array(np.arange(i, i + len(own)) + self.position),
+                pa.array(own["id"], mask=own["null"].astype(bool)),
+                pa.array(begin + self.start),
+                pa.array(own["tokens"].astype(np.int64)),
+                pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], pa.int64()),
+                lists,
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "position", "doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+        used = int(ends[done - 1]) if done else 0
+        self.index, self.tail = self.index[done:], ids[used:]
+        self.position, self.start = self.position + done, self.start + used
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        yield from self.told()
+        if len(self.index) or len(self.tail):
+            raise ValueError("the blocks of a shard do not hold the tokens of its index")
+
+
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """shard, position, doc_id, start (in the shard), n_tokens, ids_crc32, ids of every document of a file; ids are null unless asked for."""
-    rows = spark.read.schema("shard int, block int, data binary").parquet(path)
+    rows = spark.read.schema(FILE_SCHEMA).parquet(path)
     rows = rows.repartition("shard").sortWithinPartitions("shard", "block")
 
-    def documents(shard: int, index: np.ndarray, groups: list[bytes]) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate([np.zeros(0, np.uint32), *(x for i in range(0, len(groups), LANES) for x in decode_blocks(groups[i : i + LANES]))])
-        ends = np.cumsum(index["tokens"].astype(np.int64))
-        starts = ends - index["tokens"].astype(np.int64)
-        if (ends[-1] if len(ends) else 0) != len(ids):
-            raise ValueError("the blocks of a shard do not hold the tokens of its index")
-        raw = ids.astype("<u4").tobytes()
-        for i in range(0, len(index), 256):
-            part = range(i, min(i + 256, len(index)))
-            crc = [zlib.crc32(raw[4 * starts[k] : 4 * ends[k]]) for k in part]
-            lists = [ids[starts[k] : ends[k]].tolist() for k in part] if with_ids else [None] * len(part)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([shard] * len(part), pa.int32()),
-                    pa.array(part, pa.int64()),
-                    pa.array(index["id"][i : part.stop], mask=index["null"][i : part.stop].astype(bool)),
-                    pa.array(starts[i : part.stop]),
-                    pa.array(index["tokens"][i : part.stop].astype(np.int64)),
-                    pa.array(crc, pa.int64()),
-                    pa.array(lists, pa.list_(pa.int32())),
-                ],
-                ["shard", "position", "doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-            )
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, index, groups = None, None, []
+        reader = None
         for batch in batches:
-            for shard, block, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "data")), strict=True):
-                if shard != now and now is not None:
-                    yield from documents(now, index, groups)
-                    groups = []
-                now = shard
-                if block == -1:
-                    magic, _, _, crc = struct.unpack_from(HEAD, data)
-                    if magic != MAGIC or zlib.crc32(data[HEAD_BYTES :]) != crc:
-                        raise ValueError("a shard's index is damaged")
-                    index = np.frombuffer(data, INDEX_ROW, offset=HEAD_BYTES)
-                else:
-                    groups.append(data)
-        if now is not None:
-            yield from documents(now, index, groups)
+            for shard, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "data")), strict=True):
+                if reader is None or shard != reader.shard:
+                    if reader:
+                        yield from reader.finish()
+                    reader = _Reader(shard, with_ids)
+                yield from reader.add(data)
+        if reader:
+            yield from reader.finish()
 
     return rows.mapInArrow(decode, "shard int, position long, doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
+def _shard_offsets(rows: DataFrame) -> DataFrame:
+    """(shard, _before): the tokens of all shards before; sums of SPAN shards at a time, so no task holds more than MOST_SHARDS / SPAN or SPAN rows."""
+    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("_span", F.expr(f"shard div {SPAN}"))
+    upto = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = totals.groupBy("_span").agg(F.sum("n").alias("_sum")).select("_span", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_spans_before"))
+    inside = Window.partitionBy("_span").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return totals.join(spans, "_span").select("shard", (F.col("_spans_before") + F.col("_inside")).alias("_before"))
+
+
 def token_report(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from a file written and read back.
 
-    Null text is empty: its only id is END_ID. Rows that repeat an id lie side by side in
-    the file, in a fixed order. Other columns are not read; an empty table gives no rows.
+    Null text is empty: its only id is END_ID. ``id_col`` must be an integer column; rows that repeat an id lie
+    side by side in the file, in a fixed order, null ids first. Ids of ID_LIMIT and more are refused when
+    they are written. Other columns are not read; an empty table gives no rows. A text is held whole by one task.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     write_tokens(docs, path, tokenizer, id_col, text_col)
-    rows = read_tokens(spark, path, with_ids=False).drop("ids")
-    rows = written(rows, "token-rows")
-    totals = sorted(rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())  # one row for each shard
-    before, offsets = 0, []
-    for shard, n in totals:
-        offsets.append((shard, before))
-        before += n
-    offsets = F.broadcast(spark.createDataFrame(offsets, "shard int, _before long"))
-    return rows.join(offsets, "shard").select(F.col("doc_id").alias(id_col), (F.col("start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32")
+    rows = written(read_tokens(spark, path, with_ids=False).drop("ids"), "token-rows")
+    return rows.join(_shard_offsets(rows), "shard").select(F.col("doc_id").alias(id_col), (F.col("start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32")

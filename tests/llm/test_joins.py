@@ -51,7 +51,7 @@ def test_a_large_group_of_near_copies_needs_few_pairs(spark, monkeypatch):
     docs = [(k, " ".join([*base[:50], f"own{k}", *base[50:]])) for k in range(300)]
     pairs = []
     true_links = jaccard_join._links
-    monkeypatch.setattr(jaccard_join, "_links", lambda r, c, p, n: (pairs.append(p.count()), true_links(r, c, p, n))[1])
+    monkeypatch.setattr(jaccard_join, "_links", lambda r, c, w, p, n: (pairs.append(p.count()), true_links(r, c, w, p, n))[1])
     got = jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r["component_id"] for r in got.collect()} == {0}
     assert sum(pairs) < 300 * 20
@@ -85,6 +85,30 @@ def test_link_counts(monkeypatch, dense):
     assert (low == linked[:10, 10:].sum(1)).all() and (high == linked[:10, 10:].sum(0)).all()
 
 
+def test_words_and_signatures_that_collide(spark, monkeypatch):
+    one, two = "a", "b"
+    for _ in range(10):  # a polynomial modulo 2**64 takes these for one another
+        one, two = one + two, two + one
+    texts = [one, two, one, "a b c d e f g", "a b c d e f g h", "x y z"]
+    true = jaccard_join.signatures
+    monkeypatch.setattr(jaccard_join, "signatures", lambda value, sizes: (np.where(sizes > 0, 7, 0), true(value, sizes)[1]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string")
+    profiles, classes, twins = jaccard_join._classes(rows, "long")
+    assert classes.count() == 5 and len(twins) == 5
+    monkeypatch.setattr(jaccard_join, "signatures", true)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3, 5: 5}
+
+
+def test_sketches_bound_the_overlap():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        x = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64))
+        y = np.unique(np.concatenate((rng.choice(x, rng.integers(0, len(x) + 1), replace=False), rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64))))
+        bits = [np.frombuffer(jaccard_join.sketches(s, np.zeros(len(s), np.int64), np.array([len(s)]))[0], np.uint8) for s in (x, y)]
+        assert jaccard_join.most_overlap(*bits, len(x), len(y)) >= len(np.intersect1d(x, y))
+
+
 def test_one_of_each_group(tricky, rows):
     kept = jaccard_join.one_of_each_group(tricky)
     assert kept.columns == tricky.columns
@@ -124,6 +148,12 @@ def test_repeated_strings(tricky, rows):
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()) == want
 
 
+def test_repeated_strings_of_any_id_type(spark):
+    docs = spark.createDataFrame([("2024-01-01", 1.5, "ab" * 300), ("2024-01-02", 2.5, "xy")], "day string, n double, text string").selectExpr("cast(day as date) AS day", "n", "text")
+    for column in ("day", "n"):
+        assert {r["n_removed"] for r in suffix_dedup.repeated_strings(docs, column).collect()} == {600, 0}
+
+
 def test_empty_tables(nothing):
     assert jaccard_join.near_duplicates(nothing).count() == 0
     assert exact_dedup.exact_groups(nothing).count() == 0

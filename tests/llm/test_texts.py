@@ -17,6 +17,14 @@ from stratalog.llm.textkit import flat
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def morse_pair(rounds):
+    """Two different words of 2**rounds letters."""
+    one, two = "a", "b"
+    for _ in range(rounds):
+        one, two = one + two, two + one
+    return one, two
+
+
 def test_fm_index_finds_all_occurrences():
     rng = np.random.default_rng(1)
     seq = rng.integers(1, 5, 300)
@@ -205,7 +213,6 @@ def test_token_file(tricky, rows, nothing, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     path = public.path("byte_bpe_50k.json")
     plain = tokenizers.Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     want = Counter()
     for i, t, *_ in rows:
         ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -238,5 +245,39 @@ def test_special_tokens_as_the_unmodified_tokenizer(text):
     assert ids.tolist() == [*tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_long_texts_of_few_letters_have_their_own_tokens():
+    """Pairs that a polynomial hash modulo 2**64 takes for one another."""
+    public, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    one, two = morse_pair(11)
+    path = public.path("byte_bpe_50k.json")
+    plain, own = tokenizers.Tokenizer.from_file(path), token_file.Encoder(path)
+    ids, per = own.encode(*flat(pa.array([one, two, " " + one, " " + two])))
+    for t, part in zip([one, two, " " + one, " " + two], np.split(ids, np.cumsum(per)[:-1]), strict=True):
+        assert part.tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2]
+
+
+def test_large_ids():
+    ids = np.array([[70_000, 100_000, 3, 70_000, 100_000, (1 << 24) - 1]])
+    assert (token_file.decode_blocks(token_file.encode_blocks(ids, np.array([6])))[0] == ids[0]).all()
+    with pytest.raises(ValueError):
+        token_file.encode_blocks(np.array([[1 << 24]]), np.array([1]))
+
+
+def test_documents_that_span_many_reads(spark, tmp_path, monkeypatch):
+    """Small blocks and few lanes: documents end in later records than their index stands in."""
+    public, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    monkeypatch.setattr(token_file, "BLOCK", 16)
+    monkeypatch.setattr(token_file, "LANES", 4)
+    path = public.path("byte_bpe_50k.json")
+    texts = [" ".join(["word"] * n) for n in (0, 1, 300, 2, 63, 64, 65, 1000, 0, 5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_file.write_tokens(docs, str(tmp_path / "f"), path, shards=2)
+    got = {r["doc_id"]: r["ids"] for r in token_file.read_tokens(spark, str(tmp_path / "f")).collect()}
+    plain = tokenizers.Tokenizer.from_file(path)
+    assert got == {i: [*plain.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    with pytest.raises(ValueError):
+        token_file.write_tokens(docs.select(docs.doc_id.cast("string"), "text"), str(tmp_path / "g"), path)
+
+
 def test_item_digest():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
