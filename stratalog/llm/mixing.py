@@ -64,46 +64,48 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
     return per.select("_source", "_rows", F.col("_words").alias("_source_words"), target.alias("_target"))
 
 
-def mixed_rows(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
-    """``docs`` with _words, _source_words, _target and _copies, the times each row is to be emitted.
+def mixed_rows(docs: DataFrame, columns: list[str], source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
+    """_row (``columns`` of each row of ``docs``), _words, _source_words, _target and _copies, the times the row is to be emitted.
 
     A null text has no words, a null source is a source of its own, the last. A
     source without words has target 0 and no copies. The draws depend on
-    identifier, size and source alone, so reruns agree; rows that repeat an
-    identifier are drawn one by one. An empty table gives no rows.
+    identifier (without one, on the text), size and source alone, so reruns agree; rows that repeat an
+    identifier are drawn one by one. Columns may have any names: they travel inside _row. An empty table gives no rows.
     """
-    rows = docs.withColumn("_words", word_count(F.col(text_col)))
-    targets = source_targets(rows.select(F.col(source_col).alias("_source"), "_words"), weights)
+    of = lambda c: F.col(f"`{c}`")
+    name = F.coalesce(of(id_col).cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(of(text_col), F.lit("")).cast("binary"))))
+    rows = docs.select(F.struct(*(of(c) for c in columns)).alias("_row"), of(source_col).alias("_source"), word_count(of(text_col)).alias("_words"), name.alias("_name"))
+    targets = source_targets(rows.select("_source", "_words"), weights).withColumnRenamed("_source", "_target_source")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    rows = rows.join(targets, rows[source_col].eqNullSafe(targets["_source"]))
+    rows = rows.join(targets, rows["_source"].eqNullSafe(targets["_target_source"]))
     rate = F.when(F.col("_source_words") > 0, F.col("_target") / F.col("_source_words")).otherwise(F.lit(0.0))
-    draw = unit_hash(F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("_words").cast("string"))
+    draw = unit_hash(F.lit(str(seed)), F.col("_name"), F.col("_words").cast("string"))
     rows = rows.withColumn("_rate", rate).withColumn("_draw", draw)
     cells = F.ceil(F.col("_rows") / CELL_ROWS)
     rows = rows.withColumn("_cell", F.floor(F.col("_draw") * cells).cast("long"))
-    ladder = Window.partitionBy(source_col, "_cell").orderBy("_words", "_draw")
+    ladder = Window.partitionBy("_source", "_cell").orderBy("_words", "_draw")
     k = F.row_number().over(ladder)
-    u = unit_hash(F.lit(str(seed + 1)), F.coalesce(F.col(source_col), F.lit("")), F.col("_cell").cast("string"))
+    u = unit_hash(F.lit(str(seed + 1)), F.coalesce(F.col("_source").cast("string"), F.lit("")), F.col("_cell").cast("string"))
     rows = rows.withColumn("_k", k).withColumn("_u", u)
     part = F.col("_rate") - F.floor("_rate")
     extra = F.floor(part * F.col("_k") + F.col("_u")) - F.floor(part * (F.col("_k") - 1) + F.col("_u"))
-    rows = rows.withColumn("_copies", (F.floor("_rate") + extra).cast("int"))
-    return rows.drop("_source", "_rows", "_rate", "_draw", "_cell", "_k", "_u")
+    return rows.select("_row", "_words", "_source_words", "_target", (F.floor("_rate") + extra).cast("int").alias("_copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as its source's rate asks, columns unchanged."""
-    rows = mixed_rows(docs, **options).where(F.col("_copies") > 0)
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return rows.select(*(rows[f"`{c}`"] for c in docs.columns))
+    rows = mixed_rows(docs, docs.columns, **options).where(F.col("_copies") > 0)
+    rows = rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    return rows.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of each row."""
-    rows = mixed_rows(docs, **options)
+    id_col = options.get("id_col", "doc_id")
+    rows = mixed_rows(docs, [id_col], **options)
     return rows.select(
-        F.col(options.get("id_col", "doc_id")).alias("doc_id"),
+        F.col("_row").getField(id_col).alias("doc_id"),
         F.col("_words").alias("size"),
         F.col("_source_words").alias("source_size"),
         F.col("_target").alias("target"),

@@ -57,9 +57,9 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = sharding.with_shards(docs)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return rows.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    rows = sharding.with_shards(docs.withColumn("text_crc32", crc))  # before texts are dealt out, so that they need not be
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

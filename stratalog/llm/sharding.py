@@ -22,14 +22,16 @@ RANGES_PER_SHARD = 32
 ROWS_PER_RANGE = 500_000
 SAMPLES_PER_RANGE = 16
 OVERFULL = 2.0
-ROUNDS = 3
 ROW_BYTES = 8
 
 
-def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = rows.withColumn("_md5", F.md5(text)).withColumn("_size", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + ROW_BYTES)
-    rows = rows.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
+def _keyed(docs: DataFrame, id_col: str, text_col: str, columns: list[str]) -> DataFrame:
+    """_md5, _size, _id and _key of each row, and ``columns`` as one, _row, so that no name of theirs can clash."""
+    row = [F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row")] if columns else []
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long") + ROW_BYTES
+    ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
+    rows = docs.select(*row, F.md5(text).alias("_md5"), size.alias("_size"), ident.alias("_id"))
     return rows.withColumn("_key", F.conv(F.substring("_md5", 1, 15), 16, 10).cast("long"))
 
 
@@ -71,19 +73,21 @@ def with_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_
     """``docs`` with shard (0 .. shards - 1), slot (gapless from 0 in each shard) and size.
 
     Size is the UTF-8 length of the text (null: 0) plus 8. The shards' bytes differ
-    by less than two of the largest rows. Rows that repeat text and identifier are
-    interchangeable; null identifiers come first among equal texts. If ``docs`` has
-    columns named shard, slot or size, they are replaced. An empty table gives no rows.
+    by less than two of the largest rows. Equal texts lie side by side on the line of all bytes, but a group of
+    them straddles a boundary that falls inside it: a group may hold a third of all bytes, so
+    groups cannot be kept whole under this law. Rows that repeat text and identifier are
+    interchangeable, and cannot be parted into ranges; null identifiers come first among equal texts. If ``docs`` has
+    columns named shard, slot or size, they are replaced; all others stay as they are, whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    slim = written(_keyed(docs, id_col, text_col).select("_md5", "_key", "_id", "_size"), "shard-keys")
+    slim = written(_keyed(docs, id_col, text_col, []), "shard-keys")
     total, count = slim.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count(F.lit(1))).first()
     columns = [c for c in docs.columns if c not in ("shard", "slot", "size")]
     ranges = max(shards * RANGES_PER_SHARD, -(-count // ROWS_PER_RANGE))
     width = max(1.0, total / ranges)
 
     points = _splitters(_sampled(slim, width / SAMPLES_PER_RANGE), width)
-    for _ in range(ROUNDS):
+    while True:
         keys, ids = np.array([p[0] for p in points], np.int64), np.array([p[1] for p in points], np.int64)
         ranged = _with_range(slim, keys, ids)
         sums = ranged.groupBy("_range").agg(F.sum("_size").alias("_range_bytes"), F.count(F.lit(1)).alias("_range_rows"), F.max("_size").alias("_range_most"))
@@ -112,9 +116,9 @@ def with_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_
         return rows.withColumn("_shard", F.least(shard, F.lit(shards - 1)).cast("int"))
 
     starts = F.broadcast(placed(slim).groupBy("_shard").agg(F.min("_at").alias("_start")))  # one row for each shard
-    out = placed(_keyed(docs, id_col, text_col)).join(starts, "_shard")
+    out = placed(_keyed(docs, id_col, text_col, columns)).join(starts, "_shard")
     return out.select(
-        *(out[f"`{c}`"] for c in columns),
+        *(F.col("_row").getField(c).alias(c) for c in columns),
         F.col("_size").alias("size"),
         F.col("_shard").alias("shard"),
         (F.col("_at") - F.col("_start")).alias("slot"),

@@ -4,10 +4,13 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
-from stratalog.llm import mixing, sharding
+from stratalog.llm import mixing, sharding, toxicity
 from stratalog.llm.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -57,6 +60,18 @@ def test_mixing_without_words(spark, nothing):
     assert mixing.mix_report(nothing).count() == 0 and mixing.mix(nothing).count() == 0
 
 
+CLASHES = "_words _copies _copy _source _row _size _id _range _md5 _key _shard _draw _rate _name _at _end".split()
+
+
+def test_columns_of_any_name_stay_as_they_are(tricky):
+    docs = tricky.selectExpr("*", *(f"concat('{c}', doc_id) AS `{c}`" for c in CLASHES), "'odd' AS `a.b c`")
+    want = Counter(tuple(r) for r in docs.collect())
+    assert Counter(tuple(r)[: len(docs.columns)] for r in sharding.with_shards(docs.drop("shard")).select(*(f"`{c}`" for c in docs.drop("shard").columns)).collect()) == Counter(tuple(r) for r in docs.drop("shard").collect())
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert set(map(tuple, mixed.collect())) <= set(want)
+
+
 @pytest.mark.parametrize("shards", [1, 5, 24])
 def test_shards(tricky, rows, shards):
     got = sharding.with_shards(tricky, shards).collect()
@@ -86,21 +101,92 @@ def test_oracles(spark, name):
     got, want = QUERIES[name](spark, DATA).toPandas(), duck.sql(ORACLES[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    key = lambda d: sorted(tuple(str(v) if v is not None and v == v else "null" for v in r) for r in d[columns].itertuples(index=False))
+    key = lambda d: sorted(tuple("null" if pd.isna(v) else str(v) for v in r) for r in d[columns].itertuples(index=False))
     assert key(got) == key(want)
 
 
-def test_pipeline(spark):
+def plain_words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def components_of(rows):
+    """component of each place of ``rows``, by all pairs."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for r in rows:
+        w = plain_words((r["text"] or "").translate(lower))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    of = list(range(len(rows)))
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets[:i]):
+            if s and t and of[i] != of[j] and 100 * len(s & t) >= 75 * len(s | t):
+                old, new = of[i], of[j]
+                of = [new if x == old else x for x in of]
+    return of
+
+
+def contaminated(text, windows):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(lower))
+    hit = {p for n in {len(x) for x in windows} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for p in range(i, i + n)}
+    return len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
+@pytest.mark.parametrize("which", ["tricky", "documents", "nothing"])
+def test_pipeline(spark, request, tmp_path, which):
+    """Every stage on all that its predecessor kept, against plain Python; run() gives what the stages give."""
     pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    seen = [docs.count()]
-    now = docs
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet") if which == "documents" else request.getfixturevalue(which).withColumn("_words", F.lit("mine"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower)) for t in items]
+    windows = {tuple(w[k : k + 13]) for w in split if w for k in range(max(1, len(w) - 12))}
+    count = lambda rows: Counter(map(tuple, rows))
+    now, before, last = docs, docs.collect(), None
     for name, stage in pipeline.STAGES:
-        now = stage(spark, now, DATA)
+        now = stage(spark, now, str(tmp_path))
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        rows = now.collect()
         if name != "sharding":
             assert now.columns == docs.columns
-        now = now.cache()
-        seen.append(now.count())
-    assert seen[0] >= seen[1] >= seen[2] >= seen[3] and seen[4] == seen[5] > 0
-    assert set(now.columns) == {*docs.columns, "size", "shard", "slot"}
+        if name == "toxicity":
+            judged = toxicity.toxicity(docs, spark.read.parquet(f"{DATA}/labels.parquet")).where("predicted = 1").collect()
+            gone = {r["doc_id"] for r in judged}
+            assert count(rows) == count(r for r in before if r["doc_id"] not in gone)
+        elif name == "jaccard_join":
+            of = components_of(before)
+            lowest = {c: min((r["doc_id"] for r, k in zip(before, of, strict=True) if k == c and r["doc_id"] is not None), default=None) for c in set(of)}
+            gone = {r["doc_id"] for r, c in zip(before, of, strict=True) if r["doc_id"] is not None and r["doc_id"] != lowest[c]}
+            assert count(rows) == count(r for r in before if r["doc_id"] not in gone)
+        elif name == "decontamination":
+            gone = {r["doc_id"] for r in before if contaminated(r["text"], windows)}
+            assert count(rows) == count(r for r in before if r["doc_id"] not in gone)
+        elif name == "mixing":
+            sizes = defaultdict(int)
+            for r in before:
+                sizes[r["source"]] += len(plain_words(r["text"]))
+            want, had, got = targets(sizes) if sizes else {}, count(before), count(rows)
+            for r in before:
+                rate = want[r["source"]] / sizes[r["source"]] if sizes[r["source"]] else 0
+                assert int(rate) * had[tuple(r)] <= got[tuple(r)] <= -int(-rate // 1) * had[tuple(r)]
+            assert set(got) <= set(had)
+        else:
+            kept = [c for c in docs.columns if c not in ("shard", "slot", "size")]
+            assert count(tuple(r[c] for c in kept) for r in rows) == count(tuple(r[c] for c in kept) for r in before)
+            slots = defaultdict(list)
+            for r in rows:
+                assert r["size"] == len((r["text"] or "").encode()) + 8
+                slots[r["shard"]].append((r["slot"], r["size"]))
+            assert all(sorted(k for k, _ in s) == list(range(len(s))) for s in slots.values())
+            if rows:
+                sums = [sum(b for _, b in slots[k]) for k in range(24)]
+                assert max(sums) - min(sums) <= 2 * max(r["size"] for r in rows)
+            last = count(rows)
+        before = rows
+    assert count(pipeline.run(spark, str(tmp_path)).collect()) == last
     assert "pipeline" in __spark_entry__.queries()
