@@ -206,7 +206,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Words are runs of digits, letters and non-ASCII after lower-casing A-Z. A phrase
     is ``window`` consecutive words of an item, or the whole of a shorter item; items
     without words have none. ``items`` are the ids, as sorted strings, of the items a
-    phrase of which occurs; ``spans`` the merged byte ranges (start, end) of the words hit.
+    phrase of which occurs (the phrases of an item without id hit words, but it is neither named nor counted); ``spans`` the merged byte ranges (start, end) of the words hit.
     Null text has no words, repeated rows are judged one by one, other columns
     are not read.
     """
@@ -217,7 +217,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"))
 
     def one_pass(items, last: bool):
-        names = [str(i) for i, _ in items]
+        names = [None if i is None else str(i) for i, _ in items]
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases = Phrases(items, window)
@@ -238,7 +238,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                             own = np.flatnonzero(hit[base[d] : base[d + 1]])
                             hits[d] = np.union1d(hits[d], own).astype(np.int64).tolist()
                             mine = np.unique(phrase[doc == d])
-                            owners = {names[o] for p in mine for o in phrases.owner[phrases.owner_at[p] : phrases.owner_at[p + 1]]}
+                            owners = {names[o] for p in mine for o in phrases.owner[phrases.owner_at[p] : phrases.owner_at[p + 1]]} - {None}
                             found[d] = sorted({*found[d], *owners})
                     columns = [part.column(id_col), part.column("text"), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))]
                     if last:

@@ -246,15 +246,15 @@ def in_fold(id_col: str, parts: int, rest: int) -> Column:
 
 
 def fit(docs: DataFrame, fold: Column, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
-    """Learns every language of the rows in ``fold`` that have text and language, from a sample bounded for each."""
+    """Learns every language of the rows in ``fold`` that have text and language, from a sample bounded for each; equal rows count once."""
     size = F.octet_length(text_col).cast("long")
     rows = docs.where(fold & F.col(lang_col).isNotNull() & (size > 0) & (size <= settings.longest_text))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(settings.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(settings.seed), F.col(text_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sizes = rows.groupBy(lang_col).agg(F.sum(size).alias("b")).collect()
     each = min(settings.bytes_per_language, 8 * settings.bytes_per_language // max(1, len(sizes)))
     shares = docs.sparkSession.createDataFrame([(r[0], each / r[1]) for r in sizes], "_lang string, _take double")
     of = lambda some: rows.join(F.broadcast(some), F.col(lang_col) == F.col("_lang"))
-    found = of(shares).where(draw < F.col("_take")).select(id_col, lang_col, text_col).collect()
+    found = of(shares).where(draw < F.col("_take")).select(id_col, lang_col, text_col).distinct().collect()
     met = {r[1] for r in found}
     if missed := [(r[0],) for r in sizes if r[0] not in met]:  # small shares: one text of each language left out
         one = F.min(F.struct(draw.alias("draw"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))).alias("one")

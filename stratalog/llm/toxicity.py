@@ -11,7 +11,7 @@ For scoring, table and layer fold into one number for each bucket.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -170,19 +170,22 @@ def _fitted(texts: list[str], toxic: np.ndarray, settings: Settings) -> Model:
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, fold: Column, settings: Settings, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, fold: Callable[[str], Column], settings: Settings, id_col: str, text_col: str, label_col: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, labels and weights of the training fold, about ``rows_per_class`` of each class, drawn by a hash of the identifier.
 
-    The weight is the inverse of the rate at which the class was drawn.
+    ``fold`` says of an identifier column which rows may be learned from; no other label is looked at. The weight is the
+    inverse of the rate at which the class was drawn. An identifier with both labels has none; of rows that repeat
+    an identifier the smallest text stands for all, so that the sample stays bounded.
     """
     named = labels.select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("_label"))
-    named = named.where(F.col("_label").isin(0, 1) & F.col("_label_id").isNotNull())
+    named = named.where(F.col("_label").isin(0, 1) & F.col("_label_id").isNotNull() & fold("_label_id"))
+    named = named.groupBy("_label_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_most")).where("_label = _most").drop("_most")
     counts = dict(named.groupBy("_label").count().collect())
     draw = F.pmod(F.xxhash64(F.col("_label_id"), F.lit(settings.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     take = F.coalesce(*(F.when(F.col("_label") == k, F.lit(settings.rows_per_class[k] / n)) for k, n in counts.items()), F.lit(0.0))
     few = F.broadcast(named.where(draw < take))  # rows_per_class of either class
-    found = docs.where(fold & (F.octet_length(text_col) <= settings.longest_text)).join(few, docs[id_col] == few["_label_id"])
-    rows = sorted(found.select(id_col, text_col, "_label").collect(), key=lambda r: (r[0], r[1], r[2]))
+    found = docs.where(fold(id_col) & (F.octet_length(text_col) <= settings.longest_text)).join(few, docs[id_col] == few["_label_id"])
+    rows = sorted(found.groupBy(F.col("_label_id"), "_label").agg(F.min(text_col).alias("_text")).select("_label_id", "_text", "_label").collect(), key=lambda r: (r[0], r[1], r[2]))
     weight = {k: max(1.0, n / settings.rows_per_class[k]) for k, n in counts.items()}
     return [r[1] for r in rows], np.array([r[2] for r in rows], np.int64), np.array([weight[r[2]] for r in rows])
 
@@ -212,11 +215,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     """One row for each document: id, held_out, score, predicted.
 
     Learns from labelled documents outside the held-out fold (crc32 of the identifier
-    modulo 5 is 0). Labels other than 0 and 1, and null texts, are not learned from.
+    modulo 5 is 0). Labels other than 0 and 1, identifiers with both, and null texts, are not learned from.
     Repeated rows are scored one by one; an empty table gives no rows, and without
     labels every text is predicted 0. Other columns are not read.
     """
     held = in_fold(id_col, 5, 0)
-    texts, toxic, weight = labelled_sample(docs, labels, ~held, settings, id_col, text_col, label_col)
+    texts, toxic, weight = labelled_sample(docs, labels, lambda c: ~in_fold(c, 5, 0), settings, id_col, text_col, label_col)
     model = fit(texts, toxic, settings, weight)
     return scored(docs, model, id_col, text_col).select(id_col, held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
