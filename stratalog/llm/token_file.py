@@ -3,8 +3,8 @@
 Three orders predict the next id and are mixed. Order 0 counts the block's ids so far. Order 1 and
 order 2 remember, for the last id and the last two, the id that followed, and how sure it
 is. Their confidences choose a mixing context, whose adaptive weights add up the three distributions and the
-chance of an id that is new in the block; a new id is then coded by itself. The sum drives one
-range coder with 64-bit ranges and 32-bit output.
+chance of an id that is new in the block. The sum drives one range coder with 64-bit ranges and 32-bit output. A
+block also lists its distinct ids, in the order in which they are new.
 
 Every block starts with empty models, and holds its number of ids and their CRC-32. So
 blocks are coded side by side, one numpy lane each, and any of them can be read alone.
@@ -25,12 +25,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalog.llm.scratch import new_path, small_batches, written
-from stratalog.llm.textkit import flat, pieces
+from stratalog.llm.textkit import flat, pieces_of
 
 U64 = np.uint64
 BLOCK, LANES = 1024, 5120
@@ -39,9 +40,9 @@ END_ID = 2
 #: Ids from here on are refused.
 ID_LIMIT = 1 << 24
 #: Fixed values of the format.
-BLOCK_MAGIC, INDEX_MAGIC, HEAD = b"SLTB", b"SLTI", "<4sIIII"
+BLOCK_MAGIC, INDEX_MAGIC, HEAD = b"SLTB", b"SLTI", "<4sIIIII"
 HEAD_BYTES = struct.calcsize(HEAD)
-RENEW = (16, 32, 64, 128, 256, 384, 512, 768, 1024, 1536, 2048, 3072)
+RENEW = (64, 256, 576)
 TWO_BITS, CONTEXTS = 11, 128
 PAIR_OLD, PAIR_NEW = np.uint32(60493), np.uint32(40503)
 WIDTH_BITS = 13
@@ -68,8 +69,9 @@ class Models:
 
     def __init__(self, lanes: int, steps: int, invert: bool):
         self.cap = steps + 1
-        self.cum = np.zeros(lanes * self.cap, np.int32)  # start << WIDTH_BITS | width, on the line
-        self.inverse = np.zeros(lanes * self.cap, np.uint16) if invert else None
+        ahead = np.arange(self.cap, dtype=np.int32)
+        self.cum = np.tile((ahead << WIDTH_BITS) + 1, lanes)  # start << WIDTH_BITS | width, on the line
+        self.inverse = np.tile(ahead.astype(np.uint16), lanes) if invert else None
         self.one = np.zeros(lanes * self.cap, np.uint16)
         self.two = np.zeros(lanes << TWO_BITS, np.uint16)
         self.mix = np.full(lanes * CONTEXTS, FIRST_COUNTS, np.int64)
@@ -80,19 +82,24 @@ class Models:
         self.counted = 0
 
     def renew(self, numbers: np.ndarray, n: int, t: int) -> None:
-        """Order 0 of the first ``n`` lanes from their first ``t`` numbers (a row for each place)."""
-        top = int(self.met[:n].max()) + 1
+        """Order 0 of the first ``n`` lanes from their first ``t`` numbers (a row for each place).
+
+        Numbers to come get one place each, after those that have been.
+        """
+        top, cum = int(self.met[:n].max()) + 1, self.cum.reshape(-1, self.cap)
         for i in range(0, n, 64):
             j = min(n, i + 64)
             since = numbers[self.counted : t, i:j] + np.arange(j - i) * top
             counts = self.counts[i:j, :top]
             counts += np.bincount(since.ravel(), minlength=(j - i) * top).reshape(j - i, top).astype(np.uint16)
-            whole = counts.astype(np.int32)
+            whole = np.maximum(counts, 1).astype(np.int32)
             ends = np.cumsum(whole, 1, dtype=np.int32)
-            self.cum.reshape(-1, self.cap)[i:j, :top] = (ends - whole) << WIDTH_BITS | whole
+            cum[i:j, :top] = (ends - whole) << WIDTH_BITS | whole
+            cum[i:j, top:] = ((ends[:, -1:] + np.arange(self.cap - top, dtype=np.int32)) << WIDTH_BITS) + 1
             if self.inverse is not None:
-                places = np.repeat(np.broadcast_to(np.arange(top, dtype=np.uint16), whole.shape).ravel(), whole.ravel())
-                self.inverse.reshape(-1, self.cap)[i:j, :t] = places.reshape(j - i, t)
+                inverse = self.inverse.reshape(-1, self.cap)[i:j]
+                inverse[:, :t] = np.repeat(np.broadcast_to(np.arange(top, dtype=np.uint16), counts.shape).ravel(), counts.ravel()).reshape(j - i, t)
+                inverse[:, t:] = np.arange(self.cap - t, dtype=np.uint16) + self.met[i:j, None].astype(np.uint16)
         self.counted = t
         self.line[:n] = t
 
@@ -159,29 +166,30 @@ class Models:
             np.copyto(now, said + (sure < 7), where=right)
             table[at] = now
 
-    def meet(self, lane: np.ndarray) -> None:
-        """Each of these lanes has met a new id."""
-        line, met = self.line[lane], self.met[lane]
-        self.cum[self.base[lane] + met] = (line << WIDTH_BITS) + 1
-        if self.inverse is not None:
-            self.inverse[self.base[lane] + line] = met
-        self.line[lane] += 1
-        self.met[lane] += 1
+    def meet(self, new: np.ndarray) -> None:
+        """These lanes have met a new id."""
+        self.line[: len(new)] += new
+        self.met[: len(new)] += new
 
 
 def numbered(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(numbers by first occurrence in the row, whether a place is a first occurrence), by place and row."""
     lanes, steps = ids.shape
     numbers, new = np.zeros((steps, lanes), np.uint16), np.zeros((steps, lanes), bool)
-    place_of = np.empty(int(ids.max(initial=0)) + 1, np.int32)  # only places just written are read
-    places = np.arange(steps, dtype=np.int32)
-    for i, length in enumerate(lengths):
-        own = ids[i, :length]
-        place_of[own[::-1]] = places[:length][::-1]
-        first = place_of[own]
-        is_first = first == places[:length]
-        numbers[:length, i] = (np.cumsum(is_first, dtype=np.uint16) - np.uint16(1))[first]
-        new[:length, i] = is_first
+    top = int(ids.max(initial=0)) + 1
+    together = max(1, min(16, (1 << 20) // top))
+    place_of = np.empty(top * together, np.int32)  # only places just written are read
+    for i in range(0, lanes, together):
+        own = ids[i : i + together]
+        n = len(own)
+        keys, places = (own + np.arange(n)[:, None] * top).ravel(), np.arange(own.size, dtype=np.int32)
+        place_of[keys[::-1]] = places[::-1]
+        first = place_of.take(keys)
+        is_first = first == places
+        order = np.cumsum(is_first.reshape(n, steps), axis=1, dtype=np.uint16) - np.uint16(1)
+        numbers[:, i : i + n] = order.ravel().take(first).reshape(n, steps).T
+        new[:, i : i + n] = is_first.reshape(n, steps).T
+    new &= np.arange(steps)[:, None] < lengths
     return numbers, new
 
 
@@ -201,38 +209,32 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         raise ValueError(f"a block holds {LONGEST} ids at most")
     lanes, steps = len(lengths), int(lengths.max(initial=0))
     numbers, new = numbered(ids, lengths)
-    top = (ids.max(1, initial=0) + 1).astype(U64) if lanes else np.zeros(0, U64)
     models = Models(lanes, steps, False)
     low, wide = np.zeros(lanes, U64), np.full(lanes, np.iinfo(np.uint64).max, U64)
     room = 2 * steps + 4
     words, used = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
 
-    def put(lane, total, start, width):
-        r = wide[lane] // total
-        add = r * start
-        now = low[lane] + add
-        carried = np.flatnonzero(now < add)
+    def put(n, total, start, width):
+        r = wide[:n] // total
+        start *= r
+        low[:n] += start
+        carried = np.flatnonzero(low[:n] < start)
         if len(carried):
-            at = used[lane][carried] - 1
+            at = used[carried] - 1
             while len(at):  # a full word passes the carry on
                 words[at] += np.uint32(1)
                 at = at[words[at] == 0] - 1
-        narrowed = r * width
-        low[lane], wide[lane] = now, narrowed
-        out = np.flatnonzero(narrowed < LEAST)
+        np.multiply(r, width, out=wide[:n])
+        out = np.flatnonzero(wide[:n] < LEAST)
         if len(out):
-            some = np.arange(lanes)[lane][out]
-            words[used[some]] = now[out] >> U64(32)
-            used[some] += 1
-            low[some] = now[out] << U64(32)
-            wide[some] = narrowed[out] << U64(32)
-
-    def put_new(lane, t):
-        put(lane, top[lane], ids[lane, t].astype(U64), U64(1))
-        models.meet(lane)
+            at, now = used[out], low[out]
+            words[at] = now >> U64(32)
+            used[out] = at + 1
+            low[out] = now << U64(32)
+            wide[out] <<= U64(32)
 
     last, pair, active = np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint32), _active(lengths, steps)
-    put_new(np.arange(int((lengths > 0).sum())), 0)
+    models.meet(lengths > 0)  # the first id is always new
     for t in range(1, steps):
         n = active[t]
         if t in RENEW:
@@ -240,11 +242,9 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         x, is_new = numbers[t, :n], new[t, :n]
         models.look(n, last[:n], pair[:n])
         start, width = models.interval(x, is_new)
-        put(slice(0, n), models.total.astype(U64), start.astype(U64), width.astype(U64))
+        put(n, models.total.astype(U64), start.astype(U64), width.astype(U64))
         models.learn(x, is_new)
-        some = np.flatnonzero(is_new)
-        if len(some):
-            put_new(some, t)
+        models.meet(is_new)
         last, pair = x, last[:n] * PAIR_OLD + x * PAIR_NEW
     for _ in range(2):
         words[used] = low >> U64(32)
@@ -253,20 +253,22 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     words, counts = words.reshape(lanes, room).astype("<u4", copy=False), used - np.arange(lanes) * room
     out = []
     for i in range(lanes):
-        raw = ids[i, : lengths[i]].astype("<u4").tobytes()
-        out.append(struct.pack(HEAD, BLOCK_MAGIC, int(lengths[i]), int(counts[i]), int(top[i]), zlib.crc32(raw)) + words[i, : counts[i]].tobytes())
+        own = ids[i, : lengths[i]].astype("<u4")
+        kinds = own[new[: lengths[i], i]]
+        size = 2 if int(kinds.max(initial=0)) < 1 << 16 else 4
+        head = struct.pack(HEAD, BLOCK_MAGIC, int(lengths[i]), int(counts[i]), len(kinds), size, zlib.crc32(own.tobytes()))
+        out.append(head + words[i, : counts[i]].tobytes() + kinds.astype(f"<u{size}").tobytes())
     return out
 
 
 def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; a block that is damaged raises ValueError."""
-    heads = [struct.unpack_from(HEAD, b) if len(b) >= HEAD_BYTES else (b"", 0, 0, 0, 0) for b in blocks]
-    for b, (magic, length, used, top, _) in zip(blocks, heads, strict=True):
-        if magic != BLOCK_MAGIC or len(b) != HEAD_BYTES + 4 * used or length > LONGEST or not 0 < top <= ID_LIMIT:
+    heads = [struct.unpack_from(HEAD, b) if len(b) >= HEAD_BYTES else (b"", 0, 0, 0, 0, 0) for b in blocks]
+    for b, (magic, length, used, kinds, size, _) in zip(blocks, heads, strict=True):
+        if magic != BLOCK_MAGIC or size not in (2, 4) or len(b) != HEAD_BYTES + 4 * used + size * kinds or not kinds <= length <= LONGEST:
             raise ValueError("not a block of this format")
     order = sorted(range(len(blocks)), key=lambda i: -heads[i][1])
     lengths = np.array([heads[i][1] for i in order], np.int64)
-    top = np.array([heads[i][3] for i in order], U64)
     lanes, steps = len(order), int(lengths.max(initial=0))
     room = max((heads[i][2] for i in order), default=0) + 3
     words = np.zeros(lanes * room, np.uint32)
@@ -278,27 +280,23 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     code = words[used - 2].astype(U64) << U64(32) | words[used - 1]
     wide = np.full(lanes, np.iinfo(np.uint64).max, U64)
     numbers, known = np.zeros((steps, lanes), np.uint16), np.zeros((lanes, steps + 1), np.uint32)
-
-    def take(lane, r, start, width):
-        now, narrowed = code[lane] - r * start, r * width
-        code[lane], wide[lane] = now, narrowed
-        out = np.flatnonzero(narrowed < LEAST)
+    for k, i in enumerate(order):
+        _, _, filled, kinds, size, _ = heads[i]
+        known[k, :kinds] = np.frombuffer(blocks[i], f"<u{size}", kinds, HEAD_BYTES + 4 * filled)
+
+    def take(n, r, start, width):
+        start *= r
+        code[:n] -= start
+        np.multiply(r, width, out=wide[:n])
+        out = np.flatnonzero(wide[:n] < LEAST)
         if len(out):
-            some = np.arange(lanes)[lane][out]
-            at = used[some]
-            code[some] = now[out] << U64(32) | words[at]
-            used[some] = np.minimum(at + 1, end[some])
-            wide[some] = narrowed[out] << U64(32)
-
-    def take_new(lane):
-        r = np.maximum(wide[lane] // top[lane], U64(1))
-        ids = np.minimum(code[lane] // r, top[lane] - U64(1))
-        known[lane, models.met[lane]] = ids
-        take(lane, r, ids, U64(1))
-        models.meet(lane)
+            at = used[out]
+            code[out] = code[out] << U64(32) | words[at]
+            used[out] = np.minimum(at + 1, end[out])
+            wide[out] <<= U64(32)
 
     last, pair, active = np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint32), _active(lengths, steps)
-    take_new(np.arange(int((lengths > 0).sum())))
+    models.meet(lengths > 0)
     for t in range(1, steps):
         n = active[t]
         if t in RENEW:
@@ -308,17 +306,15 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
         value = np.minimum(code[:n] // r, (models.total - 1).astype(U64)).astype(np.int32)
         x, is_new = models.find(value)
         start, width = models.interval(x, is_new)
-        take(slice(0, n), r, start.astype(U64), width.astype(U64))
+        take(n, r, start.astype(U64), width.astype(U64))
         models.learn(x, is_new)
+        models.meet(is_new)
         numbers[t, :n] = x
-        some = np.flatnonzero(is_new)
-        if len(some):
-            take_new(some)
         last, pair = x, last[:n] * PAIR_OLD + x * PAIR_NEW
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
     for k, i in enumerate(order):
         out[i] = known[k][numbers[: lengths[k], k]].astype("<u4")
-        if zlib.crc32(out[i].tobytes()) != heads[i][4]:
+        if zlib.crc32(out[i].tobytes()) != heads[i][5]:
             raise ValueError("a block does not match its checksum")
     return out
 
@@ -328,7 +324,6 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
 _SAFE = np.zeros(256, bool)
 _SAFE[33:127] = True
 _SAFE[[*range(0xC3, 0xE0), *range(0xE4, 0xEF), *range(0xF0, 0xF5)]] = True
-_SAFE_BYTES = frozenset(np.flatnonzero(_SAFE).tolist())
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _LETTER = np.zeros(256, bool)
@@ -337,7 +332,7 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _POINT = np.zeros(256, bool)
 _POINT[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
 JOINED = 256
-MOST_KNOWN = 500_000
+MOST_KNOWN = 1_500_000
 
 
 class Encoder:
@@ -364,7 +359,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[bytes, int] = {}
+        self.known = pa.array([], pa.large_binary())
         self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.marked = False  # whether an added token was met
 
@@ -387,24 +382,27 @@ class Encoder:
         cut[offsets[:-1][offsets[:-1] < n]] = True
         return np.flatnonzero(cut)
 
-    def _learn(self, fresh: list[bytes]) -> None:
+    def _learn(self, fresh: pa.Array) -> None:
         """Encodes stretches not met before; those that begin with a single space, many in one call."""
-        first, rest = [], []
-        for s in fresh:
-            alone = s[0] != 32 or len(s) < 2 or s[1] not in _SAFE_BYTES or self.marked and any(t in s for t in self.added)
-            (rest if alone or not self.cuts else first).append(s)
-        calls = [b"".join(first[i : i + JOINED]) for i in range(0, len(first), JOINED)]
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in (*calls, *rest)], add_special_tokens=False)]
+        raw, at = flat(fresh)
+        sizes = np.diff(at)
+        joins = (raw[at[:-1]] == 32) & (sizes > 1) & self.cuts
+        joins[joins] = _SAFE[raw[at[:-1][joins] + 1]]
+        if self.marked:
+            joins &= np.array([not any(t in s for t in self.added) for s in fresh.to_pylist()], bool)
+        first, rest = fresh.filter(pa.array(joins)), fresh.filter(pa.array(~joins))
+        raw, at = flat(first)
+        data = raw.tobytes()
+        calls = [data[at[i] : at[min(i + JOINED, len(first))]] for i in range(0, len(first), JOINED)]
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in (*calls, *rest.to_pylist())], add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(coded[: len(calls)]), np.int32)
-        sizes = np.array([len(s) for s in first], np.int64)
         upto = np.cumsum(self.bytes_of[ids])
-        ends = np.searchsorted(upto, np.cumsum(sizes), "right")
-        if len(ids) and upto[-1] != sizes.sum():
+        if len(ids) and upto[-1] != len(raw):
             raise ValueError("the tokens of a text do not add up to its bytes")
+        ends = np.searchsorted(upto, at[1:], "right")
         more = coded[len(calls) :]
         ends = np.concatenate((ends, len(ids) + np.cumsum([len(c) for c in more], dtype=np.int64)))
-        for k, s in enumerate((*first, *rest), len(self.slots)):
-            self.slots[s] = k
+        self.known = pa.concat_arrays([self.known, first, rest])
         self.begin = np.concatenate((self.begin, len(self.ids) + ends))
         self.ids = np.concatenate((self.ids, ids, np.fromiter(chain.from_iterable(more), np.int32)))
 
@@ -416,13 +414,13 @@ class Encoder:
         bounds = np.append(start, n).astype(np.int64)
         stretches = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
         coded = stretches.dictionary_encode()  # exact: equal bytes, equal index
-        kinds = coded.dictionary.to_pylist()
-        if len(self.slots) > MOST_KNOWN:
+        if len(self.known) > MOST_KNOWN:
             self._forget()
-        if fresh := [k for k in kinds if k not in self.slots]:
-            self._learn(fresh)
-        slots = np.fromiter(map(self.slots.__getitem__, kinds), np.int64, len(kinds))
-        slot = slots[coded.indices.to_numpy()]
+        found = pc.index_in(coded.dictionary, value_set=self.known)  # exact, too
+        if found.null_count:
+            self._learn(coded.dictionary.filter(found.is_null()))
+            found = pc.index_in(coded.dictionary, value_set=self.known)
+        slot = found.to_numpy()[coded.indices.to_numpy()]
         sizes = self.begin[slot + 1] - self.begin[slot]
         doc = np.searchsorted(offsets, start, "right") - 1
         per = np.bincount(doc, sizes, texts).astype(np.int64) + 1
@@ -470,7 +468,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             nonlocal kept, held, number, index
             if index:
                 raw = np.concatenate(index).tobytes()
-                yield rows_of(shard, number, [struct.pack(HEAD, INDEX_MAGIC, len(raw) // INDEX_ROW.itemsize, 0, 0, zlib.crc32(raw)) + raw])
+                yield rows_of(shard, number, [struct.pack(HEAD, INDEX_MAGIC, len(raw) // INDEX_ROW.itemsize, 0, 0, 0, zlib.crc32(raw)) + raw])
                 index, number = [], number + 1
             ids = np.concatenate(kept) if kept else np.zeros(0, np.int32)
             whole = len(ids) if final else len(ids) // (BLOCK * LANES) * BLOCK * LANES
@@ -487,18 +485,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                 number += lanes
             kept, held = [ids[whole:]], len(ids) - whole
 
-        for batch in batches:
-            for part in pieces(batch, "_text", 4 << 20):
-                ids, per = encoder.encode(*flat(part.column("_text")))
-                row = np.zeros(part.num_rows, INDEX_ROW)
-                row["id"] = part.column("_id").fill_null(0).to_numpy()
-                row["null"] = part.column("_id").is_null().to_numpy(zero_copy_only=False)
-                row["tokens"] = per
-                index.append(row)
-                kept.append(ids)
-                held += len(ids)
-                if held >= BLOCK * LANES:
-                    yield from told(False)
+        for part in pieces_of(batches, "_text", SHARD_BYTES):
+            ids, per = encoder.encode(*flat(part.column("_text")))
+            row = np.zeros(part.num_rows, INDEX_ROW)
+            row["id"] = part.column("_id").fill_null(0).to_numpy()
+            row["null"] = part.column("_id").is_null().to_numpy(zero_copy_only=False)
+            row["tokens"] = per
+            index.append(row)
+            kept.append(ids)
+            held += len(ids)
+            if held >= BLOCK * LANES:
+                yield from told(False)
         yield from told(True)
 
     ordered.mapInArrow(emit, FILE_SCHEMA).write.parquet(path)
@@ -524,7 +521,7 @@ class _Reader:
             if len(self.blocks) >= LANES:
                 yield from self.told()
             return
-        if len(data) < HEAD_BYTES or zlib.crc32(data[HEAD_BYTES:]) != struct.unpack_from(HEAD, data)[4]:
+        if len(data) < HEAD_BYTES or zlib.crc32(data[HEAD_BYTES:]) != struct.unpack_from(HEAD, data)[5]:
             raise ValueError("a shard's index is damaged")
         self.index = np.concatenate((self.index, np.frombuffer(data, INDEX_ROW, offset=HEAD_BYTES)))
 

@@ -42,13 +42,13 @@ def test_fm_index_finds_all_occurrences():
 @pytest.mark.parametrize("pass_bytes", [decontaminate.PASS_BYTES, 600])
 def test_contamination(spark, tricky, rows, monkeypatch, pass_bytes):
     monkeypatch.setattr(decontaminate, "PASS_BYTES", pass_bytes)
-    items = [(1, rows[12][1][:400]), (2, "two words"), (10, "a b c d e"), (3, None), (4, "..."), (5, rows[16][1]), (2, "iota"), (6, "")]
+    items = [(1, rows[12][1][:400]), (2, "two words"), (10, "a b c d e"), (3, None), (4, "..."), (5, rows[16][1]), (2, "iota"), (6, ""), (None, "kappa")]
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     windows = {}
     for item, t in items:
         w = split(t)
         for k in range(max(1, len(w) - 12) if w else 0):
-            windows.setdefault(tuple(w[k : k + 13]), set()).add(str(item))
+            windows.setdefault(tuple(w[k : k + 13]), set()).update(set() if item is None else {str(item)})
     want = Counter()
     for i, t, *_ in rows:
         w, hit, found = split(t), set(), set()
@@ -95,6 +95,77 @@ def test_toxicity(spark):
     assert by[7]["held_out"] == (zlib.crc32(b"7") % 5 == 0)
 
 
+def test_toxicity_never_reads_held_out_labels(spark):
+    docs = spark.createDataFrame([(i, f"text of {i}") for i in range(200)], "doc_id long, text string")
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0]
+    samples = []
+    for flip in (0, 1):
+        labels = [(i, (i % 4 == 0) ^ (flip and i in held)) for i in range(200)] + [(3, 1), (3, 0), (5, 0), (5, 0)]
+        table = spark.createDataFrame([(i, int(t)) for i, t in labels], "doc_id long, toxic int")
+        settings = toxicity.Settings(rows_per_class=(40, 20))
+        texts, toxic, weight = toxicity.labelled_sample(docs, table, lambda c: ~toxicity.in_fold(c, 5, 0), settings, "doc_id", "text", "toxic")
+        samples.append((texts, toxic.tolist(), weight.tolist()))
+        assert "text of 3" not in texts and texts.count("text of 5") <= 1
+    assert samples[0] == samples[1]
+
+
+def test_toxicity_scores_as_a_plain_version(spark, tricky, rows):
+    """Scores recomputed from the fitted weights, n-gram by n-gram."""
+    rng = np.random.default_rng(4)
+    settings = toxicity.Settings(bits=12)
+    texts = [" ".join(str(w) for w in rng.choice(["river", "Stone", "vile's", "été"], 9)) for _ in range(60)]
+    model = toxicity.fit(texts, (np.arange(60) % 3 == 0).astype(np.int64), settings)
+
+    def bucket(gram):
+        value = (int.from_bytes(gram, "big") * int(toxicity.GOLD) + len(gram)) % (1 << 64)
+        value = ((value ^ (value >> 29)) * int(toxicity.MIX_A)) % (1 << 64)
+        return value >> (64 - settings.bits)
+
+    def plain(text):
+        lowered = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in (text or "").encode())
+        grams = [bucket((b" " + w + b" ")[k : k + n]) for w in lowered.split(b" ") if w for n in toxicity.SIZES for k in range(len(w) + 3 - n)]
+        return 1 / (1 + np.exp(-(sum(float(model.weight[g]) for g in grams) / (len(grams) + settings.padding) + model.bias)))
+
+    want = sorted((i is not None, i or 0, round(plain(t), 9)) for i, t, *_ in rows)
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, round(r["score"], 9)) for r in toxicity.scored(tricky, model).collect())
+    assert got == want
+
+
+def test_kneser_ney_as_a_plain_version():
+    """Every probability of the model against counts taken with dictionaries."""
+    texts = ["abracadabra", "banana band", "abba cab"]
+    model = language_id.fit_model(*flat(pa.array(texts)))
+    lead = " " * (language_id.ORDER - 1)
+    padded = [lead + t for t in texts]
+    count = [Counter(p[k - n + 1 : k + 1] for p in padded for k in range(len(lead), len(p))) for n in range(1, language_id.ORDER + 1)]
+    for n in range(language_id.ORDER - 1):  # lower orders: distinct left neighbours
+        count[n] = Counter(g[1:] for g in Counter(p[k - n - 1 : k + 1] for p in padded for k in range(len(lead), len(p))))
+
+    def chance(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / (len(count[0]) + 1)
+        own = count[n - 1]
+        ones, twos = (sum(v == x for v in own.values()) for x in (1, 2))
+        discount = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+        total, kinds = sum(v for g, v in own.items() if g[:-1] == gram[:-1]), sum(g[:-1] == gram[:-1] for g in own)
+        return max(own[gram] - discount, 0) / total + discount * kinds / total * chance(gram[1:]) if total else chance(gram[1:])
+
+    for p in padded:
+        for k in range(len(lead), len(p)):
+            gram = p[k - language_id.ORDER + 1 : k + 1]
+            h = language_id.gram_hashes(np.array([ord(c) for c in gram], np.uint32))
+            own, before = [x[-1:] for x in h], [h[0][-1:], h[0][-1:], *(x[-2:-1] for x in h[1 : language_id.ORDER])]
+            assert float(np.exp(model.log_probability(own, before))[0]) == pytest.approx(chance(gram), rel=1e-5)
+
+
+def test_long_words_of_few_letters_are_told_apart(spark):
+    one, two = morse_pair(10)
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    got = decontaminate.contamination(docs, spark.createDataFrame([(7, one)], "item_id long, text string"))
+    assert {(r["doc_id"], r["n_hit"]) for r in got.collect()} == {(1, 1), (2, 0)}
+
+
 def test_toxicity_without_labels(spark, tricky, nothing):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(tricky, none).where("predicted = 1").count() == 0
@@ -120,7 +191,7 @@ def test_toxicity_cut_counts_rows_by_their_draw_rate(spark):
     docs = [(i, f"{i} " + " ".join(rng.choice(["mild", "plain", "vile", "sour"], 12, p=[0.3, 0.3, 0.2, 0.2] if i % 2 else [0.2, 0.2, 0.3, 0.3])), int(i % 2 == 0 and i % 5 > 0)) for i in range(600)]
     table = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
     settings = toxicity.Settings(bits=12, rows_per_class=(90, 200), calibration=0.5)
-    texts, toxic, weight = toxicity.labelled_sample(table.drop("toxic"), table, F.lit(True), settings, "doc_id", "text", "toxic")
+    texts, toxic, weight = toxicity.labelled_sample(table.drop("toxic"), table, lambda c: F.lit(True), settings, "doc_id", "text", "toxic")
     clean = sum(1 - t for *_, t in docs)
     assert set(weight[toxic == 0]) == {clean / 90} and set(weight[toxic == 1]) == {(600 - clean) / 200}
     model, unweighted = toxicity.fit(texts, toxic, settings, weight), toxicity.fit(texts, toxic, settings)
