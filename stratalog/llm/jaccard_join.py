@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.components import components
 from stratalog.llm.scratch import small_batches, written
-from stratalog.llm.textkit import BASE, BLANK_IS_WORD, MIX_B, flat, mixed, pieces, words
+from stratalog.llm.textkit import BASE, BLANK_IS_WORD, MIX_B, flat, mixed, pieces, pieces_of, words
 
 U64 = np.uint64
 WORDS = 5
@@ -102,13 +102,12 @@ def _batches_of_sets(batches: Iterator[pa.RecordBatch], twins: np.ndarray):
 
     The node of a set is its first signature, or, if its second one is among ``twins``, a mix of both.
     """
-    for batch in batches:
-        for part in pieces(batch, "_text", 1 << 20):
-            value, owner, sizes = shingle_sets(*flat(part.column("_text")))
-            a, b = signatures(value, sizes)
-            if len(twins):
-                a = np.where(np.isin(b, twins) & (sizes > 0), mixed(a.view(U64) + b.view(U64) * MIX_B).view(np.int64), a)
-            yield part, value, owner, sizes, a, b
+    for part in pieces_of(batches, "_text"):
+        value, owner, sizes = shingle_sets(*flat(part.column("_text")))
+        a, b = signatures(value, sizes)
+        if len(twins):
+            a = np.where(np.isin(b, twins) & (sizes > 0), mixed(a.view(U64) + b.view(U64) * MIX_B).view(np.int64), a)
+        yield part, value, owner, sizes, a, b
 
 
 def _once(node: np.ndarray, sizes: np.ndarray, owner: np.ndarray, known: set) -> np.ndarray:
@@ -556,7 +555,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, the own one included. n_links counts the different sets that the document's
     set links with; copies of one set count once, own copies not; without ``count_links`` it is null. Rows that repeat an id are
     judged one by one; a null id takes the component of its set but never names one.
-    Words are told apart by 64 bits of a BLAKE2b, sets by two 64-bit signatures. An empty table gives no rows; other columns are not read.
+    Words are told apart by 64-bit hashes over a prime field, sets by two 64-bit signatures. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -7,7 +7,6 @@ bounded piece at a time; nothing here loops over characters or words.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +51,19 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 21) -> Ite
         start = stop
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces whose texts hold about ``most_bytes``: small batches are joined, large ones cut."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(flat(batch.column(column))[0])
+        if size >= most_bytes:
+            yield from pieces(pa.concat_batches(held), column, most_bytes)
+            held, size = [], 0
+    if held:
+        yield from pieces(pa.concat_batches(held), column, most_bytes)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column, one after another, and len + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -82,19 +94,51 @@ BLANK_IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 ALNUM_IS_WORD = ALNUM_WORDS > 0
 
 
-#: Hashes of words met by this process; forgotten when there are many.
-_HASHES: dict[bytes, int] = {}
-MOST_HASHES = 300_000
+#: Words are hashed by a polynomial over the integers modulo the prime 2**61 - 1. Modulo 2**64, two
+#: words of a thousand a's and b's can have one hash; modulo a prime, as many as anyone would expect by chance.
+PRIME_BITS, PRIME = 61, (1 << 61) - 1
+WORD_BASE = 0x0B7E151628AED2A7
+LOW_BITS = 31
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x below 2**64, modulo PRIME."""
+    x = (x & U64(PRIME)) + (x >> U64(PRIME_BITS))
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2**LOW_BITS modulo PRIME, but for a last reduction, of x below PRIME * 2."""
+    high = PRIME_BITS - LOW_BITS
+    return (x >> U64(high)) + ((x & U64((1 << high) - 1)) << U64(LOW_BITS))
 
 
-def word_hashes(kinds: list[bytes]) -> np.ndarray:
-    """64 bits of the BLAKE2b of each word: nobody can write two words of one hash but by trying billions."""
-    if len(_HASHES) > MOST_HASHES:
-        _HASHES.clear()
-    for k in kinds:
-        if k not in _HASHES:
-            _HASHES[k] = int.from_bytes(blake2b(k, digest_size=8).digest(), "little")
-    return np.fromiter(map(_HASHES.__getitem__, kinds), U64, len(kinds))
+def _word_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The low and high bits of WORD_BASE**0 .. WORD_BASE**(n - 1) modulo PRIME; kept for later calls."""
+    while len(_POWERS[0]) < n:
+        old, factor = _POWERS[0], pow(WORD_BASE, len(_POWERS[0]), PRIME)
+        mask = U64((1 << LOW_BITS) - 1)
+        low, high = old & mask, old >> U64(LOW_BITS)
+        f_low, f_high = U64(factor & ((1 << LOW_BITS) - 1)), U64(factor >> LOW_BITS)
+        more = _reduced(high * f_high * U64(2) + _shifted(high * f_low + low * f_high) + low * f_low)
+        _POWERS[0] = np.concatenate((old, more))
+    own = _POWERS[0][:n]
+    return own & U64((1 << LOW_BITS) - 1), own >> U64(LOW_BITS)
+
+
+_POWERS = [np.ones(1, U64)]
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words that ``offsets`` cut ``raw`` into; none is empty."""
+    sizes = np.diff(offsets)
+    if not len(sizes):
+        return np.zeros(0, U64)
+    at = np.arange(len(raw)) - np.repeat(offsets[:-1], sizes)
+    low, high = _word_powers(int(sizes.max()))
+    value = raw.astype(U64) + U64(1)
+    low, high = (np.add.reduceat(value * p[at], offsets[:-1]) for p in (low, high))
+    return mixed(_reduced(_shifted(_reduced(high)) + _reduced(low)) + sizes.astype(U64) * MIX_B)
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +160,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: np.n
     bounds = np.zeros(len(start) + 1, np.int64)
     np.cumsum(end - start, out=bounds[1:])
     coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(lower[raw[inside]])]).dictionary_encode()
-    h = word_hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(start) else np.zeros(0, U64)
+    h = word_hashes(*flat(coded.dictionary))[coded.indices.to_numpy()]
     return h, start, end, np.searchsorted(offsets, start, "right") - 1
 
 
