@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,12 +63,17 @@ def pkt_line(payload: Column) -> Column:
     return F.concat(F.lower(F.lpad(F.hex(F.octet_length(payload) + 4), 4, "0")).cast("binary"), payload.cast("binary"))
 
 
-def frames(payload: Column) -> Column:
-    """array(struct(seq, length)) of the sideband frames of a payload."""
+def frames(payload: Column, channel: int = 1) -> Column:
+    """array(struct(seq, frame)) of a payload: each frame is the channel byte and SIDEBAND_BYTES at most; none for nothing."""
     n = F.octet_length(payload)
-    count = F.ceil(n / SIDEBAND_BYTES).cast("int")
-    each = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.struct(i.cast("long").alias("seq"), F.least(n - i * SIDEBAND_BYTES, F.lit(SIDEBAND_BYTES)).cast("long").alias("length")))
-    return F.when(n > 0, each).otherwise(F.array().cast("array<struct<seq: bigint, length: bigint>>"))
+    each = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(n / SIDEBAND_BYTES).cast("int") - 1, F.lit(0))),
+        lambda i: F.struct(i.cast("long").alias("seq"), F.concat(F.lit(bytes([channel])), F.substring(payload, (i * SIDEBAND_BYTES + 1), F.lit(SIDEBAND_BYTES))).alias("frame")),
+    )
+    return F.when(n > 0, each).otherwise(F.array().cast("array<struct<seq: bigint, frame: binary>>"))
+
+
+FLUSH, DELIM, END = b"0000", b"0001", b"0002"  # fixed values: packets without a payload
 
 
 # Pure functions over bytes.
@@ -203,12 +209,6 @@ def parse_pkt_lines(stream: bytes) -> list[tuple[str, bytes]]:
     return out
 
 
-def fetch_arguments(lines: list[str]) -> dict:
-    """wants (distinct), haves (repeats kept) and done of a fetch request."""
-    take = lambda key: [x[len(key) + 1 :][:40] for x in lines if x.startswith(key + " ")]
-    return {"wants": list(dict.fromkeys(take("want"))), "haves": take("have"), "done": "done" in lines}
-
-
 def hash_token(token: str, salt: bytes, rounds: int = 100_000) -> str:
     return f"{salt.hex()}:{rounds}:{hashlib.pbkdf2_hmac('sha256', token.encode(), salt, rounds).hex()}"
 
@@ -218,32 +218,111 @@ def verify_token(token: str, stored: str) -> bool:
     return hash_token(token, bytes.fromhex(salt), int(rounds)) == stored
 
 
-def tree_entries_of(payload: Column) -> Column:
-    """array(struct(mode, name, oid)) of a tree's payload."""
+def encoded(kind: Column, payload: Column) -> Column:
+    """"<type> <length>", a zero byte and the payload."""
+    return F.concat(F.concat(kind, F.lit(" "), F.octet_length(payload).cast("string")).cast("binary"), F.unhex(F.lit("00")), payload)
 
-    @F.pandas_udf("array<struct<mode: string, name: string, oid: string>>")
-    def entries(p: pd.Series) -> pd.Series:
-        return p.map(lambda x: None if x is None else [{"mode": m, "name": n, "oid": o} for m, n, o in tree_entries(bytes(x))])
 
-    return entries(payload)
+def tree_payload(entries: Column) -> Column:
+    """The bytes of a tree with entries array(struct(mode, name, oid)), in the given order."""
+    one = lambda e: F.concat(F.concat(e["mode"], F.lit(" "), e["name"]).cast("binary"), F.unhex(F.lit("00")), F.unhex(e["oid"]))
+    return joined(F.transform(entries, one))
 
 
-def stored_object(stored: Column) -> Column:
-    """struct(type, payload) of a deflated object; nulls for anything else."""
+def joined(parts: Column) -> Column:
+    """One binary of an array of them, by way of hex digits, which join in linear time."""
+    return F.unhex(F.array_join(F.transform(parts, F.hex), ""))
 
-    @F.pandas_udf("struct<type: string, payload: binary>")
-    def decode(s: pd.Series) -> pd.DataFrame:
-        found = [decode_object(bytes(x)) if x is not None else None for x in s]
-        return pd.DataFrame({"type": [f and f[0] for f in found], "payload": [f and f[1] for f in found]})
 
-    return decode(stored)
+def object_header_of(code: Column, size: Column) -> Column:
+    """:func:`object_header` as a column: up to 2**46."""
+    more = lambda k: F.when(F.shiftright(size, 4 + 7 * k) > 0, _byte(F.shiftright(size, 4 + 7 * k).bitwiseAND(F.lit(127)) + F.when(F.shiftright(size, 11 + 7 * k) > 0, 128).otherwise(0))).otherwise(F.lit(b""))
+    first = _byte(code * 16 + size.bitwiseAND(F.lit(15)) + F.when(size >= 16, 128).otherwise(0))
+    return F.concat(first, *(more(k) for k in range(6)))
 
 
-def pkt_lines(stream: Column) -> Column:
-    """array(struct(kind, payload)) of a stream of pkt-lines."""
+def offset_distance_of(distance: Column) -> Column:
+    """:func:`offset_distance` as a column: up to five bytes. Each further byte stands for one less."""
+    steps, rest = [F.lit(0).cast("long") + distance], distance
+    for _ in range(4):
+        rest = F.shiftright(rest, 7) - 1
+        steps.append(rest)
+    part = lambda k: F.when(steps[k] >= 0, _byte(steps[k].bitwiseAND(F.lit(127)) + (128 if k else 0))).otherwise(F.lit(b""))
+    return F.concat(*(part(k) for k in range(4, -1, -1)))
+
+
+def _byte(value: Column) -> Column:
+    return F.unhex(F.lpad(F.hex(value.cast("long")), 2, "0"))
+
+
+@cache
+def _binary_functions() -> dict:
+    """Arrow functions over bytes; made when a session is there."""
+
+    @F.arrow_udf("binary")
+    def deflate(data: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else zlib.compress(x) for x in data.to_pylist()], pa.binary())
+
+    @F.arrow_udf("struct<type: bigint, size: bigint, base_distance: bigint, base_oid: string, header_len: bigint>")
+    def header(data: pa.Array) -> pa.Array:
+        kind = pa.struct([("type", pa.int64()), ("size", pa.int64()), ("base_distance", pa.int64()), ("base_oid", pa.string()), ("header_len", pa.int64())])
+        return pa.array([None if x is None else read_entry_header(x, 0) for x in data.to_pylist()], kind)
+
+    @F.arrow_udf("boolean")
+    def matches(token: pa.Array, stored: pa.Array) -> pa.Array:
+        return pa.array([None if t is None or s is None else verify_token(t, s) for t, s in zip(token.to_pylist(), stored.to_pylist(), strict=True)], pa.bool_())
+
+    @F.arrow_udf("array<struct<mode: string, name: string, oid: string>>")
+    def entries(data: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("mode", pa.string()), ("name", pa.string()), ("oid", pa.string())]))
+        return pa.array([None if x is None else [{"mode": m, "name": n, "oid": o} for m, n, o in tree_entries(x)] for x in data.to_pylist()], kind)
+
+    @F.arrow_udf("struct<type: string, payload: binary>")
+    def stored(data: pa.Array) -> pa.Array:
+        found = [None if x is None else decode_object(x) for x in data.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([f and f[0] for f in found], pa.string()), pa.array([f and f[1] for f in found], pa.binary())], ["type", "payload"])
+
+    @F.arrow_udf("array<struct<kind: string, payload: binary>>")
+    def packets(data: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("payload", pa.binary())]))
+        return pa.array([None if x is None else [{"kind": k, "payload": p} for k, p in parse_pkt_lines(x)] for x in data.to_pylist()], kind)
 
-    @F.pandas_udf("array<struct<kind: string, payload: binary>>")
-    def parse(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else [{"kind": k, "payload": p} for k, p in parse_pkt_lines(bytes(x))])
+    return {"deflate": deflate, "header": header, "matches": matches, "entries": entries, "stored": stored, "packets": packets}
 
-    return parse(stream)
+
+def deflated(data: Column) -> Column:
+    return _binary_functions()["deflate"](data)
+
+
+def entry_header_of(data: Column) -> Column:
+    """struct(type, size, base_distance, base_oid, header_len) of a pack entry's first bytes."""
+    return _binary_functions()["header"](data)
+
+
+def token_hash(token: Column, salt_hex: Column, rounds: int = 100_000) -> Column:
+    """salt:rounds:hash of a token, by PBKDF2 with SHA-256."""
+
+    @F.arrow_udf("string")
+    def stored(t: pa.Array, s: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else hash_token(x, bytes.fromhex(y), rounds) for x, y in zip(t.to_pylist(), s.to_pylist(), strict=True)], pa.string())
+
+    return stored(token, salt_hex)
+
+
+def token_matches(token: Column, stored: Column) -> Column:
+    return _binary_functions()["matches"](token, stored)
+
+
+def tree_entries_of(payload: Column) -> Column:
+    """array(struct(mode, name, oid)) of a tree's payload."""
+    return _binary_functions()["entries"](payload)
+
+
+def stored_object(stored: Column) -> Column:
+    """struct(type, payload) of a deflated object; nulls for anything else."""
+    return _binary_functions()["stored"](stored)
+
+
+def pkt_lines(stream: Column) -> Column:
+    """array(struct(kind, payload)) of a stream of pkt-lines."""
+    return _binary_functions()["packets"](stream)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: File extension to media type.
-MEDIA = {"css": "text/css", "gif": "image/gif", "html": "text/html", "jpeg": "image/jpeg", "jpg": "image/jpeg", "js": "text/javascript", "json": "application/json", "md": "text/markdown", "pdf": "application/pdf", "png": "image/png", "svg": "image/svg+xml", "txt": "text/plain", "webp": "image/webp"}
+#: File extension to media type; all others are octet streams.
+MEDIA = {
+    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp",
+    "ico": "image/x-icon", "svg": "image/svg+xml", "pdf": "application/pdf", "txt": "text/plain; charset=utf-8",
+}
 
 
 def media_type(name: Column) -> Column:

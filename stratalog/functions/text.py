@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: File extension or special name to language.
+#: File extension to language. Names without one of these have none.
 LANGUAGES = {
-    "bash": "bash", "c": "c", "cpp": "cpp", "cs": "csharp", "css": "css", "dockerfile": "dockerfile", "go": "go", "h": "c", "html": "xml", "ini": "ini", "java": "java",
-    "js": "javascript", "json": "json", "jsx": "javascript", "kt": "kotlin", "lua": "lua", "makefile": "makefile", "md": "markdown", "php": "php", "pl": "perl", "ps1": "powershell",
-    "py": "python", "rb": "ruby", "rs": "rust", "sh": "bash", "sql": "sql", "swift": "swift", "toml": "ini", "ts": "typescript", "tsx": "typescript", "xml": "xml", "yaml": "yaml", "yml": "yaml",
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "json": "json", "go": "go", "py": "python",
+    "rb": "ruby", "php": "php", "java": "java", "c": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "cs": "csharp", "rs": "rust", "kt": "kotlin", "swift": "swift",
+    "dart": "dart", "sql": "sql", "sh": "bash", "bash": "bash", "zsh": "bash", "ps1": "powershell", "psm1": "powershell", "less": "less", "lua": "lua", "yml": "yaml", "yaml": "yaml",
+    "toml": "toml", "proto": "protobuf", "gradle": "groovy", "mm": "objectivec", "pl": "perl", "h": "cpp", "ini": "ini", "cfg": "ini", "conf": "ini", "md": "markdown",
+    "markdown": "markdown", "html": "xml", "htm": "xml", "xml": "xml", "svg": "xml", "css": "css", "scss": "scss", "sass": "scss", "diff": "diff",
 }
+#: Languages that are shown by another one, and those that cannot be shown.
+SHOWN_AS, NOT_SHOWN = {"toml": "ini"}, ("dart", "markdown")
 
 
 def is_binary(payload: Column) -> Column:
@@ -65,13 +69,20 @@ def escape_html(text: Column) -> Column:
 
 
 def language(name: Column, line: Column) -> Column:
-    """By the name or its extension, else by a shebang."""
-    table = F.create_map(*(F.lit(x) for pair in sorted(LANGUAGES.items()) for x in pair))
-    ext = F.lower(F.substring_index(name, ".", -1))
-    shebang = (
-        F.when(line.rlike(r"^#!.*ts-node"), "typescript").when(line.rlike(r"^#!.*\bnode"), "javascript").when(line.rlike(r"^#!.*python"), "python").when(line.rlike(r"^#!.*\b(ba|z|k)?sh\b"), "bash")
-    )
-    return F.coalesce(F.try_element_at(table, ext), shebang)
+    """By the name or its extension, else by a shebang line."""
+    table = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+    low = F.lower(name)
+    by_name = F.when(low == "makefile", "makefile").when((low == "dockerfile") | low.endswith("/dockerfile"), "dockerfile").when(low.contains("."), F.try_element_at(table, F.substring_index(low, ".", -1)))
+    bang = F.lower(F.when(line.startswith("#!"), line))
+    has = lambda *words: F.greatest(*(bang.contains(w) for w in words)) if len(words) > 1 else bang.contains(words[0])
+    return F.coalesce(by_name, F.when(has("python"), "python").when(has("node", "deno"), "javascript").when(has("sh"), "bash").when(has("ruby"), "ruby"))
+
+
+def shown_language(language: Column) -> Column:
+    """The language that a page of this one is highlighted with; null for none."""
+    for own, other in SHOWN_AS.items():
+        language = F.when(language == own, other).otherwise(language)
+    return F.when(~language.isin(*NOT_SHOWN), language)
 
 
 def short_name(name: Column) -> Column:

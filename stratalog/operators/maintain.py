@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: the file names of hydration packs.
 HYDRATION_KEY = r"pack-hydr-(e[0-9A-Za-z]+)-\d+\.pack$"
 
 
@@ -13,6 +14,11 @@ def insert_ignore(table: DataFrame, incoming: DataFrame, keys: list[str]) -> Dat
     return table.unionByName(incoming.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti"))
 
 
+def backfill(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """``table`` with the rows of ``incoming`` whose key it does not have at all."""
+    return table.unionByName(incoming.join(table.select(key).distinct(), key, "left_anti"))
+
+
 def delete(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(gone.select(*keys), keys, "left_anti")
 

@@ -98,7 +98,7 @@ def uncovered(candidates: DataFrame, cover: DataFrame) -> DataFrame:
 
 def estimated_bytes(length: Column) -> Column:
     """Stored size of a payload: ceil(0.6 * length) + 32, in integers."""
-    return (length * 6 + 9).cast("long") / 10
+    return F.floor((length * 6 + 9) / 10).cast("long") + 32
 
 
 def segments(objects: DataFrame, most_objects: int = SEGMENT_OBJECTS, most_bytes: int = SEGMENT_BYTES) -> DataFrame:

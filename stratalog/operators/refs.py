@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +10,11 @@ ZERO = 0
 
 
 def is_valid_name(name: Column) -> Column:
-    """Whether a reference may have this name."""
-    bad = name.rlike(r"[\x00-\x20\x7F~^:?*\[\\]") | name.contains("..") | name.contains("//") | name.contains("@{")
-    parts = F.split(name, "/")
-    worse = F.exists(parts, lambda p: p.startswith(".") | p.endswith(".lock") | p.endswith("."))
-    return name.startswith("refs/") & ~name.endswith("/") & ~bad & ~worse & (name != "HEAD")
+    """Whether a reference may have this name: under refs/, no control character, blank or one of ~^:?*[, no backslash,
+    no "@{", no empty component, none that is "." or "..", and neither "." nor ".lock" at the end of the name."""
+    bad = name.rlike(r"[\x00-\x20~^:?*\[]") | name.contains("//") | name.contains("@{") | name.contains("\\")
+    dots = F.exists(F.split(name, "/"), lambda p: p.isin(".", ".."))
+    return name.startswith("refs/") & ~name.endswith("/") & ~name.endswith(".") & ~name.endswith(".lock") & ~bad & ~dots
 
 
 def resolve(requests: DataFrame, refs: DataFrame, heads: DataFrame) -> DataFrame:
@@ -51,28 +52,59 @@ def listing(refs: DataFrame, tags: DataFrame, prefixes: list[str]) -> DataFrame:
 
 
 def cas(commands: DataFrame, refs: DataFrame) -> DataFrame:
-    """``commands`` (push, repo, name, old, new) with status, ok, applied.
+    """``commands`` (repo, push, event_id, name, old, new) with status, ok, applied.
 
-    Every command is held against the references before its push. A zero ``new`` deletes, a
-    zero ``old`` creates. A push is applied only if all of its commands are valid.
+    The pushes of a repository are judged in order, each against the references as the pushes before
+    left them; within a push every command sees the references before it. A zero ``new`` deletes, a
+    zero ``old`` creates. A push is applied only if all of its commands are valid. Judging is sequential in a
+    repository by nature: its commands are one task's, its references are not (each command brings its own).
     """
-    rows = commands.join(refs.select("repo", "name", F.col("oid").alias("current")), ["repo", "name"], "left")
-    status = (
-        F.when(~is_valid_name(F.col("name")), "invalid ref")
-        .when((F.col("new") == ZERO) & F.col("current").isNull(), "no such ref")
-        .when((F.col("new") == ZERO) & (F.col("current") != F.col("old")), "stale old-oid")
-        .when((F.col("new") == ZERO), "ok")
-        .when(F.col("current").isNull() & (F.col("old") != ZERO), "expected zero old-oid")
-        .when(F.col("current").isNotNull() & (F.col("current") != F.col("old")), "stale old-oid")
-        .otherwise("ok")
-    )
-    rows = rows.withColumn("status", status).withColumn("ok", F.col("status") == "ok")
-    every = rows.groupBy("push").agg(F.every("ok").alias("applied"))
-    return rows.join(every, "push").drop("current")
+    first = refs.select("repo", "name", F.col("oid").alias("_head"))
+    rows = commands.join(first, ["repo", "name"], "left").withColumn("_valid", is_valid_name(F.col("name")))
+
+    def judge(batch: pa.Table) -> pa.Table:
+        batch = batch.sort_by([("push", "ascending"), ("event_id", "ascending")])
+        push, name, old, new, head, valid = (batch[c].to_pylist() for c in ("push", "name", "old", "new", "_head", "_valid"))
+        now: dict[str, int] = {}
+        status, applied = [], []
+        start = 0
+        while start < len(push):
+            stop = start
+            while stop < len(push) and push[stop] == push[start]:
+                current = now.get(name[stop], head[stop] or ZERO)
+                status.append(_status(valid[stop], current, old[stop], new[stop]))
+                stop += 1
+            done = all(x == "ok" for x in status[start:stop])
+            if done:
+                now.update(zip(name[start:stop], new[start:stop], strict=True))
+            applied += [done] * (stop - start)
+            start = stop
+        batch = batch.drop_columns(["_head", "_valid"]).append_column("status", pa.array(status, pa.string()))
+        return batch.append_column("ok", pa.array([x == "ok" for x in status], pa.bool_())).append_column("applied", pa.array(applied, pa.bool_()))
+
+    rows = rows.select("event_id", "push", "repo", "name", "old", "new", "_head", "_valid")
+    return rows.groupBy("repo").applyInArrow(judge, "event_id long, push long, repo long, name string, old long, new long, status string, ok boolean, applied boolean")
+
+
+def _status(valid: bool, current: int, old: int, new: int) -> str:
+    if not valid:
+        return "invalid ref"
+    if new == ZERO:
+        return "no such ref" if current == ZERO else "ok" if current == old else "stale old-oid"
+    if current == ZERO:
+        return "ok" if old == ZERO else "expected zero old-oid"
+    return "ok" if current == old else "stale old-oid"
+
+
+def reports(judged: DataFrame) -> DataFrame:
+    """repo, push, report, changed: a line "ok ref" or "ng ref reason" for each command, in order."""
+    line = F.when(F.col("ok"), F.concat(F.lit("ok "), "name")).otherwise(F.concat_ws(" ", F.lit("ng"), "name", "status"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"])
+    return judged.groupBy("repo", "push").agg(F.array_join(lines, "\n").alias("report"), F.every("applied").alias("changed"))
 
 
 def apply_commands(refs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The references after the applied commands; of several to one reference the last push wins."""
-    last = judged.where("applied").groupBy("repo", "name").agg(F.max_by("new", "push").alias("new"))
+    """The references after the applied commands; of several to one reference the last one wins."""
+    last = judged.where("applied").groupBy("repo", "name").agg(F.max_by("new", F.struct("push", "event_id")).alias("new"))
     rows = refs.join(last, ["repo", "name"], "full")
     return rows.select("repo", "name", F.coalesce("new", "oid").alias("oid")).where(F.col("oid") != ZERO)

@@ -27,6 +27,12 @@ LAYOUT = """layout0 AS (
 ), layout AS (SELECT *, coalesce(lead("offset") OVER (PARTITION BY pack ORDER BY oid), "offset" + size)::BIGINT AS next_offset FROM layout0)"""
 
 
+OBJECT_EDGES = """oedges AS (
+  SELECT repo, oid AS src, p1 AS dst, 'parent' AS role FROM commits WHERE p1 IS NOT NULL UNION ALL SELECT repo, oid, p2, 'parent' FROM commits WHERE p2 IS NOT NULL
+  UNION ALL SELECT repo, oid, 4000000000 + oid, 'tree' FROM commits UNION ALL SELECT DISTINCT repo, 4000000000 + oid, 8000000000 + l_partkey, 'entry' FROM lineitem JOIN commits ON oid = l_orderkey
+)"""
+
+
 def sql(*parts: str, recursive: bool = False) -> str:
     """A query from common table expressions and a last statement."""
     *tables, last = parts

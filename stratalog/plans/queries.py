@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import codec, http, text
 from stratalog.operators import graph, maintain, packs, refs
 from stratalog.plans.prelude import BRANCHES, COMMITS, EDGES, HEADS, LAYOUT, MEMBERS, PACKS, TAGS, sql
+from stratalog.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from stratalog.sources import tables
+from stratalog.sources.staging import written
 from stratalog.sources.tables import table
 from stratalog.streaming import state
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Registers a query under its function's name."""
-
-    def put(function):
-        QUERIES[function.__name__] = function
-        if oracle:
-            ORACLES[function.__name__] = oracle
-        return function
-
-    return put
-
-
 # References.
 
 REQUEST = """CASE c_custkey % 4 WHEN 0 THEN 'refs/heads/c' || c_custkey WHEN 1 THEN 'c' || c_custkey WHEN 2 THEN 'n' || c_nationkey ELSE 'HEAD' END"""
@@ -72,25 +56,58 @@ def ls_refs_prefix_peel(spark, sf_dir):
     return refs.listing(tables.branch_heads(rows).unionByName(marked.drop("peeled")), marked, ["refs/tags/", "refs/heads/c1"])
 
 
-BRANCH_NAME = "'refs/heads/' || CASE e.event_id % 11 WHEN 0 THEN 'bad name' WHEN 1 THEN 'x..y' WHEN 2 THEN 'a.lock' ELSE 'c' || e.user_id END"
+BRANCH_NAME = "'refs/heads/' || CASE e.event_id % 11 WHEN 0 THEN 'bad name' WHEN 1 THEN 'x/../y' WHEN 2 THEN 'a.lock' ELSE 'c' || e.user_id END"
+BAD_NAMES = "('refs/heads/bad name', 'refs/heads/x/../y', 'refs/heads/a.lock')"
+#: Pushes of each repository in order; the state of a fold is the list of references that pushes have changed.
+CAS = (
+    f"""c0 AS (SELECT e.event_id, floor(epoch(ts) / 600)::BIGINT AS push, {BRANCH_NAME} AS name, event_type, c_nationkey::BIGINT AS repo
+        FROM events e JOIN customer ON user_id = c_custkey)""",
+    """c1 AS (SELECT c0.*, coalesce(b.oid, 0) AS head, CASE WHEN event_type = 'signup' THEN 0 WHEN event_type = 'error' THEN coalesce(b.oid, 0) + 1 ELSE coalesce(b.oid, 0) END AS "old",
+        CASE WHEN event_type = 'click' THEN 0 ELSE event_id + 1 END AS "new" FROM c0 LEFT JOIN branches b ON b.repo = c0.repo AND b.name = c0.name)""",
+    """c2 AS (SELECT repo, push, row_number() OVER (PARTITION BY repo ORDER BY push) AS k,
+        list({'id': event_id, 'name': name, 'head': head, 'old': "old", 'new': "new"} ORDER BY event_id) AS cmds FROM c1 GROUP BY repo, push)""",
+    f"""f AS (SELECT repo, 0::BIGINT AS k, 0::BIGINT AS push, []::STRUCT(id BIGINT, name VARCHAR, "old" BIGINT, "new" BIGINT, status VARCHAR)[] AS judged, MAP([]::VARCHAR[], []::BIGINT[]) AS now FROM (SELECT DISTINCT repo FROM c2)
+      UNION ALL SELECT repo, k, push, judged, CASE WHEN len(list_filter(judged, lambda j: j.status <> 'ok')) = 0
+          THEN map_concat(now, map_from_entries(list_transform(list_filter(judged, lambda j: len(list_filter(judged, lambda i: i.name = j.name AND i.id > j.id)) = 0), lambda j: {{'k': j.name, 'v': j."new"}}))) ELSE now END
+      FROM (SELECT c2.repo, c2.k, c2.push, now, list_transform(list_transform(cmds, lambda c: {{'c': c, 'cur': coalesce(now[c.name], c.head)}}),
+          lambda x: {{'id': x.c.id, 'name': x.c.name, 'old': x.c."old", 'new': x.c."new", 'status': CASE WHEN x.c.name IN {BAD_NAMES} THEN 'invalid ref'
+            WHEN x.c."new" = 0 AND x.cur = 0 THEN 'no such ref' WHEN x.c."new" = 0 AND x.cur <> x.c."old" THEN 'stale old-oid' WHEN x.c."new" = 0 THEN 'ok'
+            WHEN x.cur = 0 AND x.c."old" <> 0 THEN 'expected zero old-oid' WHEN x.cur <> 0 AND x.cur <> x.c."old" THEN 'stale old-oid' ELSE 'ok' END}}) AS judged
+        FROM f JOIN c2 ON c2.repo = f.repo AND c2.k = f.k + 1))""",
+    "j AS (SELECT repo, push, unnest(judged) AS j FROM f)",
+)
+
+
+@query(sql(COMMITS, BRANCHES, *CAS, """SELECT j.id AS event_id, push, repo, j.name, j."old", j."new", j.status, j.status = 'ok' AS ok, bool_and(j.status = 'ok') OVER (PARTITION BY repo, push) AS applied FROM j""", recursive=True))
+def refs_cas_apply(spark, sf_dir):
+    return refs.cas(_push_commands(spark, sf_dir), tables.branch_heads(tables.commits(spark, sf_dir)))
 
 
 @query(
     sql(
-        COMMITS, BRANCHES,
-        f"""c0 AS (SELECT e.event_id, floor(epoch(ts) / 600)::BIGINT AS push, {BRANCH_NAME} AS name, user_id, event_type, c_nationkey::BIGINT AS repo
-            FROM events e JOIN customer ON user_id = c_custkey)""",
-        """c1 AS (SELECT c0.*, b.oid AS head FROM c0 LEFT JOIN branches b ON b.repo = c0.repo AND b.name = c0.name)""",
-        """c2 AS (SELECT *, CASE WHEN event_type = 'signup' THEN 0 WHEN event_type = 'error' THEN coalesce(head, 0) + 1 ELSE coalesce(head, 0) END AS "old",
-            CASE WHEN event_type = 'click' THEN 0 ELSE event_id + 1 END AS "new" FROM c1)""",
-        """c3 AS (SELECT *, CASE WHEN name IN ('refs/heads/bad name', 'refs/heads/x..y', 'refs/heads/a.lock') THEN 'invalid ref'
-            WHEN "new" = 0 AND head IS NULL THEN 'no such ref' WHEN "new" = 0 AND head <> "old" THEN 'stale old-oid' WHEN "new" = 0 THEN 'ok'
-            WHEN head IS NULL AND "old" <> 0 THEN 'expected zero old-oid' WHEN head IS NOT NULL AND head <> "old" THEN 'stale old-oid' ELSE 'ok' END AS status FROM c2)
-        SELECT event_id, push, repo, name, "old", "new", status, status = 'ok' AS ok, bool_and(status = 'ok') OVER (PARTITION BY push) AS applied FROM c3""",
+        COMMITS, BRANCHES, *CAS,
+        """s AS (SELECT repo, push, j.id AS event_id, j.name AS name, j.status AS status, bool_and(j.status = 'ok') OVER (PARTITION BY repo, push) AS applied FROM j)
+        SELECT repo, push, string_agg(CASE WHEN status = 'ok' THEN 'ok ' || name ELSE 'ng ' || name || ' ' || status END, chr(10) ORDER BY event_id) AS report, bool_and(applied) AS changed FROM s GROUP BY repo, push""",
+        recursive=True,
     )
 )
-def refs_cas_apply(spark, sf_dir):
-    return refs.cas(_push_commands(spark, sf_dir), tables.branch_heads(tables.commits(spark, sf_dir)))
+def push_reports(spark, sf_dir):
+    judged = refs.cas(_push_commands(spark, sf_dir), tables.branch_heads(tables.commits(spark, sf_dir)))
+    return refs.reports(judged)
+
+
+@query(
+    sql(
+        COMMITS, BRANCHES, *CAS,
+        """last AS (SELECT repo, now FROM f QUALIFY row_number() OVER (PARTITION BY repo ORDER BY k DESC) = 1),
+        c AS (SELECT repo, unnest(map_entries(now)) AS e FROM last)
+        SELECT repo, name, oid FROM (SELECT coalesce(b.repo, c.repo) AS repo, coalesce(b.name, c.e.key) AS name, coalesce(c.e.value, b.oid) AS oid FROM branches b FULL JOIN c ON c.repo = b.repo AND c.e.key = b.name) WHERE oid <> 0""",
+        recursive=True,
+    )
+)
+def refs_after_pushes(spark, sf_dir):
+    heads = tables.branch_heads(tables.commits(spark, sf_dir))
+    return refs.apply_commands(heads, refs.cas(_push_commands(spark, sf_dir), heads))
 
 
 def _push_commands(spark, sf_dir):
@@ -109,8 +126,8 @@ def _push_commands(spark, sf_dir):
     sql(
         """n AS (SELECT DISTINCT url AS u, substring(url, instr(url, '://') + 3) AS name FROM pages)
         SELECT u, 'refs/heads/' || name AS name,
-          NOT (regexp_matches(name, '[\\x00-\\x20\\x7F~^:?*\\[\\\\]') OR contains(name, '..') OR contains(name, '//') OR contains(name, '@{') OR name LIKE '%/'
-            OR len(list_filter(string_split('refs/heads/' || name, '/'), lambda p: p LIKE '.%' OR p LIKE '%.lock' OR p LIKE '%.')) > 0) AS valid FROM n"""
+          name <> '' AND NOT (regexp_matches(name, '[\\x00-\\x20~^:?*\\[]') OR contains(name, chr(92)) OR contains('refs/heads/' || name, '//') OR contains(name, '@{')
+            OR name LIKE '%/' OR name LIKE '%.' OR name LIKE '%.lock' OR len(list_filter(string_split(name, '/'), lambda p: p IN ('.', '..'))) > 0) AS valid FROM n"""
     )
 )
 def ref_name_rules(spark, sf_dir):
@@ -121,6 +138,11 @@ def ref_name_rules(spark, sf_dir):
 # Histories and graphs.
 
 
+def _edges(rows):
+    """Parent edges with the repository that they lie in."""
+    return tables.parent_edges(rows).withColumnRenamed("repo", "root")
+
+
 def _tips(rows):
     return tables.tags(rows).select(F.col("repo").alias("root"), F.col("peeled").alias("oid"))
 
@@ -162,8 +184,8 @@ CLOSURE = "{name} AS (SELECT repo AS root, peeled AS oid FROM tags UNION SELECT
 
 @query(sql(COMMITS, EDGES, TAGS, CLOSURE.format(name="reach"), "SELECT root, oid FROM reach", recursive=True))
 def closure_reach(spark, sf_dir):
-    rows = tables.commits(spark, sf_dir)
-    return graph.closure(tables.parent_edges(rows), _tips(rows))
+    rows = written(tables.commits(spark, sf_dir), "commits")
+    return graph.closure(_edges(rows), _tips(rows))
 
 
 HAVES = "haves AS (SELECT repo AS root, max(oid) AS oid FROM commits WHERE message = '2-HIGH' GROUP BY repo)"
@@ -182,8 +204,8 @@ def _haves(rows):
     )
 )
 def closure_needed_exact(spark, sf_dir):
-    rows = tables.commits(spark, sf_dir)
-    return graph.needed(tables.parent_edges(rows), _tips(rows), _haves(rows))
+    rows = written(tables.commits(spark, sf_dir), "commits")
+    return graph.needed(_edges(rows), _tips(rows), _haves(rows))
 
 
 @query(
@@ -198,9 +220,9 @@ def closure_needed_exact(spark, sf_dir):
     )
 )
 def closure_needed_stopset(spark, sf_dir):
-    rows = tables.commits(spark, sf_dir)
+    rows = written(tables.commits(spark, sf_dir), "commits")
     stop = graph.ancestors(rows, _haves(rows), 20)
-    return graph.closure(tables.parent_edges(rows), _tips(rows), stop)
+    return graph.closure(_edges(rows), _tips(rows), stop)
 
 
 @query(
@@ -213,7 +235,7 @@ def closure_needed_stopset(spark, sf_dir):
 )
 def topo_levels(spark, sf_dir):
     rows = tables.commits(spark, sf_dir)
-    return graph.levels(tables.parent_edges(rows), rows.select("oid"), most=10_000)
+    return graph.levels(tables.parent_edges(rows), rows.select("oid"))
 
 
 @query(
@@ -457,7 +479,17 @@ def hydration_pending_counts(spark, sf_dir):
     return members.groupBy(F.floor(F.col("pack") / 100).alias("work")).agg(F.count_if(F.col("oid") % 3 == 0).alias("base"), F.count_if(F.col("oid") % 3 > 0).alias("loose"))
 
 
-@query()
+#: One step a row: an object is taken, waits for a later segment, or ends the segment; what waits begins the next.
+SEGMENTS = (
+    "q AS (SELECT pack AS work, list({'oid': oid, 'size': (size * 6 + 9) // 10 + 32} ORDER BY oid) AS todo FROM members GROUP BY pack)",
+    """s AS (SELECT work, 0::BIGINT AS segment, 0::BIGINT AS used, 0::BIGINT AS n, todo, []::STRUCT(oid BIGINT, size BIGINT)[] AS later, NULL::BIGINT AS taken FROM q
+      UNION ALL SELECT work, CASE WHEN over THEN segment + 1 ELSE segment END, CASE WHEN over THEN 0 WHEN fits THEN used + todo[1].size ELSE used END, CASE WHEN over THEN 0 WHEN fits THEN n + 1 ELSE n END,
+        CASE WHEN over THEN list_concat(later, todo) ELSE todo[2:] END, CASE WHEN over THEN [] WHEN fits THEN later ELSE list_append(later, todo[1]) END, CASE WHEN NOT over AND fits THEN todo[1].oid END
+      FROM (SELECT *, len(todo) = 0 OR n >= 200 AS over, n = 0 OR used + todo[1].size <= 10000 AS fits FROM s WHERE len(todo) + len(later) > 0))""",
+)
+
+
+@query(sql(MEMBERS, *SEGMENTS, "SELECT work, taken AS oid, segment FROM s WHERE taken IS NOT NULL", recursive=True))
 def hydration_segments(spark, sf_dir):
     members = tables.pack_objects(spark, sf_dir)
     return packs.segments(members.select(F.col("pack").alias("work"), "oid", F.col("size").alias("length")), most_objects=200, most_bytes=10_000)
@@ -554,18 +586,19 @@ EXT = "CASE page_id % 8 WHEN 0 THEN 'a.py' WHEN 1 THEN 'b.RS' WHEN 2 THEN 'Makef
 def language_infer(spark, sf_dir):
     line = F.when(F.col("page_id") % 8 == 4, F.concat(F.lit("#!/usr/bin/env "), F.element_at(F.array(F.lit("node"), F.lit("python3"), F.lit("bash")), (F.col("page_id") % 3 + 1).cast("int")))).otherwise("")
     rows = table(spark, sf_dir, "pages").select("page_id", F.expr(EXT).alias("name"), line.alias("line"))
-    return rows.select("page_id", "name", text.language(F.col("name"), F.col("line")).alias("language"))
+    return rows.select("page_id", "name", text.shown_language(text.language(F.col("name"), F.col("line"))).alias("language"))
 
 
 @query(
     sql(
-        """p AS (SELECT page_id, strlen(html)::BIGINT * 20 AS n FROM pages WHERE html IS NOT NULL AND html <> '')
-        SELECT page_id, seq, least(n - seq * 65515, 65515)::BIGINT AS length FROM (SELECT page_id, n, unnest(range(0, ((n + 65514) // 65515)::BIGINT)) AS seq FROM p)"""
+        """p AS (SELECT page_id, repeat(md5(url), 5000) AS t FROM pages WHERE html IS NOT NULL AND html <> '')
+        SELECT page_id, seq, 1::BIGINT AS channel, md5(substring(t, seq * 65515 + 1, 65515)) AS payload_md5 FROM (SELECT page_id, t, unnest(range(0, ((strlen(t) + 65514) // 65515)::BIGINT)) AS seq FROM p)"""
     )
 )
 def sideband_frames(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(codec.frames(F.expr("repeat(html, 20)").cast("binary"))).alias("f"))
-    return rows.select("page_id", "f.seq", "f.length")
+    payload = F.expr("repeat(md5(cast(url as binary)), 5000)").cast("binary")
+    rows = table(spark, sf_dir, "pages").where("html is not null and html <> ''").select("page_id", F.explode(codec.frames(payload)).alias("f"))
+    return rows.select("page_id", "f.seq", F.conv(F.hex(F.substring("f.frame", 1, 1)), 16, 10).cast("long").alias("channel"), F.md5(F.substring("f.frame", 2, codec.SIDEBAND_BYTES)).alias("payload_md5"))
 
 
 @query(sql("SELECT conv_id, turn, strlen(text)::BIGINT AS length, true AS same FROM conversations WHERE text IS NOT NULL"))
@@ -580,13 +613,44 @@ def pktline_roundtrip(spark, sf_dir):
 # Keyed state.
 
 
-@query()
+def _limit_oracle(wins: str, keys: str) -> str:
+    step = f"CASE WHEN {wins} THEN [0, 0, 0, 0] WHEN ts_s < u THEN [a, l, u, 1] WHEN ok THEN [0, 0, 0, 0] WHEN a = 0 OR ts_s - l >= 60 THEN [1, ts_s, 0, 2] WHEN a >= 5 THEN [a, ts_s, ts_s + 300, 1] ELSE [a + 1, ts_s, 0, 2] END"
+    return sql(
+        f"e AS (SELECT user_id, event_id % 3 AS ip, event_id, floor(epoch(ts))::BIGINT AS ts_s, event_type = 'signup' AS ok, row_number() OVER (PARTITION BY {keys} ORDER BY floor(epoch(ts))::BIGINT, event_id) AS k FROM (SELECT *, event_id % 3 AS ip FROM events))",
+        f"""f AS (SELECT e.*, {step} AS s FROM (SELECT *, 0::BIGINT AS a, 0::BIGINT AS l, 0::BIGINT AS u FROM e WHERE k = 1) e
+          UNION ALL SELECT user_id, ip, event_id, ts_s, ok, k, {step} FROM (SELECT e.*, f.s[1] AS a, f.s[2] AS l, f.s[3] AS u FROM f JOIN e ON e.k = f.k + 1 AND {' AND '.join(f'e.{c} = f.{c}' for c in keys.split(', '))}))
+        SELECT user_id, ip, event_id, ts_s, ok, CASE s[4] WHEN 0 THEN 'allowed' WHEN 1 THEN 'blocked' ELSE 'failed' END AS decision FROM f""".replace("(SELECT *, 0::BIGINT AS a, 0::BIGINT AS l, 0::BIGINT AS u FROM e WHERE k = 1) e", "(SELECT *, 0::BIGINT AS a, 0::BIGINT AS l, 0::BIGINT AS u FROM e WHERE k = 1) e").replace("SELECT e.*, CASE", "SELECT user_id, ip, event_id, ts_s, ok, k, CASE"),
+        recursive=True,
+    )
+
+
+def _attempts(spark, sf_dir):
+    rows = tables.pushes(spark, sf_dir)
+    return rows.select("user_id", (F.col("event_id") % 3).alias("ip"), "event_id", "ts_s", (F.col("event_type") == "signup").alias("ok"))
+
+
+@query(_limit_oracle("false", "user_id, ip"))
 def rate_limit_decisions(spark, sf_dir):
-    e = tables.pushes(spark, sf_dir).withColumn("ok", F.col("event_type") == "signup").drop("event_type")
-    return state.folded(e, "user_id", state.rate_limit)
+    return state.folded(_attempts(spark, sf_dir), ["user_id", "ip"], state.rate_limit)
+
 
+@query(_limit_oracle("ok", "ip"))
+def admin_limit_decisions(spark, sf_dir):
+    """One key for each address; the right token wins even when the address is blocked."""
+    return state.folded(_attempts(spark, sf_dir), "ip", state.admin_limit)
 
-@query()
+
+@query(
+    sql(
+        "e AS (SELECT user_id % 97 AS repo, event_id, floor(epoch(ts))::BIGINT AS ts_s, event_id % 7 * 3600 AS work_s, row_number() OVER (PARTITION BY user_id % 97 ORDER BY floor(epoch(ts))::BIGINT, event_id) AS k FROM events)",
+        """f AS (SELECT repo, event_id, ts_s, work_s, k, ts_s + work_s AS act, 0::BIGINT AS nxt, 'started' AS decision FROM e WHERE k = 1
+          UNION ALL SELECT repo, event_id, ts_s, work_s, k, CASE WHEN a0 = 0 THEN ts_s + work_s ELSE a0 END, CASE WHEN a0 = 0 THEN 0 WHEN n0 = 0 THEN a0 + work_s ELSE n0 END,
+            CASE WHEN a0 = 0 THEN 'started' WHEN n0 = 0 THEN 'queued' ELSE 'refused' END
+          FROM (SELECT e.*, CASE WHEN act > e.ts_s THEN act WHEN nxt > e.ts_s THEN nxt ELSE 0 END AS a0, CASE WHEN act > e.ts_s THEN nxt ELSE 0 END AS n0 FROM f JOIN e ON e.repo = f.repo AND e.k = f.k + 1))
+        SELECT repo, event_id, ts_s, work_s, decision FROM f""",
+        recursive=True,
+    )
+)
 def push_queue_decisions(spark, sf_dir):
     e = tables.pushes(spark, sf_dir).select(F.pmod("user_id", F.lit(97)).alias("repo"), "event_id", "ts_s", (F.col("event_id") % 7 * 3600).alias("work_s"))
     return state.folded(e, "repo", state.push_queue)
@@ -732,10 +796,10 @@ def auth_headers(spark, sf_dir):
     return rows.select("c_custkey", "b.user", "b.password", "token")
 
 
-FILE = "CASE page_id % 5 WHEN 0 THEN 'a.PNG' WHEN 1 THEN 'b.html' WHEN 2 THEN 'LICENSE' WHEN 3 THEN 'c.tar.gz' ELSE 'd.svg' END"
+FILE = "CASE page_id % 5 WHEN 0 THEN 'a.PNG' WHEN 1 THEN 'b.TXT' WHEN 2 THEN 'LICENSE' WHEN 3 THEN 'c.tar.gz' ELSE 'd.svg' END"
 
 
-@query(sql(f"SELECT page_id, {FILE} AS name, CASE page_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/html' WHEN 4 THEN 'image/svg+xml' ELSE 'application/octet-stream' END AS media FROM pages"))
+@query(sql(f"SELECT page_id, {FILE} AS name, CASE page_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/plain; charset=utf-8' WHEN 4 THEN 'image/svg+xml' ELSE 'application/octet-stream' END AS media FROM pages"))
 def media_types(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.expr(FILE).alias("name")).select("page_id", "name", http.media_type(F.col("name")).alias("media"))
 
@@ -761,3 +825,6 @@ def pack_oids_page(spark, sf_dir):
     members = tables.pack_objects(spark, sf_dir)
     one = tables.pack_list(members).where("ord = 5").select("pack")
     return members.join(one, "pack", "left_semi").select("pack", "oid").orderBy("oid").offset(10).limit(20)
+
+
+from stratalog.plans import assembly, lookups, service  # noqa: E402, F401  they register their queries

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,16 @@ def build_pack(objects: list[tuple[str, bytes]]) -> bytes:
     return bytes(out) + hashlib.sha1(out).digest()
 
 
+def _inflated(data: bytes, at: int) -> tuple[bytes, int]:
+    """The stream that begins at ``at``, and where it ends; read some 64 KB at a time."""
+    engine, out, view = zlib.decompressobj(), [], memoryview(data)
+    while not engine.eof and at < len(data):
+        part = view[at : at + 65536]
+        out.append(engine.decompress(part))
+        at += len(part) - len(engine.unused_data)
+    return b"".join(out), at
+
+
 def read_pack(data: bytes) -> list[dict]:
     """oid, type, payload, offset, next_offset, delta (whether stored as one) of each object; deltas are applied.
 
@@ -40,9 +51,7 @@ def read_pack(data: bytes) -> list[dict]:
     count, at, raw, names = struct.unpack(">I", data[8:12])[0], 12, {}, {v: k for k, v in codec.TYPE_CODES.items()}
     for _ in range(count):
         head = codec.read_entry_header(data, at)
-        engine = zlib.decompressobj()
-        payload = engine.decompress(data[at + head["header_len"] :])
-        end = len(data) - len(engine.unused_data)
+        payload, end = _inflated(data, at + head["header_len"])
         raw[at] = head | {"payload": payload, "next_offset": end}
         at = end
     done: dict[int, tuple[str, bytes]] = {}
@@ -74,7 +83,8 @@ def read_pack(data: bytes) -> list[dict]:
 def build_index(rows: list[dict], pack: bytes) -> bytes:
     """An index (version 2) over rows with oid and offset."""
     rows = sorted(rows, key=lambda r: r["oid"])
-    fan = [sum(int(r["oid"][:2], 16) <= b for r in rows) for b in range(256)]
+    first = [int(r["oid"][:2], 16) for r in rows]
+    fan = [bisect_right(first, b) for b in range(256)]
     large = [r["offset"] for r in rows if r["offset"] >= 1 << 31]
     place = {o: i for i, o in enumerate(large)}
     out = INDEX_MAGIC + struct.pack(">I", 2) + struct.pack(">256I", *fan)
@@ -113,7 +123,11 @@ def read_packs(spark: SparkSession, folder: str) -> DataFrame:
     """pack and the columns of :func:`read_pack` for every pack that has an index beside it."""
     load = lambda glob: spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     stem = F.regexp_extract("path", r"([^/]+)\.(pack|idx)$", 1)
-    packs = load("*.pack").select(stem.alias("pack"), "content").join(load("*.idx").select(stem.alias("pack")), "pack", "left_semi")
+    return decode_packs(load("*.pack").select(stem.alias("pack"), "content").join(load("*.idx").select(stem.alias("pack")), "pack", "left_semi"))
+
+
+def decode_packs(files: DataFrame) -> DataFrame:
+    """pack and the columns of :func:`read_pack` of files (pack, content); what is not a pack gives no rows."""
 
     def decode(parts):
         for part in parts:
@@ -122,12 +136,17 @@ def read_packs(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows).assign(pack=pack)[["pack", "oid", "type", "payload", "offset", "next_offset", "delta"]]
 
-    return packs.mapInPandas(decode, "pack string, oid string, type string, payload binary, offset long, next_offset long, delta boolean")
+    return files.mapInPandas(decode, "pack string, oid string, type string, payload binary, offset long, next_offset long, delta boolean")
 
 
 def read_indexes(spark: SparkSession, folder: str) -> DataFrame:
     """pack, position, oid, offset of every index file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.idx").load(folder)
+    return decode_indexes(files.select(F.regexp_extract("path", r"([^/]+)\.idx$", 1).alias("pack"), "content"))
+
+
+def decode_indexes(files: DataFrame) -> DataFrame:
+    """pack, position, oid, offset of index files (pack, content)."""
 
     def decode(parts):
         for part in parts:
@@ -135,7 +154,7 @@ def read_indexes(spark: SparkSession, folder: str) -> DataFrame:
                 rows = read_index(bytes(content))
                 yield pd.DataFrame({"pack": pack, "position": range(len(rows)), "oid": [r[0] for r in rows], "offset": [r[1] for r in rows]})
 
-    return files.select(F.regexp_extract("path", r"([^/]+)\.idx$", 1).alias("pack"), "content").mapInPandas(decode, "pack string, position long, oid string, offset long")
+    return files.mapInPandas(decode, "pack string, position long, oid string, offset long")
 
 
 def write_packs(objects: DataFrame) -> DataFrame:

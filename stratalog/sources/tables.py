@@ -35,8 +35,21 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parent_edges(rows: DataFrame) -> DataFrame:
-    """src, dst, ordinal (0 first parent, 1 merged parent)."""
-    return rows.select("oid", F.posexplode(F.array("p1", "p2")).alias("ordinal", "dst")).where("dst is not null").select(F.col("oid").alias("src"), "dst", "ordinal")
+    """repo, src, dst, ordinal (0 first parent, 1 merged parent)."""
+    return rows.select("repo", "oid", F.posexplode(F.array("p1", "p2")).alias("ordinal", "dst")).where("dst is not null").select("repo", F.col("oid").alias("src"), "dst", "ordinal")
+
+
+#: Derived ids: the root tree of a commit, and the blob of a part.
+TREES, BLOBS = 4_000_000_000, 8_000_000_000
+
+
+def object_edges(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """repo, src, dst, role: a commit needs its parents and its root tree, which holds the order's parts as blobs."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("oid"), (F.col("l_partkey") + BLOBS).alias("dst")).distinct()
+    parents = parent_edges(rows).select("repo", "src", "dst", F.lit("parent").alias("role"))
+    trees = rows.select("repo", F.col("oid").alias("src"), (F.col("oid") + TREES).alias("dst"), F.lit("tree").alias("role"))
+    entries = lines.join(rows.select("repo", "oid"), "oid").select("repo", (F.col("oid") + TREES).alias("src"), "dst", F.lit("entry").alias("role"))
+    return parents.unionByName(trees).unionByName(entries)
 
 
 def branch_heads(rows: DataFrame) -> DataFrame:

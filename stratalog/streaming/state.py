@@ -31,6 +31,11 @@ def rate_limit(state: tuple, row) -> tuple[tuple, str]:
     return (attempts + 1, row.ts_s, 0), "failed"
 
 
+def admin_limit(state: tuple, row) -> tuple[tuple, str]:
+    """Like :func:`rate_limit`, but the right token always wins, blocked or not."""
+    return ((0, 0, 0), "allowed") if row.ok else rate_limit(state, row)
+
+
 def push_queue(state: tuple, row) -> tuple[tuple, str]:
     """State: ends of the active and the next work. One push works, one waits, a third is refused."""
     active, waiting = state or (0, 0)
@@ -50,7 +55,7 @@ def touch(state: tuple, row) -> tuple[tuple, str]:
     return (row.ts_s,), "written"
 
 
-def folded(events: DataFrame, key: str, step: Callable, out: str = "decision") -> DataFrame:
+def folded(events: DataFrame, key: str | list[str], step: Callable, out: str = "decision") -> DataFrame:
     """``events`` (key, event_id, ts_s, ...) with the decision of each, in order of (ts_s, event_id) within a key."""
     schema = StructType([*events.schema.fields, StructField(out, StringType())])
 
@@ -62,7 +67,7 @@ def folded(events: DataFrame, key: str, step: Callable, out: str = "decision") -
             decisions.append(decision)
         return rows.assign(**{out: decisions})
 
-    return events.groupBy(key).applyInPandas(run, schema)
+    return events.groupBy(*([key] if isinstance(key, str) else key)).applyInPandas(run, schema)
 
 
 def streamed(events: DataFrame, key: str, step: Callable, width: int, out: str = "decision") -> DataFrame:

@@ -50,11 +50,6 @@ def test_pkt_lines():
     assert codec.parse_pkt_lines(b"0006a\nzzzz") == [("line", b"a\n")]
 
 
-def test_fetch_arguments_keep_repeated_haves():
-    got = codec.fetch_arguments(["want a", "want a", "have b", "have b", "done"])
-    assert got == {"wants": ["a"], "haves": ["b", "b"], "done": True}
-
-
 def test_tokens():
     stored = codec.hash_token("secret", b"0123456789abcdef", 1000)
     assert codec.verify_token("secret", stored) and not codec.verify_token("other", stored)

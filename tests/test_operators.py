@@ -29,18 +29,20 @@ def test_closure_ends_on_cycles(spark):
 def test_atomic_pushes(spark):
     have = spark.createDataFrame([(1, "refs/heads/a", 5)], "repo long, name string, oid long")
     rows = [(1, 1, "refs/heads/b", 0, 7), (1, 1, "refs/heads/a", 9, 8), (2, 1, "refs/heads/a", 5, 0), (3, 1, "HEAD", 0, 1), (4, 1, "refs/heads/a", 0, 6), (5, 1, "refs/heads/x", 0, 0)]
-    judged = refs.cas(spark.createDataFrame(rows, "push long, repo long, name string, old long, new long"), have)
+    rows += [(6, 1, "refs/heads/c", 0, 1), (6, 1, "refs/heads/c", 0, 2)]  # both see the references before their push
+    judged = refs.cas(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, push long, repo long, name string, old long, new long"), have)
     got = {(r["push"], r["name"]): (r["status"], r["applied"]) for r in judged.collect()}
     assert got[1, "refs/heads/b"] == ("ok", False)
     assert got[1, "refs/heads/a"] == ("stale old-oid", False)
     assert got[2, "refs/heads/a"] == ("ok", True)
     assert got[3, "HEAD"] == ("invalid ref", False)
-    assert got[4, "refs/heads/a"] == ("stale old-oid", False)
+    assert got[4, "refs/heads/a"] == ("ok", True)  # push 2 has deleted it
     assert got[5, "refs/heads/x"] == ("no such ref", False)
-    assert refs.apply_commands(have, judged).count() == 0
+    assert {(r["name"], r["oid"]) for r in refs.apply_commands(have, judged).collect()} == {("refs/heads/a", 6), ("refs/heads/c", 2)}
+    assert {r["push"]: r["report"] for r in refs.reports(judged).collect()}[1] == "ok refs/heads/b\nng refs/heads/a stale old-oid"
 
 
-@pytest.mark.parametrize("name,valid", [("refs/heads/a", True), ("HEAD", False), ("refs/heads/a b", False), ("refs/heads/a.lock", False), ("refs//a", False), ("refs/heads/.a", False), ("refs/a@{1}", False), ("refs/a\\b", False), ("heads/a", False)])
+@pytest.mark.parametrize("name,valid", [("refs/heads/a", True), ("HEAD", False), ("refs/heads/a b", False), ("refs/heads/a.lock", False), ("refs//a", False), ("refs/heads/.a", True), ("refs/heads/./a", False), ("refs/heads/a..b", True), ("refs/../a", False), ("refs/heads/a.lock/b", True), ("refs/heads/a.", False), ("refs/a@{1}", False), ("refs/a\\b", False), ("heads/a", False)])
 def test_ref_names(spark, name, valid):
     assert spark.createDataFrame([(name,)], "n string").select(refs.is_valid_name(F.col("n"))).first()[0] is valid
 
@@ -107,3 +109,25 @@ def test_text_functions(spark):
         text.format_size(F.col("n")), text.ago(F.col("s")), text.escape_html(F.lit('<a href="b">&')), text.format_when(F.lit(0).cast("long"), F.lit("+0200")), text.percent(F.lit(1), F.lit(8)),
     ).first()
     assert list(got) == [2, "a", "x/y", ["x", "x/y", "x/y/z"], "hi", "1.5 KB", "1d", "&lt;a href=&quot;b&quot;&gt;&amp;", "1970-01-01 00:00:00 UTC (+0200)", 13]
+
+
+def test_walks_without_caps(spark, monkeypatch):
+    """Long chains, cycles, and both ways of a closure."""
+    chain = [(i, i - 1 if i else None) for i in range(3000)]
+    commits = spark.createDataFrame(chain, "oid long, p1 long")
+    starts = spark.createDataFrame([(2999, 2999), (5, 5), (9999, 9999)], "root long, oid long")
+    got = {(r["root"], r["oid"], r["depth"]) for r in graph.ancestors(commits, starts, 2500).collect()}
+    assert got == {(2999, 2999 - d, d) for d in range(2501)} | {(5, 5 - d, d) for d in range(6)} | {(9999, 9999, 0)}
+    ring = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "oid long, p1 long")
+    assert {(r["oid"], r["depth"]) for r in graph.ancestors(ring, spark.createDataFrame([(0, 0)], "root long, oid long"), 50).collect()} == {(0, 0), (2, 1), (1, 2)}
+    with pytest.raises(ValueError):
+        graph.levels(ring.selectExpr("oid AS src", "p1 AS dst"), ring.select("oid"))
+    edges = spark.createDataFrame([(r, a, b) for r in (1, 2) for a, b in [(1, 2), (2, 3), (3, 1), (3, 4 + r), (7, 8)]], "root long, src long, dst long")
+    roots, stop = spark.createDataFrame([(1, 1), (2, 2), (2, 77)], "root long, oid long"), spark.createDataFrame([(2, 3)], "root long, oid long")
+    one = {tuple(r) for r in graph.closure(edges, roots, stop).collect()}
+    monkeypatch.setattr(graph, "TASK_EDGES", 0)
+    assert one == {tuple(r) for r in graph.closure(edges, roots, stop).collect()} == {(1, 1), (1, 2), (1, 3), (1, 5), (2, 2), (2, 77)}
+
+
+def test_stored_size_estimate(spark):
+    assert [r[0] for r in spark.createDataFrame([(0,), (1,), (100,), (101,)], "n long").select(packs.estimated_bytes(F.col("n"))).collect()] == [32, 33, 92, 93]
