@@ -34,7 +34,7 @@ from stratalog.llm.scratch import new_path, small_batches, written
 from stratalog.llm.textkit import flat, pieces_of
 
 U64 = np.uint64
-BLOCK, LANES = 1024, 5120
+BLOCK, LANES = 1024, 6144
 SHARD_BYTES, MOST_SHARDS, SPAN = 14 << 20, 100_000, 1000
 END_ID = 2
 #: Ids from here on are refused.
@@ -129,8 +129,8 @@ class Models:
         np.copyto(width, self.w_new, where=new)
         return start, width
 
-    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number, whether the id is new) of the interval that holds ``value``."""
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(number, whether the id is new, start, width) of the interval that holds ``value``."""
         n, bits = len(value), (1 << WIDTH_BITS) - 1
         swap = self.id1 < self.id2
         m1, m2 = self.w1 * self.t, self.w2 * self.t
@@ -144,14 +144,23 @@ class Models:
         start_high = self.w0 * (held_high >> WIDTH_BITS) + m_low
         end_high = start_high + self.w0 * (held_high & bits) + m_high
         new = value >= self.all_met
-        rest = value - m_low * (value >= end_low) - m_high * (value >= end_high)
-        place = (rest / self.w0).astype(np.int64)
+        over_low, over_high = value >= end_low, value >= end_high
+        place = ((value - m_low * over_low - m_high * over_high) / self.w0).astype(np.int64)
         place *= ~new
         x = self.inverse.take(self.base[:n] + np.clip(place, 0, self.cap - 1, out=place))
-        np.copyto(x, high, where=(value >= start_high) & (value < end_high))
-        np.copyto(x, low, where=(value >= start_low) & (value < end_low))
+        is_high, is_low = (value >= start_high) & ~over_high, (value >= start_low) & ~over_low
+        np.copyto(x, high, where=is_high)
+        np.copyto(x, low, where=is_low)
         np.copyto(x, self.met[:n].astype(np.uint16), where=new)
-        return x, new
+        held = self.cum.take(self.base[:n] + x)
+        start = self.w0 * (held >> WIDTH_BITS) + m_low * over_low + m_high * over_high
+        width = self.w0 * (held & bits)
+        width += m_low * is_low
+        width += m_high * is_high
+        np.copyto(start, self.all_met, where=new)
+        np.copyto(width, self.w_new, where=new)
+        self.is1, self.is2 = self.id1 == x, self.id2 == x
+        return x, new, start, width
 
     def learn(self, x: np.ndarray, new: np.ndarray) -> None:
         event = np.where(self.is2, np.uint8(0), np.where(self.is1, np.uint8(1), 2 + new.view(np.uint8)))
@@ -173,9 +182,9 @@ class Models:
 
 
 def numbered(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers by first occurrence in the row, whether a place is a first occurrence), by place and row."""
+    """(numbers by first occurrence in the row, whether a place is a first occurrence)."""
     lanes, steps = ids.shape
-    numbers, new = np.zeros((steps, lanes), np.uint16), np.zeros((steps, lanes), bool)
+    numbers, new = np.zeros((lanes, steps), np.uint16), np.zeros((lanes, steps), bool)
     top = int(ids.max(initial=0)) + 1
     together = max(1, min(16, (1 << 20) // top))
     place_of = np.empty(top * together, np.int32)  # only places just written are read
@@ -187,12 +196,20 @@ def numbered(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
         first = place_of.take(keys)
         is_first = first == places
         order = np.cumsum(is_first.reshape(n, steps), axis=1, dtype=np.uint16) - np.uint16(1)
-        numbers[:, i : i + n] = order.ravel().take(first).reshape(n, steps).T
-        new[:, i : i + n] = is_first.reshape(n, steps).T
-    new &= np.arange(steps)[:, None] < lengths
+        numbers[i : i + n] = order.ravel().take(first).reshape(n, steps)
+        new[i : i + n] = is_first.reshape(n, steps)
+    new &= np.arange(steps) < lengths[:, None]
     return numbers, new
 
 
+def turned(rows: np.ndarray) -> np.ndarray:
+    """A transposed copy, made in strips that stay in the cache."""
+    out = np.empty(rows.shape[::-1], rows.dtype)
+    for i in range(0, len(rows), 64):
+        out[:, i : i + 64] = rows[i : i + 64].T
+    return out
+
+
 def _active(lengths: np.ndarray, steps: int) -> list[int]:
     """How many lanes (longest first) have an id at each step."""
     return (len(lengths) - np.cumsum(np.bincount(lengths, minlength=steps + 1)))[:steps].tolist()
@@ -208,10 +225,11 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     if ids.shape[1] > LONGEST:
         raise ValueError(f"a block holds {LONGEST} ids at most")
     lanes, steps = len(lengths), int(lengths.max(initial=0))
-    numbers, new = numbered(ids, lengths)
+    numbers, new_ids = numbered(ids, lengths)
+    numbers, new = turned(numbers), turned(new_ids)
     models = Models(lanes, steps, False)
     low, wide = np.zeros(lanes, U64), np.full(lanes, np.iinfo(np.uint64).max, U64)
-    room = 2 * steps + 4
+    room = steps + 4  # no id takes more than a word: weights and places are below 2**24
     words, used = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
 
     def put(n, total, start, width):
@@ -254,7 +272,7 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     out = []
     for i in range(lanes):
         own = ids[i, : lengths[i]].astype("<u4")
-        kinds = own[new[: lengths[i], i]]
+        kinds = own[new_ids[i, : lengths[i]]]
         size = 2 if int(kinds.max(initial=0)) < 1 << 16 else 4
         head = struct.pack(HEAD, BLOCK_MAGIC, int(lengths[i]), int(counts[i]), len(kinds), size, zlib.crc32(own.tobytes()))
         out.append(head + words[i, : counts[i]].tobytes() + kinds.astype(f"<u{size}").tobytes())
@@ -304,16 +322,16 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
         models.look(n, last[:n], pair[:n])
         r = np.maximum(wide[:n] // models.total.astype(U64), U64(1))
         value = np.minimum(code[:n] // r, (models.total - 1).astype(U64)).astype(np.int32)
-        x, is_new = models.find(value)
-        start, width = models.interval(x, is_new)
+        x, is_new, start, width = models.find(value)
         take(n, r, start.astype(U64), width.astype(U64))
         models.learn(x, is_new)
         models.meet(is_new)
         numbers[t, :n] = x
         last, pair = x, last[:n] * PAIR_OLD + x * PAIR_NEW
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
+    numbers = turned(numbers)
     for k, i in enumerate(order):
-        out[i] = known[k][numbers[: lengths[k], k]].astype("<u4")
+        out[i] = known[k].take(numbers[k, : lengths[k]]).astype("<u4", copy=False)
         if zlib.crc32(out[i].tobytes()) != heads[i][5]:
             raise ValueError("a block does not match its checksum")
     return out
@@ -331,6 +349,10 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 #: Punctuation that never shares a piece with a letter before it; the apostrophe may begin one with letters after it.
 _POINT = np.zeros(256, bool)
 _POINT[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+#: A bit for each of these: space, safe to cut before, newline, ASCII that is not blank, letter, point.
+_CLASS = np.zeros(256, np.uint8)
+for _bit, _of in enumerate((np.arange(256) == 32, _SAFE, np.arange(256) == 10, ~_BLANK & (np.arange(256) < 128), _LETTER, _POINT)):
+    _CLASS |= _of.astype(np.uint8) << _bit
 JOINED = 256
 MOST_KNOWN = 1_500_000
 
@@ -368,10 +390,10 @@ class Encoder:
         n = len(raw)
         cut = np.zeros(n, bool)
         if self.cuts and n > 2:
-            safe = _SAFE[raw]
-            cut[1:-1] = (raw[1:-1] == 32) & safe[2:]
-            cut[1:-1] |= (raw[1:-1] == 10) & ~_BLANK[raw[:-2]] & (raw[:-2] < 128) & safe[2:]
-            cut[1:] |= _LETTER[raw[:-1]] & _POINT[raw[1:]]
+            kind = _CLASS[raw]
+            before, here, after = kind[:-2], kind[1:-1], kind[2:]
+            cut[1:-1] = (here & (after >> 1) & 1) | ((here >> 2) & (after >> 1) & (before >> 3) & 1)
+            cut[1:] |= ((kind[:-1] >> 4) & (kind[1:] >> 5)).astype(bool)
             for token in self.added:
                 at = data.find(token) if token else -1
                 self.marked |= at >= 0
@@ -382,8 +404,8 @@ class Encoder:
         cut[offsets[:-1][offsets[:-1] < n]] = True
         return np.flatnonzero(cut)
 
-    def _learn(self, fresh: pa.Array) -> None:
-        """Encodes stretches not met before; those that begin with a single space, many in one call."""
+    def _learn(self, fresh: pa.Array) -> np.ndarray:
+        """Encodes stretches not met before; those that begin with a single space, many in one call. Returns their places."""
         raw, at = flat(fresh)
         sizes = np.diff(at)
         joins = (raw[at[:-1]] == 32) & (sizes > 1) & self.cuts
@@ -402,9 +424,13 @@ class Encoder:
         ends = np.searchsorted(upto, at[1:], "right")
         more = coded[len(calls) :]
         ends = np.concatenate((ends, len(ids) + np.cumsum([len(c) for c in more], dtype=np.int64)))
+        places = np.empty(len(fresh), np.int64)
+        places[joins], places[~joins] = np.arange(len(first)), np.arange(len(rest)) + len(first)
+        places += len(self.known)
         self.known = pa.concat_arrays([self.known, first, rest])
         self.begin = np.concatenate((self.begin, len(self.ids) + ends))
         self.ids = np.concatenate((self.ids, ids, np.fromiter(chain.from_iterable(more), np.int32)))
+        return places
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, END_ID after each, and the number of ids of each."""
@@ -417,10 +443,11 @@ class Encoder:
         if len(self.known) > MOST_KNOWN:
             self._forget()
         found = pc.index_in(coded.dictionary, value_set=self.known)  # exact, too
-        if found.null_count:
-            self._learn(coded.dictionary.filter(found.is_null()))
-            found = pc.index_in(coded.dictionary, value_set=self.known)
-        slot = found.to_numpy()[coded.indices.to_numpy()]
+        places = found.fill_null(-1).to_numpy().astype(np.int64)
+        fresh = places < 0
+        if fresh.any():
+            places[fresh] = self._learn(coded.dictionary.filter(pa.array(fresh)))
+        slot = places[coded.indices.to_numpy()]
         sizes = self.begin[slot + 1] - self.begin[slot]
         doc = np.searchsorted(offsets, start, "right") - 1
         per = np.bincount(doc, sizes, texts).astype(np.int64) + 1
