@@ -44,7 +44,7 @@ SHARED, NEEDED = 100, 75
 #: Frequent shingles whose order the tasks are told: at most so many, so the broadcast is bounded.
 FREQUENT_ROWS = 200_000
 FREQUENT_FROM = 16
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 BLOCK_BYTES = 8 << 20
 #: Candidates whose documents are picked by a broadcast of their ids; beyond, by a shuffled join.
 BROADCAST_CANDIDATES = 500_000
@@ -102,7 +102,7 @@ def _batches_of_sets(batches: Iterator[pa.RecordBatch], twins: np.ndarray):
 
     The node of a set is its first signature, or, if its second one is among ``twins``, a mix of both.
     """
-    for part in pieces_of(batches, "_text"):
+    for part in pieces_of(batches, "_text", 1 << 20):
         value, owner, sizes = shingle_sets(*flat(part.column("_text")))
         a, b = signatures(value, sizes)
         if len(twins):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.scratch import small_batches
-from stratalog.llm.textkit import GOLD, flat, mixed, pieces
+from stratalog.llm.textkit import GOLD, flat, mixed, pieces_of
 
 U64 = np.uint64
 ORDER = 5
@@ -281,10 +281,9 @@ def identified(docs: DataFrame, identifier: Identifier, id_col: str = "doc_id",
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = shared.value, {}
-        for batch in batches:
-            for part in pieces(batch, "_text", 1 << 19):
-                names, score, low, rejected = own.predict(*flat(part.column("_text")), held)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(low), pa.array(rejected)], [id_col, "lang_pred", "score", "cross_entropy", "rejected"])
+        for part in pieces_of(batches, "_text", 1 << 19):
+            names, score, low, rejected = own.predict(*flat(part.column("_text")), held)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(low), pa.array(rejected)], [id_col, "lang_pred", "score", "cross_entropy", "rejected"])
 
     return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(predict, f"`{id_col}` {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
 

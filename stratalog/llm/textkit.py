@@ -62,6 +62,8 @@ def pieces_of(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int =
             held, size = [], 0
     if held:
         yield from pieces(pa.concat_batches(held), column, most_bytes)
+    del held
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -353,7 +353,7 @@ _POINT[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] =
 _CLASS = np.zeros(256, np.uint8)
 for _bit, _of in enumerate((np.arange(256) == 32, _SAFE, np.arange(256) == 10, ~_BLANK & (np.arange(256) < 128), _LETTER, _POINT)):
     _CLASS |= _of.astype(np.uint8) << _bit
-JOINED = 256
+JOINED = 1024
 MOST_KNOWN = 1_500_000
 
 
@@ -512,7 +512,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                 number += lanes
             kept, held = [ids[whole:]], len(ids) - whole
 
-        for part in pieces_of(batches, "_text", SHARD_BYTES):
+        for part in pieces_of(batches, "_text", SHARD_BYTES // 2):
             ids, per = encoder.encode(*flat(part.column("_text")))
             row = np.zeros(part.num_rows, INDEX_ROW)
             row["id"] = part.column("_id").fill_null(0).to_numpy()

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm.scratch import small_batches
-from stratalog.llm.textkit import GOLD, MIX_A, WORD_BYTES, flat, pieces
+from stratalog.llm.textkit import GOLD, MIX_A, WORD_BYTES, flat, pieces_of
 
 U64 = np.uint64
 SIZES = (3, 4, 5, 6)
@@ -199,9 +199,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            for part in pieces(batch, "_text", 1 << 19):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.scores(*flat(part.column("_text"))), pa.float64())], [id_col, "score"])
+        for part in pieces_of(batches, "_text", 1 << 19):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.scores(*flat(part.column("_text"))), pa.float64())], [id_col, "score"])
 
     return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(score, f"`{id_col}` {kind}, score double")
 
