@@ -42,17 +42,15 @@ ID_LIMIT = 1 << 24
 #: Fixed values of the format.
 BLOCK_MAGIC, INDEX_MAGIC, HEAD = b"SLTB", b"SLTI", "<4sIIIII"
 HEAD_BYTES = struct.calcsize(HEAD)
-RENEW = (64, 256, 576)
+RENEW = (96, 384)
 TWO_BITS, CONTEXTS = 11, 128
 PAIR_OLD, PAIR_NEW = np.uint32(60493), np.uint32(40503)
 WIDTH_BITS = 13
 LONGEST = 4096  # ids of a block at most: widths and numbers have so many bits
 #: Mixing counts lie packed in 16-bit fields: order 2, order 1, order 0, new id.
-FIRST_COUNTS = 8 | 4 << 16 | 12 << 32 | 12 << 48
-CREDIT = 24
-MOST_COUNTS = 1900
+FIRST_COUNTS = 4 | 2 << 16 | 6 << 32 | 6 << 48
+CREDIT = 12  # LONGEST credits still fit a field
 CREDITS = np.array([CREDIT << (16 * k) for k in range(4)], np.int64)
-HALF, ONES = 0x7FFF7FFF7FFF7FFF, 0x0001000100010001
 LEAST = U64(1 << 32)
 
 
@@ -166,8 +164,6 @@ class Models:
         event = np.where(self.is2, np.uint8(0), np.where(self.is1, np.uint8(1), 2 + new.view(np.uint8)))
         packed = self.packed
         packed += CREDITS.take(event)
-        full = np.flatnonzero(self.total > MOST_COUNTS * self.t)
-        packed[full] = (packed[full] >> 1 & HALF) + ONES
         self.mix[self.at_mix] = packed
         fresh = (x << 3) + np.uint16(1)
         for table, at, said, sure, right in ((self.one, self.at1, self.said1, self.sure1, self.is1), (self.two, self.at2, self.said2, self.sure2, self.is2)):
@@ -229,7 +225,7 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     numbers, new = turned(numbers), turned(new_ids)
     models = Models(lanes, steps, False)
     low, wide = np.zeros(lanes, U64), np.full(lanes, np.iinfo(np.uint64).max, U64)
-    room = steps + 4  # no id takes more than a word: weights and places are below 2**24
+    room = steps + 4  # no id takes more than a word: weights times places are below 2**31
     words, used = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
 
     def put(n, total, start, width):
@@ -281,6 +277,11 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
 
 def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; a block that is damaged raises ValueError."""
+    with np.errstate(all="ignore"):  # what a damaged block leads to is found by its checksum
+        return _decoded(blocks)
+
+
+def _decoded(blocks: list[bytes]) -> list[np.ndarray]:
     heads = [struct.unpack_from(HEAD, b) if len(b) >= HEAD_BYTES else (b"", 0, 0, 0, 0, 0) for b in blocks]
     for b, (magic, length, used, kinds, size, _) in zip(blocks, heads, strict=True):
         if magic != BLOCK_MAGIC or size not in (2, 4) or len(b) != HEAD_BYTES + 4 * used + size * kinds or not kinds <= length <= LONGEST:
@@ -320,8 +321,8 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
         if t in RENEW:
             models.renew(numbers, n, t)
         models.look(n, last[:n], pair[:n])
-        r = np.maximum(wide[:n] // models.total.astype(U64), U64(1))
-        value = np.minimum(code[:n] // r, (models.total - 1).astype(U64)).astype(np.int32)
+        r = wide[:n] // models.total.astype(U64)
+        value = (code[:n] // r).astype(np.int32)
         x, is_new, start, width = models.find(value)
         take(n, r, start.astype(U64), width.astype(U64))
         models.learn(x, is_new)
@@ -354,7 +355,7 @@ _CLASS = np.zeros(256, np.uint8)
 for _bit, _of in enumerate((np.arange(256) == 32, _SAFE, np.arange(256) == 10, ~_BLANK & (np.arange(256) < 128), _LETTER, _POINT)):
     _CLASS |= _of.astype(np.uint8) << _bit
 JOINED = 1024
-MOST_KNOWN = 1_500_000
+MOST_KNOWN = 2_500_000
 
 
 class Encoder:

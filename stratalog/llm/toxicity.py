@@ -128,15 +128,14 @@ def fit(texts: list[str], toxic: np.ndarray, settings: Settings = Settings(), we
 
 def _fitted(texts: list[str], toxic: np.ndarray, settings: Settings) -> Model:
     buckets = 1 << settings.bits
-    bags, shares, at = [], [], [0]
+    bags, shares, at = bytearray(), bytearray(), [0]  # they grow in place; lists of arrays would be held twice
     for text in texts:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         bag, count = np.unique(subwords(raw, np.array([0, len(raw)]), settings.bits)[0], return_counts=True)
-        bags.append(bag)
-        shares.append((count / (settings.padding + count.sum())).astype(np.float32))
+        bags += bag.astype(np.int32).tobytes()
+        shares += (count / (settings.padding + count.sum())).astype(np.float32).tobytes()
         at.append(at[-1] + len(bag))
-    bag, share, at = np.concatenate(bags), np.concatenate(shares), np.array(at)
-    del bags, shares
+    bag, share, at = np.frombuffer(bags, np.int32), np.frombuffer(shares, np.float32), np.array(at)
     rng = np.random.default_rng(settings.seed)
     table = rng.normal(0, 0.1, (settings.width, buckets)).astype(np.float32)
     layer = rng.normal(0, 1, (settings.width, 2))
