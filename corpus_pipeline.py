@@ -56,7 +56,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: The classifier of the first stage is not expressible in SQL; the operators are tested against brute force, the rows of run() are not.
+#: The classifier of the first stage is not expressible in SQL; the stages and the rows of run() are tested against plain Python.
 ORACLE_SQL = None
 
 
