@@ -50,10 +50,17 @@ LONGEST = 4096  # ids of a block at most: widths and numbers have so many bits
 #: Mixing counts lie packed in 16-bit fields: order 2, order 1, order 0, new id.
 FIRST_COUNTS = 4 | 2 << 16 | 6 << 32 | 6 << 48
 CREDIT = 12  # LONGEST credits still fit a field
-CREDITS = np.array([CREDIT << (16 * k) for k in range(4)], np.int64)
+ONE = np.uint8(1)
 LEAST = U64(1 << 32)
 
 
+def picked(into: np.ndarray, other: np.ndarray, mask: np.ndarray) -> None:
+    """``other`` goes into ``into`` where ``mask`` has all bits, not where it has none; without branches, unlike np.where."""
+    other = into ^ other
+    other &= mask
+    into ^= other
+
+
 class Models:
     """Order-0 to order-2 predictions of many lanes and the weights that mix them.
 
@@ -123,8 +130,9 @@ class Models:
         self.is1, self.is2 = self.id1 == x, self.id2 == x
         start = self.w0 * (held >> WIDTH_BITS) + self.t * (self.w2 * (self.id2 < x) + self.w1 * (self.id1 < x))
         width = self.w0 * (held & ((1 << WIDTH_BITS) - 1)) + self.t * (self.w2 * self.is2 + self.w1 * self.is1)
-        np.copyto(start, self.all_met, where=new)
-        np.copyto(width, self.w_new, where=new)
+        is_new = -new.view(np.int8).astype(np.int32)
+        picked(start, self.all_met, is_new)
+        picked(width, self.w_new, is_new)
         return start, width
 
     def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +143,9 @@ class Models:
         m2 += m1 * self.same
         m1 *= ~self.same
         low, high = np.minimum(self.id1, self.id2), np.maximum(self.id1, self.id2)
-        m_low, m_high = np.where(swap, m1, m2), np.where(swap, m2, m1)
+        m_both, m_low = m1 + m2, m2
+        picked(m_low, m1, -swap.view(np.int8).astype(np.int32))
+        m_high = m_both - m_low
         held_low, held_high = self.cum.take(self.base[:n] + low), self.cum.take(self.base[:n] + high)
         start_low = self.w0 * (held_low >> WIDTH_BITS)
         end_low = start_low + self.w0 * (held_low & bits) + m_low
@@ -143,32 +153,38 @@ class Models:
         end_high = start_high + self.w0 * (held_high & bits) + m_high
         new = value >= self.all_met
         over_low, over_high = value >= end_low, value >= end_high
-        place = ((value - m_low * over_low - m_high * over_high) / self.w0).astype(np.int64)
+        passed = m_low * over_low + m_high * over_high
+        place = ((value - passed) / self.w0).astype(np.int32)
         place *= ~new
-        x = self.inverse.take(self.base[:n] + np.clip(place, 0, self.cap - 1, out=place))
+        np.minimum(np.maximum(place, 0, out=place), self.cap - 1, out=place)
+        x = self.inverse.take(self.base[:n] + place)
         is_high, is_low = (value >= start_high) & ~over_high, (value >= start_low) & ~over_low
-        np.copyto(x, high, where=is_high)
-        np.copyto(x, low, where=is_low)
-        np.copyto(x, self.met[:n].astype(np.uint16), where=new)
+        picked(x, high, -is_high.view(np.uint8).astype(np.uint16))
+        picked(x, low, -is_low.view(np.uint8).astype(np.uint16))
+        picked(x, self.met[:n].astype(np.uint16), -new.view(np.uint8).astype(np.uint16))
         held = self.cum.take(self.base[:n] + x)
-        start = self.w0 * (held >> WIDTH_BITS) + m_low * over_low + m_high * over_high
+        start = self.w0 * (held >> WIDTH_BITS) + passed
         width = self.w0 * (held & bits)
         width += m_low * is_low
         width += m_high * is_high
-        np.copyto(start, self.all_met, where=new)
-        np.copyto(width, self.w_new, where=new)
+        is_new = -new.view(np.int8).astype(np.int32)
+        picked(start, self.all_met, is_new)
+        picked(width, self.w_new, is_new)
         self.is1, self.is2 = self.id1 == x, self.id2 == x
         return x, new, start, width
 
     def learn(self, x: np.ndarray, new: np.ndarray) -> None:
-        event = np.where(self.is2, np.uint8(0), np.where(self.is1, np.uint8(1), 2 + new.view(np.uint8)))
+        field = new.view(np.uint8) + np.uint8(2)  # 0 if order 2 was right, else 1 if order 1 was, else 2 or 3
+        picked(field, ONE, -self.is1.view(np.uint8))
+        field *= ~self.is2
         packed = self.packed
-        packed += CREDITS.take(event)
+        packed += np.left_shift(np.int64(CREDIT), (field << np.uint8(4)).astype(np.int64))
         self.mix[self.at_mix] = packed
-        fresh = (x << 3) + np.uint16(1)
+        fresh = (x << 3) + ONE
         for table, at, said, sure, right in ((self.one, self.at1, self.said1, self.sure1, self.is1), (self.two, self.at2, self.said2, self.sure2, self.is2)):
-            now = np.where(sure < 2, fresh, said - sure + (sure >> 1))
-            np.copyto(now, said + (sure < 7), where=right)
+            now = said - ((sure + ONE) >> 1)
+            picked(now, fresh, -(sure < 2).view(np.uint8).astype(np.uint16))
+            picked(now, said + (sure < 7), -right.view(np.uint8).astype(np.uint16))
             table[at] = now
 
     def meet(self, new: np.ndarray) -> None:
