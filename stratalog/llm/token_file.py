@@ -51,6 +51,11 @@ LONGEST = 4096  # ids of a block at most: widths and numbers have so many bits
 FIRST_COUNTS = 4 | 2 << 16 | 6 << 32 | 6 << 48
 CREDIT = 12  # LONGEST credits still fit a field
 ONE = np.uint8(1)
+#: What is added to the mixing counts if order 2 was right, else order 1, else order 0, else none of them.
+CREDITS = np.left_shift(np.int64(CREDIT), np.arange(4) * 16)
+#: By confidence, for predictions that were wrong and then for right ones: what is added to the confidence, and whether the prediction is replaced.
+STEPS = np.array([-((sure + 1) >> 1) for sure in range(8)] + [sure < 7 for sure in range(8)]).astype(np.uint16)
+FORGETS = np.where(np.arange(16) < 2, 0xFFFF, 0).astype(np.uint16)
 LEAST = U64(1 << 32)
 
 
@@ -82,6 +87,7 @@ class Models:
         self.mix = np.full(lanes * CONTEXTS, FIRST_COUNTS, np.int64)
         lane = np.arange(lanes)
         self.base, self.base2, self.base_mix = lane * self.cap, lane << TWO_BITS, lane * CONTEXTS
+        self.at_last = self.base  # where the last number of each lane stands in the tables of numbers
         self.line, self.met = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
         self.counts = np.zeros((lanes, self.cap), np.uint16)
         self.counted = 0
@@ -108,9 +114,9 @@ class Models:
         self.counted = t
         self.line[:n] = t
 
-    def look(self, n: int, last: np.ndarray, pair: np.ndarray) -> None:
-        """What the contexts of ``n`` lanes say: ``last`` is the last number, ``pair`` a hash of the last two."""
-        self.at1 = self.base[:n] + last
+    def look(self, n: int, pair: np.ndarray) -> None:
+        """What the contexts of ``n`` lanes say: the last number and ``pair``, a hash of the last two."""
+        self.at1 = self.at_last[:n]
         self.at2 = self.base2[:n] + (pair >> 6 & ((1 << TWO_BITS) - 1))
         self.said1, self.said2 = self.one.take(self.at1), self.two.take(self.at2)
         self.id1, self.id2 = self.said1 >> 3, self.said2 >> 3
@@ -126,7 +132,8 @@ class Models:
 
     def interval(self, x: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, width) of each lane's number among ``total``."""
-        held = self.cum.take(self.base[: len(x)] + x)
+        self.at_last = self.base[: len(x)] + x
+        held = self.cum.take(self.at_last)
         self.is1, self.is2 = self.id1 == x, self.id2 == x
         start = self.w0 * (held >> WIDTH_BITS) + self.t * (self.w2 * (self.id2 < x) + self.w1 * (self.id1 < x))
         width = self.w0 * (held & ((1 << WIDTH_BITS) - 1)) + self.t * (self.w2 * self.is2 + self.w1 * self.is1)
@@ -162,7 +169,8 @@ class Models:
         picked(x, high, -is_high.view(np.uint8).astype(np.uint16))
         picked(x, low, -is_low.view(np.uint8).astype(np.uint16))
         picked(x, self.met[:n].astype(np.uint16), -new.view(np.uint8).astype(np.uint16))
-        held = self.cum.take(self.base[:n] + x)
+        self.at_last = self.base[:n] + x
+        held = self.cum.take(self.at_last)
         start = self.w0 * (held >> WIDTH_BITS) + passed
         width = self.w0 * (held & bits)
         width += m_low * is_low
@@ -178,13 +186,13 @@ class Models:
         picked(field, ONE, -self.is1.view(np.uint8))
         field *= ~self.is2
         packed = self.packed
-        packed += np.left_shift(np.int64(CREDIT), (field << np.uint8(4)).astype(np.int64))
+        packed += CREDITS.take(field)
         self.mix[self.at_mix] = packed
         fresh = (x << 3) + ONE
         for table, at, said, sure, right in ((self.one, self.at1, self.said1, self.sure1, self.is1), (self.two, self.at2, self.said2, self.sure2, self.is2)):
-            now = said - ((sure + ONE) >> 1)
-            picked(now, fresh, -(sure < 2).view(np.uint8).astype(np.uint16))
-            picked(now, said + (sure < 7), -right.view(np.uint8).astype(np.uint16))
+            case = sure + (right.view(np.uint8) << np.uint8(3))
+            now = said + STEPS.take(case)
+            picked(now, fresh, FORGETS.take(case))
             table[at] = now
 
     def meet(self, new: np.ndarray) -> None:
@@ -270,7 +278,7 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         if t in RENEW:
             models.renew(numbers, n, t)
         x, is_new = numbers[t, :n], new[t, :n]
-        models.look(n, last[:n], pair[:n])
+        models.look(n, pair[:n])
         start, width = models.interval(x, is_new)
         put(n, models.total.astype(U64), start.astype(U64), width.astype(U64))
         models.learn(x, is_new)
@@ -314,10 +322,7 @@ def _decoded(blocks: list[bytes]) -> list[np.ndarray]:
     used = np.arange(lanes) * room + 2
     code = words[used - 2].astype(U64) << U64(32) | words[used - 1]
     wide = np.full(lanes, np.iinfo(np.uint64).max, U64)
-    numbers, known = np.zeros((steps, lanes), np.uint16), np.zeros((lanes, steps + 1), np.uint32)
-    for k, i in enumerate(order):
-        _, _, filled, kinds, size, _ = heads[i]
-        known[k, :kinds] = np.frombuffer(blocks[i], f"<u{size}", kinds, HEAD_BYTES + 4 * filled)
+    numbers = np.zeros((steps, lanes), np.uint16)
 
     def take(n, r, start, width):
         start *= r
@@ -336,7 +341,7 @@ def _decoded(blocks: list[bytes]) -> list[np.ndarray]:
         n = active[t]
         if t in RENEW:
             models.renew(numbers, n, t)
-        models.look(n, last[:n], pair[:n])
+        models.look(n, pair[:n])
         r = wide[:n] // models.total.astype(U64)
         value = (code[:n] // r).astype(np.int32)
         x, is_new, start, width = models.find(value)
@@ -347,8 +352,12 @@ def _decoded(blocks: list[bytes]) -> list[np.ndarray]:
         last, pair = x, last[:n] * PAIR_OLD + x * PAIR_NEW
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
     numbers = turned(numbers)
+    known = np.zeros(steps + 1, np.uint32)
     for k, i in enumerate(order):
-        out[i] = known[k].take(numbers[k, : lengths[k]]).astype("<u4", copy=False)
+        _, _, filled, kinds, size, _ = heads[i]
+        known[:kinds] = np.frombuffer(blocks[i], f"<u{size}", kinds, HEAD_BYTES + 4 * filled)
+        known[kinds:] = 0
+        out[i] = known.take(numbers[k, : lengths[k]]).astype("<u4", copy=False)
         if zlib.crc32(out[i].tobytes()) != heads[i][5]:
             raise ValueError("a block does not match its checksum")
     return out
@@ -371,7 +380,55 @@ _CLASS = np.zeros(256, np.uint8)
 for _bit, _of in enumerate((np.arange(256) == 32, _SAFE, np.arange(256) == 10, ~_BLANK & (np.arange(256) < 128), _LETTER, _POINT)):
     _CLASS |= _of.astype(np.uint8) << _bit
 JOINED = 1024
-MOST_KNOWN = 2_500_000
+MOST_KNOWN = 1_200_000  # some 60 bytes each in every worker
+
+
+class _Known:
+    """Byte strings and their places: an open-addressed table that grows, so that a lookup does not hash all of them again."""
+
+    def __init__(self, strings: list[bytes]):
+        self.strings = pa.array([], pa.large_binary())
+        self.hashes = np.zeros(0, np.int64)
+        self.slots = np.full(1 << 16, -1, np.int32)
+        strings = pa.array(strings, pa.large_binary())
+        self.add(strings, hashes_of(strings))
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, strings: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The place of each string, -1 if it has none; exact, since the bytes found are compared."""
+        places, at, left = np.full(len(hashes), -1, np.int64), hashes & (len(self.slots) - 1), np.arange(len(hashes))
+        while len(left):
+            here = self.slots[at[left]]
+            held = here >= 0
+            left, here = left[held], here[held]
+            same = self.hashes[here] == hashes[left]
+            places[left[same]] = here[same]
+            left = left[~same]
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+        hit = np.flatnonzero(places >= 0)
+        equal = pc.equal(self.strings.take(pa.array(places[hit])), strings.take(pa.array(hit)))
+        places[hit[~equal.to_numpy(zero_copy_only=False)]] = -1
+        return places
+
+    def add(self, strings: pa.Array, hashes: np.ndarray) -> None:
+        """Gives these the next places; of several with one hash ``find`` knows one."""
+        places = np.arange(len(self), len(self) + len(hashes))
+        self.strings, self.hashes = pa.concat_arrays([self.strings, strings]), np.concatenate((self.hashes, hashes))
+        if 2 * len(self) > len(self.slots):
+            self.slots = np.full(1 << (2 * len(self)).bit_length(), -1, np.int32)
+            places, hashes = np.arange(len(self)), self.hashes
+        at = hashes & (len(self.slots) - 1)
+        while len(places):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = places[free]
+            lost = self.slots[at] != places
+            places, at = places[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+
+def hashes_of(strings: pa.Array) -> np.ndarray:
+    return np.fromiter(map(hash, strings.to_numpy(zero_copy_only=False)), np.int64, len(strings))
 
 
 class Encoder:
@@ -398,8 +455,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = pa.array([], pa.large_binary())
-        self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.known = _Known([b""])  # no stretch is empty: this place is the end of a text
+        self.ids, self.begin = np.array([END_ID], np.int32), np.array([0, 1], np.int64)
         self.marked = False  # whether an added token was met
 
     def _starts(self, raw: np.ndarray, offsets: np.ndarray, data: bytes) -> np.ndarray:
@@ -421,7 +478,7 @@ class Encoder:
         cut[offsets[:-1][offsets[:-1] < n]] = True
         return np.flatnonzero(cut)
 
-    def _learn(self, fresh: pa.Array) -> np.ndarray:
+    def _learn(self, fresh: pa.Array, hashes: np.ndarray) -> np.ndarray:
         """Encodes stretches not met before; those that begin with a single space, many in one call. Returns their places."""
         raw, at = flat(fresh)
         sizes = np.diff(at)
@@ -444,7 +501,7 @@ class Encoder:
         places = np.empty(len(fresh), np.int64)
         places[joins], places[~joins] = np.arange(len(first)), np.arange(len(rest)) + len(first)
         places += len(self.known)
-        self.known = pa.concat_arrays([self.known, first, rest])
+        self.known.add(pa.concat_arrays([first, rest]), np.concatenate((hashes[joins], hashes[~joins])))
         self.begin = np.concatenate((self.begin, len(self.ids) + ends))
         self.ids = np.concatenate((self.ids, ids, np.fromiter(chain.from_iterable(more), np.int32)))
         return places
@@ -459,21 +516,25 @@ class Encoder:
         coded = stretches.dictionary_encode()  # exact: equal bytes, equal index
         if len(self.known) > MOST_KNOWN:
             self._forget()
-        found = pc.index_in(coded.dictionary, value_set=self.known)  # exact, too
-        places = found.fill_null(-1).to_numpy().astype(np.int64)
+        hashes = hashes_of(coded.dictionary)
+        places = self.known.find(coded.dictionary, hashes)
         fresh = places < 0
         if fresh.any():
-            places[fresh] = self._learn(coded.dictionary.filter(pa.array(fresh)))
-        slot = places[coded.indices.to_numpy()]
-        sizes = self.begin[slot + 1] - self.begin[slot]
-        doc = np.searchsorted(offsets, start, "right") - 1
-        per = np.bincount(doc, sizes, texts).astype(np.int64) + 1
-        take = np.repeat(self.begin[slot] - (np.cumsum(sizes) - sizes), sizes)
+            places[fresh] = self._learn(coded.dictionary.filter(pa.array(fresh)), hashes[fresh])
+        ends = np.searchsorted(start, offsets[1:]) + np.arange(texts)  # where the ends of texts stand among the stretches
+        inside = np.ones(len(start) + texts, bool)
+        inside[ends] = False
+        slot = np.zeros(len(inside), np.int64)
+        slot[inside] = places.take(coded.indices.to_numpy())
+        begin = self.begin.take(slot)
+        sizes = self.begin.take(slot + 1) - begin
+        upto = np.cumsum(sizes)
+        per = np.diff(upto[ends], prepend=0)
+        begin -= upto
+        begin += sizes
+        take = np.repeat(begin, sizes)
         take += np.arange(len(take))
-        inside = np.ones(int(per.sum()), bool)
-        inside[np.cumsum(per) - 1] = False
-        out = np.full(len(inside), END_ID, np.int32)
-        out[inside] = self.ids.take(take)
+        out = self.ids.take(take)
         return out, per
 
 
@@ -515,6 +576,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                 yield rows_of(shard, number, [struct.pack(HEAD, INDEX_MAGIC, len(raw) // INDEX_ROW.itemsize, 0, 0, 0, zlib.crc32(raw)) + raw])
                 index, number = [], number + 1
             ids = np.concatenate(kept) if kept else np.zeros(0, np.int32)
+            kept = []
+            pa.default_memory_pool().release_unused()
             whole = len(ids) if final else len(ids) // (BLOCK * LANES) * BLOCK * LANES
             groups = max(1, -(-whole // (BLOCK * LANES)))
             step = -(-whole // (BLOCK * groups)) * BLOCK  # groups of like numbers of lanes
@@ -538,6 +601,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             index.append(row)
             kept.append(ids)
             held += len(ids)
+            part = ids = None  # not held while blocks are coded
             if held >= BLOCK * LANES:
                 yield from told(False)
         yield from told(True)

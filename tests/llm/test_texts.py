@@ -327,6 +327,28 @@ def test_long_texts_of_few_letters_have_their_own_tokens():
         assert part.tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_stretches_are_looked_up_without_hashing_all_known_ones(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    own, hashed, real = token_file.Encoder(public.path("byte_bpe_50k.json")), [], token_file.hashes_of
+    monkeypatch.setattr(token_file, "hashes_of", lambda strings: hashed.append(len(strings)) or real(strings))
+    own.encode(*flat(pa.array([" ".join(f"w{i}" for i in range(50_000))])))
+    own.encode(*flat(pa.array(["w1 w2 other"])))
+    assert hashed == [50_000, 3]
+    assert len(own.known) == 50_003  # the end of a text, and "w1" and " other", which were not met
+
+
+def test_stretches_of_equal_hash_are_told_apart(monkeypatch):
+    public, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    monkeypatch.setattr(token_file, "hashes_of", lambda strings: np.array([len(s) % 3 for s in strings.to_pylist()], np.int64))
+    plain, own = tokenizers.Tokenizer.from_file(path), token_file.Encoder(path)
+    texts = ["one two six ten", "", "ten six two one, eleven", "six\none", "", "two eleven twelve"]
+    for _ in range(2):
+        ids, per = own.encode(*flat(pa.array(texts)))
+        for t, part in zip(texts, np.split(ids, np.cumsum(per)[:-1]), strict=True):
+            assert part.tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2]
+
+
 def test_large_ids():
     ids = np.array([[70_000, 100_000, 3, 70_000, 100_000, (1 << 24) - 1]])
     assert (token_file.decode_blocks(token_file.encode_blocks(ids, np.array([6])))[0] == ids[0]).all()
