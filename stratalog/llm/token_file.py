@@ -40,10 +40,11 @@ END_ID = 2
 #: Ids from here on are refused.
 ID_LIMIT = 1 << 24
 #: Fixed values of the format.
-BLOCK_MAGIC, INDEX_MAGIC, HEAD = b"SLTB", b"SLTI", "<4sIIIII"
+BLOCK_MAGIC, INDEX_MAGIC, HEAD = b"SLTC", b"SLTI", "<4sIIIII"
 HEAD_BYTES = struct.calcsize(HEAD)
 RENEW = (96, 384)
-TWO_BITS, CONTEXTS = 11, 128
+HELD = 128  # steps whose places are looked up at once
+TWO_BITS, CONTEXTS = 10, 128
 PAIR_OLD, PAIR_NEW = np.uint32(60493), np.uint32(40503)
 WIDTH_BITS = 13
 LONGEST = 4096  # ids of a block at most: widths and numbers have so many bits
@@ -81,7 +82,8 @@ class Models:
         self.cap = steps + 1
         ahead = np.arange(self.cap, dtype=np.int32)
         self.cum = np.tile((ahead << WIDTH_BITS) + 1, lanes)  # start << WIDTH_BITS | width, on the line
-        self.inverse = np.tile(ahead.astype(np.uint16), lanes) if invert else None
+        #: For each place on the line: number << 2 * WIDTH_BITS | start << WIDTH_BITS | width.
+        self.inverse = np.tile(ahead.astype(np.int64) << 2 * WIDTH_BITS | (ahead << WIDTH_BITS) + 1, lanes) if invert else None
         self.one = np.zeros(lanes * self.cap, np.uint16)
         self.two = np.zeros(lanes << TWO_BITS, np.uint16)
         self.mix = np.full(lanes * CONTEXTS, FIRST_COUNTS, np.int64)
@@ -109,8 +111,8 @@ class Models:
             cum[i:j, top:] = ((ends[:, -1:] + np.arange(self.cap - top, dtype=np.int32)) << WIDTH_BITS) + 1
             if self.inverse is not None:
                 inverse = self.inverse.reshape(-1, self.cap)[i:j]
-                inverse[:, :t] = np.repeat(np.broadcast_to(np.arange(top, dtype=np.uint16), counts.shape).ravel(), counts.ravel()).reshape(j - i, t)
-                inverse[:, t:] = np.arange(self.cap - t, dtype=np.uint16) + self.met[i:j, None].astype(np.uint16)
+                inverse[:, :t] = np.repeat((np.arange(top) << 2 * WIDTH_BITS | cum[i:j, :top]).ravel(), counts.ravel()).reshape(j - i, t)
+                inverse[:, t:] = ((np.arange(self.cap - t) + self.met[i:j, None]) << 2 * WIDTH_BITS) + ((np.arange(t, self.cap) << WIDTH_BITS) + 1)
         self.counted = t
         self.line[:n] = t
 
@@ -130,10 +132,17 @@ class Models:
         self.w_new *= self.t
         self.total = self.all_met + self.w_new
 
-    def interval(self, x: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, width) of each lane's number among ``total``."""
+    def places(self, numbers: np.ndarray) -> np.ndarray:
+        """start << WIDTH_BITS | width of the numbers of the first lanes (a row for each step), lane by lane, so that each one's line is in the cache."""
+        out = np.empty(numbers.shape, np.int32)
+        for i in range(0, numbers.shape[1], 64):
+            own = numbers[:, i : i + 64].T
+            out[:, i : i + 64] = self.cum.take(own + self.base[i : i + own.shape[0], None]).T
+        return out
+
+    def interval(self, x: np.ndarray, new: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, width) of each lane's number among ``total``; ``held`` is its place."""
         self.at_last = self.base[: len(x)] + x
-        held = self.cum.take(self.at_last)
         self.is1, self.is2 = self.id1 == x, self.id2 == x
         start = self.w0 * (held >> WIDTH_BITS) + self.t * (self.w2 * (self.id2 < x) + self.w1 * (self.id1 < x))
         width = self.w0 * (held & ((1 << WIDTH_BITS) - 1)) + self.t * (self.w2 * self.is2 + self.w1 * self.is1)
@@ -164,13 +173,15 @@ class Models:
         place = ((value - passed) / self.w0).astype(np.int32)
         place *= ~new
         np.minimum(np.maximum(place, 0, out=place), self.cap - 1, out=place)
-        x = self.inverse.take(self.base[:n] + place)
+        found = self.inverse.take(self.base[:n] + place)
+        x, held = (found >> 2 * WIDTH_BITS).astype(np.uint16), found.astype(np.int32) & ((1 << 2 * WIDTH_BITS) - 1)
         is_high, is_low = (value >= start_high) & ~over_high, (value >= start_low) & ~over_low
-        picked(x, high, -is_high.view(np.uint8).astype(np.uint16))
-        picked(x, low, -is_low.view(np.uint8).astype(np.uint16))
+        for at, held_at, here in ((high, held_high, is_high), (low, held_low, is_low)):
+            mask = -here.view(np.int8).astype(np.int32)
+            picked(x, at, mask.astype(np.uint16))
+            picked(held, held_at, mask)
         picked(x, self.met[:n].astype(np.uint16), -new.view(np.uint8).astype(np.uint16))
         self.at_last = self.base[:n] + x
-        held = self.cum.take(self.at_last)
         start = self.w0 * (held >> WIDTH_BITS) + passed
         width = self.w0 * (held & bits)
         width += m_low * is_low
@@ -206,12 +217,12 @@ def numbered(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     lanes, steps = ids.shape
     numbers, new = np.zeros((lanes, steps), np.uint16), np.zeros((lanes, steps), bool)
     top = int(ids.max(initial=0)) + 1
-    together = max(1, min(16, (1 << 20) // top))
-    place_of = np.empty(top * together, np.int32)  # only places just written are read
+    together = max(1, min(8, (1 << 19) // top))
+    place_of = np.empty(top * together, np.uint16)  # only places just written are read
     for i in range(0, lanes, together):
         own = ids[i : i + together]
         n = len(own)
-        keys, places = (own + np.arange(n)[:, None] * top).ravel(), np.arange(own.size, dtype=np.int32)
+        keys, places = (own + np.arange(n)[:, None] * top).ravel(), np.arange(own.size, dtype=np.uint16)
         place_of[keys[::-1]] = places[::-1]
         first = place_of.take(keys)
         is_first = first == places
@@ -277,9 +288,11 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         n = active[t]
         if t in RENEW:
             models.renew(numbers, n, t)
+        if t == 1 or t in RENEW or t % HELD == 0:
+            first, held = t, models.places(numbers[t : min([steps, (t // HELD + 1) * HELD, *(r for r in RENEW if r > t)]), :n])
         x, is_new = numbers[t, :n], new[t, :n]
         models.look(n, pair[:n])
-        start, width = models.interval(x, is_new)
+        start, width = models.interval(x, is_new, held[t - first, :n])
         put(n, models.total.astype(U64), start.astype(U64), width.astype(U64))
         models.learn(x, is_new)
         models.meet(is_new)
@@ -289,13 +302,21 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         used += 1
         low <<= U64(32)
     words, counts = words.reshape(lanes, room).astype("<u4", copy=False), used - np.arange(lanes) * room
+    return _framed(ids, lengths, new_ids, words, counts)
+
+
+def _framed(ids: np.ndarray, lengths: np.ndarray, new_ids: np.ndarray, words: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Blocks of their heads, coded words and distinct ids."""
+    ids = np.ascontiguousarray(ids, "<u4")
+    kinds = ids[new_ids]
+    upto = np.concatenate(([0], np.cumsum(np.count_nonzero(new_ids, axis=1)))).tolist()
+    sizes = np.where(ids.max(axis=1, where=new_ids, initial=0) < 1 << 16, 2, 4).tolist()
+    lists = {size: kinds.astype(f"<u{size}").view(np.uint8) for size in set(sizes)}
+    ids_bytes, words_bytes, row, room = ids.ravel().view(np.uint8), words.ravel().view(np.uint8), 4 * ids.shape[1], 4 * words.shape[1]
     out = []
-    for i in range(lanes):
-        own = ids[i, : lengths[i]].astype("<u4")
-        kinds = own[new_ids[i, : lengths[i]]]
-        size = 2 if int(kinds.max(initial=0)) < 1 << 16 else 4
-        head = struct.pack(HEAD, BLOCK_MAGIC, int(lengths[i]), int(counts[i]), len(kinds), size, zlib.crc32(own.tobytes()))
-        out.append(head + words[i, : counts[i]].tobytes() + kinds.astype(f"<u{size}").tobytes())
+    for i, (length, count, size) in enumerate(zip(lengths.tolist(), counts.tolist(), sizes, strict=True)):
+        head = struct.pack(HEAD, BLOCK_MAGIC, length, count, upto[i + 1] - upto[i], size, zlib.crc32(ids_bytes[row * i : row * i + 4 * length]))
+        out.append(b"".join((head, words_bytes[room * i : room * i + 4 * count], lists[size][size * upto[i] : size * upto[i + 1]])))
     return out
 
 
@@ -379,7 +400,16 @@ _POINT[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] =
 _CLASS = np.zeros(256, np.uint8)
 for _bit, _of in enumerate((np.arange(256) == 32, _SAFE, np.arange(256) == 10, ~_BLANK & (np.arange(256) < 128), _LETTER, _POINT)):
     _CLASS |= _of.astype(np.uint8) << _bit
+_CLASS_OF = _CLASS.tobytes()
+#: Bytes of plain words: ASCII letters, and those of U+00C0 to U+023F, which are letters but for two.
+_PLAIN = _LETTER.copy()
+_PLAIN[[*range(0x80, 0xC0), *range(0xC3, 0xC9)]] = True
+#: The character that stands for each byte in a byte-level vocabulary.
+_SPELLED = np.arange(256, dtype="<u4")
+_UNPRINTED = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)]
+_SPELLED[_UNPRINTED] = 256 + np.arange(len(_UNPRINTED))
 JOINED = 1024
+WORDS = 64
 MOST_KNOWN = 1_200_000  # some 60 bytes each in every worker
 
 
@@ -431,12 +461,21 @@ def hashes_of(strings: pa.Array) -> np.ndarray:
     return np.fromiter(map(hash, strings.to_numpy(zero_copy_only=False)), np.int64, len(strings))
 
 
+def _keeps_words(model: dict, vocabulary: dict[str, int]) -> bool:
+    """Whether the ids of plain words, a space before each, are those of the words alone: no token holds parts of two."""
+    space, letters = chr(_SPELLED[32]), {chr(c) for c in _SPELLED[_PLAIN]}
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")) or not letters | {space} <= vocabulary.keys():
+        return False
+    return not any(space in t[1:] and 2 * space not in t and letters.issuperset(t.replace(space, "")) for t in vocabulary)
+
+
 class Encoder:
     """The tokenizer over distinct stretches of text.
 
     A byte-level pre-tokenizer never joins a word with what stands before a single space or
     newline, nor with the punctuation after it, so texts are cut there, and each distinct stretch is encoded
     once. Texts that hold an added token, and all texts if the tokenizer splits otherwise, are encoded whole.
+    A space and plain letters are one word to the pre-tokenizer, so such stretches go to the tokenizer's model at once.
     """
 
     def __init__(self, path: str):
@@ -452,6 +491,8 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # a byte-level token has one character for each byte
+        self.words = Tokenizer(self.tokenizer.model)  # the same model, without what finds words in texts
+        self.joins_words = self.cuts and _keeps_words(parts["model"], vocabulary)
         self._forget()
 
     def _forget(self) -> None:
@@ -464,7 +505,7 @@ class Encoder:
         n = len(raw)
         cut = np.zeros(n, bool)
         if self.cuts and n > 2:
-            kind = _CLASS[raw]
+            kind = np.frombuffer(data.translate(_CLASS_OF), np.uint8)
             before, here, after = kind[:-2], kind[1:-1], kind[2:]
             cut[1:-1] = (here & (after >> 1) & 1) | ((here >> 2) & (after >> 1) & (before >> 3) & 1)
             cut[1:] |= ((kind[:-1] >> 4) & (kind[1:] >> 5)).astype(bool)
@@ -481,29 +522,43 @@ class Encoder:
     def _learn(self, fresh: pa.Array, hashes: np.ndarray) -> np.ndarray:
         """Encodes stretches not met before; those that begin with a single space, many in one call. Returns their places."""
         raw, at = flat(fresh)
-        sizes = np.diff(at)
-        joins = (raw[at[:-1]] == 32) & (sizes > 1) & self.cuts
+        joins = (raw[at[:-1]] == 32) & (np.diff(at) > 1) & self.cuts
         joins[joins] = _SAFE[raw[at[:-1][joins] + 1]]
         if self.marked:
             joins &= np.array([not any(t in s for t in self.added) for s in fresh.to_pylist()], bool)
-        first, rest = fresh.filter(pa.array(joins)), fresh.filter(pa.array(~joins))
-        raw, at = flat(first)
-        data = raw.tobytes()
-        calls = [data[at[i] : at[min(i + JOINED, len(first))]] for i in range(0, len(first), JOINED)]
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in (*calls, *rest.to_pylist())], add_special_tokens=False)]
-        ids = np.fromiter(chain.from_iterable(coded[: len(calls)]), np.int32)
-        upto = np.cumsum(self.bytes_of[ids])
-        if len(ids) and upto[-1] != len(raw):
-            raise ValueError("the tokens of a text do not add up to its bytes")
-        ends = np.searchsorted(upto, at[1:], "right")
-        more = coded[len(calls) :]
-        ends = np.concatenate((ends, len(ids) + np.cumsum([len(c) for c in more], dtype=np.int64)))
+        plain = joins & self.joins_words
+        if plain.any():
+            other = ~_PLAIN[raw]
+            other[:-1] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))  # the signs of multiplication and division
+            other[at[:-1]] = False
+            plain &= ~np.logical_or.reduceat(other, at[:-1])
+        joins &= ~plain
+        kinds = (plain, joins, ~(plain | joins))
+        order, parts = np.concatenate([np.flatnonzero(kind) for kind in kinds]), [fresh.filter(pa.array(kind)) for kind in kinds]
+        ids, ends, upto = [], [], 0
+        for kind, part in enumerate(parts):
+            raw, at = flat(part)
+            bounds = at[:: (WORDS, JOINED, 1)[kind]].tolist()
+            bounds += [len(raw)] * (bounds[-1] < len(raw))
+            text = _SPELLED[raw].tobytes().decode("utf-32-le") if kind == 0 else raw.tobytes()
+            calls = [text[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            coder = self.words if kind == 0 else self.tokenizer
+            coded = [e.ids for e in coder.encode_batch_fast(calls if kind == 0 else [c.decode("utf-8", "replace") for c in calls], add_special_tokens=False)]
+            own = np.fromiter(chain.from_iterable(coded), np.int32)
+            if kind < 2:
+                sums = np.cumsum(self.bytes_of[own])
+                if len(own) and sums[-1] != len(raw):
+                    raise ValueError("the tokens of a text do not add up to its bytes")
+                ends.append(upto + np.searchsorted(sums, at[1:], "right"))
+            else:
+                ends.append(upto + np.cumsum([len(c) for c in coded], dtype=np.int64))
+            ids.append(own)
+            upto += len(own)
         places = np.empty(len(fresh), np.int64)
-        places[joins], places[~joins] = np.arange(len(first)), np.arange(len(rest)) + len(first)
-        places += len(self.known)
-        self.known.add(pa.concat_arrays([first, rest]), np.concatenate((hashes[joins], hashes[~joins])))
-        self.begin = np.concatenate((self.begin, len(self.ids) + ends))
-        self.ids = np.concatenate((self.ids, ids, np.fromiter(chain.from_iterable(more), np.int32)))
+        places[order] = np.arange(len(fresh)) + len(self.known)
+        self.known.add(pa.concat_arrays(parts), hashes[order])
+        self.begin = np.concatenate((self.begin, len(self.ids) + np.concatenate(ends)))
+        self.ids = np.concatenate((self.ids, *ids))
         return places
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

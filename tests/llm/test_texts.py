@@ -337,6 +337,52 @@ def test_stretches_are_looked_up_without_hashing_all_known_ones(monkeypatch):
     assert len(own.known) == 50_003  # the end of a text, and "w1" and " other", which were not met
 
 
+def test_plain_words_go_to_the_model_at_once():
+    public, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    plain, own, met = tokenizers.Tokenizer.from_file(path), token_file.Encoder(path), []
+
+    class Told:
+        def encode_batch_fast(self, calls, **options):
+            met.extend(calls)
+            return plain.encode_batch_fast(calls, **options)
+
+    own.tokenizer = Told()
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}é" for i in range(200)]
+    texts = [" ".join(words), "x Straße ɏa ȿb ×c d÷e ªf µg don't ñ2 ‘h’ жi", " 二 j\u0301 Çk", "", " l\n m  n"]
+    ids, per = own.encode(*flat(pa.array(texts)))
+    for t, part in zip(texts, np.split(ids, np.cumsum(per)[:-1]), strict=True):
+        assert part.tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2]
+    told = "".join(met)
+    assert not any(w in told for w in (*words[1:], "Straße", "ȿb", "Çk"))
+    assert all(w in told for w in ("ɏa", "×c", "d÷e", "ªf", "µg", "don't", "ñ2", "жi", "二", "j\u0301"))
+
+
+def test_words_are_not_joined_if_a_token_holds_parts_of_two(tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    from tokenizers import models, pre_tokenizers
+
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    for merges, joined in (([("a", "Ġ"), ("aĠ", "b")], False), ([("Ġ", "b"), ("Ġb", "a")], True)):
+        vocabulary = {t: i for i, t in enumerate([*letters, *(a + b for a, b in merges)])}
+        tokenizer = tokenizers.Tokenizer(models.BPE(vocabulary, merges))
+        tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        tokenizer.save(path := str(tmp_path / f"{joined}.json"))
+        own, text = token_file.Encoder(path), "ca ba bca ba ab"
+        assert own.joins_words == joined
+        assert own.encode(*flat(pa.array([text])))[0].tolist() == [*tokenizer.encode(text).ids, 2]
+
+
+def test_lanes_without_ids_and_blocks_of_wide_ids():
+    assert token_file.encode_blocks(np.zeros((0, 8), np.int32), np.zeros(0, np.int64)) == []
+    ids = np.random.default_rng(4).integers(0, 90_000, (70, 1500)).astype(np.int32)
+    ids[:, ::3] %= 7  # places of every width, on both sides of each renewal
+    ids[1::2] %= 60_000
+    lengths = np.sort(np.random.default_rng(5).integers(0, 1501, 70))[::-1].copy()
+    for own, row, n in zip(token_file.decode_blocks(token_file.encode_blocks(ids, lengths)), ids, lengths, strict=True):
+        assert own.tolist() == row[:n].tolist()
+
+
 def test_stretches_of_equal_hash_are_told_apart(monkeypatch):
     public, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
     path = public.path("byte_bpe_50k.json")
